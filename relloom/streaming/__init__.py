@@ -1,0 +1 @@
+"""Nothing here: feature synthesis is a batch task and defines no streaming operator."""
