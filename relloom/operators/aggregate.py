@@ -113,8 +113,8 @@ def aggregate_onto(
 
 
 def mean_gap_days(child: DataFrame, fk: str, ts: str, name: str = "mean_gap") -> DataFrame:
-    """Mean days between the events of a key; NULL for a single event."""
-    span = F.date_diff(F.max(ts), F.min(ts))
+    """Mean whole days between the events of a key; NULL for a single event."""
+    span = F.timestamp_diff("DAY", F.min(ts), F.max(ts))
     gap = span / F.nullif(F.count(ts) - 1, F.lit(0))
     return child.where(F.col(fk).isNotNull()).groupBy(fk).agg(gap.alias(name))
 
