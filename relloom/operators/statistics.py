@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from relloom.operators.ordered import with_running
 
-# Windows over this see one row per class or cluster of a feature.
-_OF_FEATURE = Window.partitionBy("feature")
+def _of_feature(total: Column) -> Column:
+    """Total over the rows of a feature: one row per class or cluster."""
+    return total.over(Window.partitionBy("feature"))
 
 
 def _moments(df: DataFrame, columns: Sequence[str]) -> Row:
@@ -74,7 +75,7 @@ def anova_f(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
         for f in features
     ]
     long = per_class.select("n", F.explode(F.array(*triples)).alias("t")).select("n", "t.*")
-    mean = F.sum(F.col("n") * F.col("m")).over(_OF_FEATURE) / F.sum("n").over(_OF_FEATURE)
+    mean = _of_feature(F.sum(F.col("n") * F.col("m"))) / _of_feature(F.sum("n"))
     sums = long.withColumn("mean", mean).groupBy("feature").agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("classes"),
@@ -157,10 +158,10 @@ def cluster_outliers(long: DataFrame, cluster: str) -> DataFrame:
     cells = long.groupBy(cluster, "feature").agg(
         F.count("value").alias("n"), F.avg("value").alias("m"), F.var_pop("value").alias("v")
     )
-    mean = F.sum(F.col("n") * F.col("m")).over(_OF_FEATURE) / F.sum("n").over(_OF_FEATURE)
+    mean = _of_feature(F.sum(F.col("n") * F.col("m"))) / _of_feature(F.sum("n"))
     placed = cells.withColumn("off", F.col("m") - mean)
-    spread = F.sum(F.col("n") * (F.col("v") + F.col("off") * F.col("off"))).over(_OF_FEATURE)
-    std = F.sqrt(spread / F.sum("n").over(_OF_FEATURE))
+    spread = _of_feature(F.sum(F.col("n") * (F.col("v") + F.col("off") * F.col("off"))))
+    std = F.sqrt(spread / _of_feature(F.sum("n")))
     scored = placed.select(cluster, "feature", F.abs(F.try_divide(F.col("off"), std)).alias("weight"))
     bounds = scored.groupBy(cluster).agg((F.avg("weight") + 3 * F.stddev_pop("weight")).alias("bound"))
     return scored.join(bounds, cluster).where(F.col("weight") > F.col("bound")).drop("bound")

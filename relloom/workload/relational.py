@@ -459,18 +459,20 @@ def count_by_category_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "count_by_wide_category",
-    """select n_nationkey, """
-    + ", ".join(f"count_{n}" for n in range(50))
+    "select n_nationkey, "
+    + ", ".join(f"count_{n}" for n in range(1, 51))
     + " from nation left join (select s_nationkey, "
-    + ", ".join(f"nullif(count(*) filter (l_quantity = {n + 1}), 0) as count_{n}" for n in range(50))
+    + ", ".join(f"nullif(count(*) filter (l_quantity = {n}), 0) as count_{n}" for n in range(1, 51))
     + " from lineitem left join supplier on l_suppkey = s_suppkey group by 1) on n_nationkey = s_nationkey",
 )
 def count_by_wide_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty values: counted through a pivot instead of fifty conditions."""
-    lines = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity")
-    flat = lookup_join(lines, "l_suppkey", table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_suppkey")
-    counts = category_counts(flat, "s_nationkey", "l_quantity", {float(n + 1): f"count_{n}" for n in range(50)})
-    return attach(table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", counts, "s_nationkey")
+    es = entity_set(spark, sf_dir, ["nation", "supplier", "lineitem"])
+    lines = es["lineitem"].df.select("l_suppkey", "l_quantity")
+    flat = lookup_join(lines, "l_suppkey", es["supplier"].df.select("s_suppkey", "s_nationkey"), "s_suppkey")
+    names = {v: f"count_{v:.0f}" for v in es.profile.values("lineitem", "l_quantity")}
+    counts = category_counts(flat, "s_nationkey", "l_quantity", names)
+    return attach(es["nation"].df.select("n_nationkey"), "n_nationkey", counts, "s_nationkey")
 
 
 WINDOWS = [(3, 0), (2, 7), (1, 14), (0, 21)]
