@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relloom.functions.rows import is_date
@@ -16,6 +16,8 @@ if TYPE_CHECKING:
 
 # Most values of one category column that may drive the making of features.
 MAX_FILTER_VALUES = 10_000
+# Rows looked at for early proof that a column is not binary.
+PROBE_ROWS = 1_000
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
@@ -47,20 +49,27 @@ def varying_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _one_row_to_long(row, columns, "varies")
 
 
+def _distinct_up_to(df: DataFrame, columns: Sequence[str], most: int, count: Callable[[str], Column]) -> list[str]:
+    row = df.agg(*[count(c).alias(c) for c in columns]).first()
+    return [c for c in columns if row[c] <= most]
+
+
 def binary_columns(df: DataFrame, columns: Sequence[str]) -> list[str]:
     """Columns with at most two distinct non-null values.
 
-    The sketch never reports more than two for two or fewer real values, so it only
-    narrows the columns; the exact count then runs over the few that are left.
+    Three values among the first rows already prove a column is not binary, which
+    spares most columns a full scan. For the others a sketch comes next, as it never
+    reports more than two for two or fewer real values; what passes is counted.
     """
-    if not columns:
-        return []
-    sketch = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in columns]).first()
-    candidates = [c for c in columns if sketch[c] <= 2]
-    if not candidates:
-        return []
-    exact = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in candidates]).first()
-    return [c for c in candidates if exact[c] <= 2]
+    left = list(columns)
+    for rows, count in (
+        (df.limit(PROBE_ROWS), F.count_distinct),
+        (df, F.approx_count_distinct),
+        (df, F.count_distinct),
+    ):
+        if left:
+            left = _distinct_up_to(rows, left, 2, count)
+    return left
 
 
 def one_to_one(parent: DataFrame, parent_column: str, child: DataFrame, child_column: str) -> DataFrame:

@@ -2,9 +2,9 @@
 
 Only what the asked features need is computed. The features of an entity are put in
 levels by how many joins or aggregates lie below them; a frame ``(entity, level)``
-holds the needed features up to that level. Each edge of a frame costs one
-``groupBy`` or one join for all features that use it, and a frame used more than
-once is written to the shared folder instead of being computed again.
+holds the needed features up to that level and extends the frame below it. Each edge
+of a frame costs one ``groupBy`` or one join for all features that use it, and a
+frame used more than once is written to the shared folder, not computed again.
 """
 
 from __future__ import annotations
@@ -20,7 +20,11 @@ from relloom.operators.aggregate import AggSpec, aggregate
 from relloom.operators.lookup import attach, lookup_join
 from relloom.plans.features import Feature
 from relloom.plans.synthesis import Synthesis
-from relloom.runtime import materialize
+from relloom.runtime import broadcast_limit, materialize, plan_bytes
+
+# A parent table up to this many broadcast limits is worth writing to learn the size
+# of its frame.
+WRITTEN_PARENT_FACTOR = 16
 
 
 class _Build:
@@ -33,6 +37,7 @@ class _Build:
         self._levels: dict[int, int] = {}
         self._needed: dict[str, dict[str, Feature]] = defaultdict(dict)
         self._uses: Counter = Counter()
+        self._asked: set[tuple[str, int]] = set()
         self._frames: dict[tuple[str, int], DataFrame] = {}
         for feature in wanted:
             self._need(feature)
@@ -57,17 +62,19 @@ class _Build:
             self._levels[id(feature)] = below + (feature.kind in ("agg", "flat"))
         return self._levels[id(feature)]
 
-    def _held(self, entity: str, level: int) -> list[Feature]:
-        held = [f for f in self._needed[entity].values() if self.level(f) <= level]
+    def _held(self, entity: str, level: int, above: int = -1) -> list[Feature]:
+        """Needed features of an entity with ``above < level of feature <= level``."""
+        held = [f for f in self._needed[entity].values() if above < self.level(f) <= level]
         return sorted(held, key=lambda f: self._rank[id(f)])
 
-    def _below(self, features: Iterable[Feature]) -> int:
-        return max(self.level(i) for f in features for i in self._inputs(f))
+    def _start(self, entity: str, level: int) -> int:
+        """The asked-for frame that this one extends, 0 for the table itself."""
+        return max((lv for e, lv in self._asked if e == entity and lv < level), default=0)
 
-    def _groups(self, held: Iterable[Feature]) -> dict[tuple, list[Feature]]:
-        """Features of a frame by kind and edge: aggregates first, then lookups."""
+    def _groups(self, entity: str, level: int) -> dict[tuple, list[Feature]]:
+        """What a frame adds to the one it extends, by edge: aggregates, then lookups."""
         groups = defaultdict(list)
-        for f in held:
+        for f in self._held(entity, level, self._start(entity, level)):
             if f.kind in ("agg", "flat"):
                 groups[(f.kind, f.edge, f.inverse)].append(f)
         return dict(sorted(groups.items(), key=lambda item: (item[0][0], not item[0][2])))
@@ -75,44 +82,75 @@ class _Build:
     def _source(self, group: tuple, features: list[Feature]) -> tuple[str, int]:
         kind, edge, inverse = group
         entity = edge.child if kind == "agg" or inverse else edge.parent
-        level = self._below(features)
+        below = max(self.level(i) for f in features for i in self._inputs(f))
         # The highest level at or below that really adds something names the frame.
-        return entity, max((self.level(f) for f in self._held(entity, level)), default=0)
-
-    def count_uses(self, entity: str, level: int) -> None:
+        return entity, max((self.level(f) for f in self._held(entity, below)), default=0)
+
+    def ask(self, entity: str, level: int) -> None:
+        """Find all frames on the way to one, then how often each is used."""
+        self._asked = {(entity, level)}
+        while True:
+            sources = {
+                self._source(group, features)
+                for frame in self._asked
+                for group, features in self._groups(*frame).items()
+            }
+            if sources <= self._asked:
+                break
+            self._asked |= sources
+        self._count_uses(entity, level)
+
+    def _count_uses(self, entity: str, level: int) -> None:
         self._uses[(entity, level)] += 1
-        if self._uses[(entity, level)] > 1:
+        if level == 0 or self._uses[(entity, level)] > 1:
             return
-        for group, features in self._groups(self._held(entity, level)).items():
-            self.count_uses(*self._source(group, features))
+        self._count_uses(entity, self._start(entity, level))
+        for group, features in self._groups(entity, level).items():
+            self._count_uses(*self._source(group, features))
 
     def frame(self, entity: str, level: int) -> DataFrame:
         if (entity, level) not in self._frames:
-            df = self._compute(entity, level)
+            df = self._table(entity) if level == 0 else self._extend(entity, level)
             if level > 0 and self._uses[(entity, level)] > 1:
                 df = materialize(df, entity)
             self._frames[(entity, level)] = df
         return self._frames[(entity, level)]
 
-    def _compute(self, entity: str, level: int) -> DataFrame:
-        held = self._held(entity, level)
-        base = [f.column for f in held if f.kind == "base"]
-        columns = dict.fromkeys(self.es.key_columns(entity) + base)
+    def _table(self, entity: str) -> DataFrame:
+        """Keys, needed columns and row features."""
+        held = self._held(entity, 0)
+        columns = dict.fromkeys(self.es.key_columns(entity) + [f.column for f in held if f.kind == "base"])
         rows = [
             ROW_FUNCTIONS[f.function].build(F.col(f"`{f.source.column}`")).alias(f.column)
             for f in held
             if f.kind == "row"
         ]
-        df = self.es[entity].df.select(*[F.col(f"`{c}`") for c in columns], *rows)
-        for group, features in self._groups(held).items():
+        return self.es[entity].df.select(*[F.col(f"`{c}`") for c in columns], *rows)
+
+    def _lookup_source(self, entity: str, level: int) -> DataFrame:
+        """A parent frame to look up from.
+
+        Computed features hide its size from Catalyst, so the frame of a table that
+        may fit a broadcast is written: then its size is known.
+        """
+        df = self.frame(entity, level)
+        small = WRITTEN_PARENT_FACTOR * broadcast_limit(df.sparkSession)
+        if level > 0 and self._uses[(entity, level)] == 1 and plan_bytes(self.es[entity].df) <= small:
+            self._frames[(entity, level)] = materialize(df, entity)
+        return self._frames[(entity, level)]
+
+    def _extend(self, entity: str, level: int) -> DataFrame:
+        df = self.frame(entity, self._start(entity, level))
+        for group, features in self._groups(entity, level).items():
             kind, edge, inverse = group
-            other = self.frame(*self._source(group, features))
+            source = self._source(group, features)
             if kind == "agg":
                 specs = [AggSpec(f.column, f.function, f.source.column, f.predicate) for f in features]
-                per_key = aggregate(other, edge.child_column, specs)
+                per_key = aggregate(self.frame(*source), edge.child_column, specs)
                 df = attach(df, edge.parent_column, per_key, edge.child_column)
                 continue
             key = edge.child_column if inverse else edge.parent_column
+            other = self.frame(*source) if inverse else self._lookup_source(*source)
             right = other.select(
                 F.col(f"`{key}`").alias("_key"), *[F.col(f"`{f.source.column}`").alias(f.column) for f in features]
             )
@@ -133,7 +171,7 @@ def feature_matrix(
     features = list(features)
     build = _Build(synthesis, features)
     level = max((build.level(f) for f in features), default=0)
-    build.count_uses(target, level)
+    build.ask(target, level)
     key = synthesis.es[target].key
     names = dict.fromkeys(([key] if key else keys) + [f.column for f in features])
     return build.frame(target, level).select(*[F.col(f"`{c}`") for c in names])
