@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import TYPE_CHECKING, Any
 
@@ -84,6 +85,15 @@ def one_to_one(parent: DataFrame, parent_column: str, child: DataFrame, child_co
     return fan.agg(F.coalesce(flag, F.lit(False)).alias("one_to_one"))
 
 
+def repeats_early(parent: DataFrame, parent_column: str, child: DataFrame, child_column: str) -> bool:
+    """Whether the first child rows already show a parent with two children."""
+    keys = child.where(F.col(child_column).isNotNull()).select(F.col(child_column).alias("k")).limit(PROBE_ROWS)
+    repeated = keys.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k")
+    # At most half of the probed rows repeat, so the broadcast side is small.
+    known = parent.select(F.col(parent_column).alias("k")).join(F.broadcast(repeated), "k", "left_semi")
+    return bool(known.take(1))
+
+
 def one_to_one_report(es: EntitySet) -> DataFrame:
     checks = []
     for r in es.relationships:
@@ -150,6 +160,14 @@ class Profile:
 
         return self._once(("extent", entity, column), compute)
 
+    def prefetch(self) -> None:
+        """Test all edges that synthesis may ask about, as concurrent jobs."""
+        edges = [
+            r for r in self._es.relationships if r.child not in self._es[r.parent].config.excluded_agg_entities
+        ]
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            list(pool.map(self.one_to_one, edges))
+
     def one_to_one(self, edge: Relationship) -> bool:
         """Preset of either entity by name, else computed."""
         for entity, other in ((edge.parent, edge.child), (edge.child, edge.parent)):
@@ -160,7 +178,7 @@ class Profile:
         def compute() -> bool:
             if self._too_large(edge.parent) or self._too_large(edge.child):
                 return False
-            parent, child = self._es[edge.parent].df, self._es[edge.child].df
-            return one_to_one(parent, edge.parent_column, child, edge.child_column).first()[0]
+            sides = self._es[edge.parent].df, edge.parent_column, self._es[edge.child].df, edge.child_column
+            return not repeats_early(*sides) and one_to_one(*sides).first()[0]
 
         return self._once(("one_to_one", edge), compute)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -34,8 +34,7 @@ class Feature:
     column: str  # name of the DataFrame column
     dtype: str
     numeric: bool = False
-    categorical: bool = False
-    binary: bool = False
+    category: bool = False  # a category by configuration or by its function
     categorical_filter: bool = False
     ignore: bool = False
     key: bool = False
@@ -45,6 +44,16 @@ class Feature:
     source: Feature | None = None
     edge: Relationship | None = None
     inverse: bool = False
+    is_binary: Callable[[], bool] = field(default=lambda: False, repr=False)
+
+    @property
+    def binary(self) -> bool:
+        """At most two distinct values; the data is looked at when this is asked."""
+        return self.is_binary()
+
+    @property
+    def categorical(self) -> bool:
+        return self.category or self.binary
 
     @property
     def kind(self) -> str:

@@ -2,8 +2,8 @@
 
 ``visits`` walks the key graph and says in which order which kind of feature is
 made for which entity; ``synthesize`` makes the features, as descriptions only.
-No data is read here except through the profile (binary columns, category values,
-time range, one-to-one edges).
+No data is read here except through the profile (category values, time range,
+one-to-one edges); binary columns are looked for when a role is asked for.
 """
 
 from __future__ import annotations
@@ -66,6 +66,7 @@ class Synthesis:
             self._add_base(entity)
 
     def run(self, target: str) -> Synthesis:
+        self.es.profile.prefetch()
         makers = {
             "agg": lambda entity, caller: self._aggregates(entity),
             "row": lambda entity, caller: self._row_functions(entity),
@@ -89,16 +90,21 @@ class Synthesis:
     def _add_base(self, entity: str) -> None:
         table = self.es[entity]
         keys = set(self.es.key_columns(entity))
-        binary = self.es.profile.binary(entity)
         for name, dtype in table.df.dtypes:
-            roles = {"numeric": dtype.startswith(_NUMERIC) and name not in keys, "categorical": False}
-            roles.update(table.config.feature_metadata.get(name, {}))
-            if name in binary:
-                roles["categorical"] = True
+            given = table.config.feature_metadata.get(name, {})
             self._add(
                 Feature(
-                    entity, name, name, dtype,
-                    binary=name in binary, key=name in keys, origin=f"{entity}.{name}", **roles,
+                    entity,
+                    name,
+                    name,
+                    dtype,
+                    numeric=given.get("numeric", dtype.startswith(_NUMERIC) and name not in keys),
+                    category=given.get("categorical", False),
+                    categorical_filter=given.get("categorical_filter", False),
+                    ignore=given.get("ignore", False),
+                    key=name in keys,
+                    origin=f"{entity}.{name}",
+                    is_binary=lambda name=name: name in self.es.profile.binary(entity),
                 )
             )
 
@@ -196,7 +202,7 @@ class Synthesis:
                 step = Step("row", function.name, entity, f.origin)
                 self._derive(
                     entity, f"{function.label}({f.name})", "int", f, step,
-                    numeric=function.numeric, categorical=function.categorical,
+                    numeric=function.numeric, category=function.categorical,
                 )
 
     # Lookups
@@ -227,7 +233,7 @@ class Synthesis:
                 step = Step("flat", None, origin, f.origin)
                 self._derive(
                     holder, f"{prefix}.{f.name}", f.dtype, f, step,
-                    numeric=f.numeric, categorical=f.categorical, binary=f.binary,
+                    numeric=f.numeric, category=f.category, is_binary=f.is_binary,
                     categorical_filter=f.categorical_filter, origin=f.origin, edge=edge, inverse=inverse,
                 )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relloom.plans.build import feature_matrix
@@ -15,16 +15,14 @@ from relloom.workload.registry import query
 STATUS_FILTER = {"entities": {"orders": metadata(o_orderstatus=FILTER)}}
 
 
-def _comparable(column: str, dtype: str) -> Column:
+def _comparable(df: DataFrame) -> DataFrame:
     """Doubles in single precision, after dropping the noise around zero deviations."""
-    plain = F.col(f"`{column}`")
-    return F.round(plain, 9).cast("float").alias(column) if dtype == "double" else plain
+    plain = [f"`{c}`" if t != "double" else f"cast(round(`{c}`, 9) as float) as `{c}`" for c, t in df.dtypes]
+    return df.selectExpr(*plain)
 
 
 def _chosen(made: Synthesis, entity: str, names: list[str]) -> DataFrame:
-    features = [made.features[entity][n] for n in names]
-    df = feature_matrix(made, entity, features)
-    return df.select(*[_comparable(c, t) for c, t in df.dtypes])
+    return _comparable(feature_matrix(made, entity, [made.features[entity][n] for n in names]))
 
 
 def _sql(value: str, name: str) -> str:
@@ -207,8 +205,7 @@ def interval_feature_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = {"entities": {"customer": {"make_intervals": {"events": {"n_intervals": 4, "delta_days": 7}}}}}
     made = synthesize(entity_set(spark, sf_dir, ["customer", "events"], config), "customer")
     windows = [f for f in made.of("customer") if f.interval is not None]
-    long = interval_long(feature_matrix(made, "customer", windows), "c_custkey", windows)
-    return long.select(*[_comparable(c, t) for c, t in long.dtypes])
+    return _comparable(interval_long(feature_matrix(made, "customer", windows), "c_custkey", windows))
 
 
 def _catalog_sql() -> str:

@@ -21,6 +21,9 @@ class FixedProfile:
         self._values = values or {}
         self._one_to_one = set(one_to_one)
 
+    def prefetch(self):
+        pass
+
     def binary(self, entity):
         return frozenset()
 
