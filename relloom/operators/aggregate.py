@@ -45,26 +45,36 @@ def _expression(spec: AggSpec, fk: str, already: frozenset) -> Column:
 def aggregate(child: DataFrame, fk: str, specs: Sequence[AggSpec]) -> DataFrame:
     """One row per foreign key value, one column per spec; NULL where no row counts.
 
-    Comparisons shared by all specs become one filter that reaches the scan.
+    Comparisons shared by all specs become one filter that reaches the scan. Counts
+    of many values of a column, and functions repeated over many time windows, are
+    pivots: a row is added to the one group it belongs to instead of being tested
+    against every condition.
     """
     rows = child.where(F.col(f"`{fk}`").isNotNull())
     shared = _shared_comparisons(specs)
     if shared:
         rows = rows.where(Predicate(tuple(shared)).to_column())
-    by_column = defaultdict(list)
+    by_value, by_window = defaultdict(list), defaultdict(list)
     for spec in specs:
-        column = _pivot_column(spec, shared)
-        if column:
-            by_column[column].append(spec)
-    pivots = {c: found for c, found in by_column.items() if len(found) >= PIVOT_FROM}
-    pivoted = {s.name for found in pivots.values() for s in found}
-    plain = [s for s in specs if s.name not in pivoted]
-    # Without a filter a count of rows keeps every key of the pivots in one frame.
-    plain_columns = [_expression(s, fk, shared) for s in plain] or [F.count(F.lit(1)).alias("_rows")]
-    out = rows.groupBy(fk).agg(*plain_columns)
-    for column, found in pivots.items():
-        values = {_pivot_value(s, shared): s.name for s in found}
-        out = attach(out, fk, pivot_counts(rows, fk, column, values), fk)
+        rest = _rest(spec, shared)
+        if AGGREGATES[spec.function].counts_rows and len(rest) == 1 and rest[0].op == "=":
+            by_value[rest[0].column].append(spec)
+        elif spec.predicate and spec.predicate.interval is not None and len({c.column for c in rest}) == 1:
+            by_window[rest[0].column].append(spec)
+    pivots = []
+    for column, found in by_value.items():
+        if len(found) >= PIVOT_FROM:
+            names = {_rest(s, shared)[0].value: s.name for s in found}
+            pivots.append((found, pivot_counts(rows, fk, column, names)))
+    for found in by_window.values():
+        if len(found) >= PIVOT_FROM:
+            pivots.append((found, _pivot_windows(rows, fk, found, shared)))
+    pivoted = {s.name for found, _ in pivots for s in found}
+    # Without plain specs a count of rows keeps every key of the pivots in one frame.
+    plain = [_expression(s, fk, shared) for s in specs if s.name not in pivoted]
+    out = rows.groupBy(fk).agg(*(plain or [F.count(F.lit(1)).alias("_rows")]))
+    for _, pivot in pivots:
+        out = attach(out, fk, pivot, fk)
     return out.select(fk, *[s.name for s in specs])
 
 
@@ -73,19 +83,9 @@ def _shared_comparisons(specs: Sequence[AggSpec]) -> frozenset:
     return frozenset.intersection(*sets) if sets else frozenset()
 
 
-def _pivot_rest(spec: AggSpec, shared: frozenset) -> list:
-    if not AGGREGATES[spec.function].counts_rows or not spec.predicate:
-        return []
-    return [c for c in spec.predicate.comparisons if c not in shared]
-
-
-def _pivot_column(spec: AggSpec, shared: frozenset) -> str | None:
-    rest = _pivot_rest(spec, shared)
-    return rest[0].column if len(rest) == 1 and rest[0].op == "=" else None
-
-
-def _pivot_value(spec: AggSpec, shared: frozenset) -> Any:
-    return _pivot_rest(spec, shared)[0].value
+def _rest(spec: AggSpec, shared: frozenset) -> list:
+    """The comparisons of a spec that the shared filter does not cover."""
+    return [c for c in spec.predicate.comparisons if c not in shared] if spec.predicate else []
 
 
 def pivot_counts(child: DataFrame, fk: str, column: str, names: dict[Any, str]) -> DataFrame:
@@ -94,6 +94,24 @@ def pivot_counts(child: DataFrame, fk: str, column: str, names: dict[Any, str])
     return wide.toDF(fk, *names.values())
 
 
+def _pivot_windows(rows: DataFrame, fk: str, specs: Sequence[AggSpec], shared: frozenset) -> DataFrame:
+    """Functions of disjoint time windows: every row goes to its own window only."""
+    windows = {s.predicate.interval: Predicate(tuple(_rest(s, shared))) for s in specs}
+    number = F.coalesce(*[F.when(p.to_column(), F.lit(n)) for n, p in windows.items()])
+    functions = dict.fromkeys((s.function, s.column) for s in specs)
+    values = []
+    for function, column in functions:
+        build = AGGREGATES[function]
+        values.append(build.build(F.col(f"`{fk if build.counts_rows else column}`")))
+    inside = rows.withColumn("_window", number).where(F.col("_window").isNotNull())
+    aliased = [v.alias(f"_{i}") for i, v in enumerate(values)]
+    wide = inside.groupBy(fk).pivot("_window", list(windows)).agg(*aliased)
+    cells = [(n, f) for n in windows for f in functions]
+    names = {(s.predicate.interval, (s.function, s.column)): s.name for s in specs}
+    wide = wide.toDF(fk, *[names.get(cell, f"_unused_{i}") for i, cell in enumerate(cells)])
+    return wide.select(fk, *[s.name for s in specs])
+
+
 def category_counts(
     child: DataFrame, fk: str, column: str, names: dict[Any, str], predicate: Predicate | None = None
 ) -> DataFrame:

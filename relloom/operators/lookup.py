@@ -18,34 +18,41 @@ def _shuffle_partitions(df: DataFrame) -> int:
 
 
 def hot_keys(df: DataFrame, column: str) -> list:
-    """Keys holding more than an average shuffle partition of the rows.
+    """Keys, NULL among them, holding more than an average shuffle partition of the rows.
 
     At most as many keys as there are shuffle partitions can pass, so the list is
     small whatever the data.
     """
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
     share = df.count() / _shuffle_partitions(df)
     return [r[0] for r in counts.where(F.col("_n") > share).select(column).collect()]
 
 
-def lookup_join(child: DataFrame, fk: str, parent: DataFrame, key: str) -> DataFrame:
+def lookup_join(
+    child: DataFrame, fk: str, parent: DataFrame, key: str, keys_from: DataFrame | None = None
+) -> DataFrame:
     """Left join of many child rows to at most one parent row each.
 
-    A parent small enough for Spark to broadcast is left to Spark. Beyond that the
-    rows are shuffled, with the hot foreign keys and the NULLs spread over salts;
-    the parent rows of hot keys are repeated once per salt.
+    A parent small enough for Spark to broadcast is left to Spark, as are keys that
+    spread well. Otherwise the rows of hot foreign keys, and those without one, are
+    spread over salts and the parent rows of hot keys are repeated once per salt.
+    The salt is a hash of the row, so select the needed columns first.
+
+    ``keys_from`` is where to look for hot keys if ``child`` is costly to compute:
+    the table its foreign key comes from.
     """
-    if fits_broadcast(parent):
-        return child.join(parent, F.col(f"`{fk}`") == F.col(f"`{key}`"), "left").drop(key)
-    hot = hot_keys(child, fk)
     fk_column, key_column = F.col(f"`{fk}`"), F.col(f"`{key}`")
-    plain = [c for c, t in child.dtypes if "map<" not in t]
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(SALTS)).cast("int")
-    is_hot = fk_column.isNull() | (fk_column.isin(hot) if hot else F.lit(False))
-    left = child.withColumn("_salt", F.when(is_hot, spread).otherwise(0))
+    hot = [] if fits_broadcast(parent) else hot_keys(child if keys_from is None else keys_from, fk)
+    if not hot:
+        return child.join(parent, fk_column == key_column, "left").drop(key)
+    values = [v for v in hot if v is not None]
+    hashed = [F.col(f"`{c}`") for c, t in child.dtypes if "map<" not in t]
+    spread = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
+    left = child.withColumn("_salt", F.when(fk_column.isNull() | fk_column.isin(values), spread).otherwise(0))
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    copies = F.when(key_column.isin(hot), every).otherwise(F.array(F.lit(0))) if hot else F.array(F.lit(0))
-    right = parent.withColumn("_copy", F.explode(copies))
+    right = parent.withColumn(
+        "_copy", F.explode(F.when(key_column.isin(values), every).otherwise(F.array(F.lit(0))))
+    )
     same = (fk_column == key_column) & (F.col("_salt") == F.col("_copy"))
     return left.join(right, same, "left").drop(key, "_salt", "_copy")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from relloom.operators.lookup import lookup_join
 from relloom.operators.ordered import with_position
+from relloom.runtime import materialize
 
 
 def training_matrix(
@@ -45,7 +46,8 @@ def label_encode(df: DataFrame, column: str, name: str) -> DataFrame:
     """
     values = df.select(column).distinct()
     codes = with_position(values, [F.col(column).asc_nulls_first()], name)
-    codes = codes.where(F.col(column).isNotNull()).withColumnRenamed(column, "_value")
+    # Written, so that the size of the code table is known to the join.
+    codes = materialize(codes.where(F.col(column).isNotNull()).withColumnRenamed(column, "_value"), "codes")
     joined = lookup_join(df, column, codes, "_value")
     return joined.withColumn(name, F.coalesce(F.col(name), F.lit(0)))
 

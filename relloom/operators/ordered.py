@@ -34,7 +34,8 @@ def with_position(df: DataFrame, order: Sequence[Column], name: str = "position"
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     place = F.col("_id").bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
-    return placed.join(starts, "_part").select(*df.columns, (F.col("_start") + place).alias(name))
+    # One row per sorted partition, however many rows there are.
+    return placed.join(F.broadcast(starts), "_part").select(*df.columns, (F.col("_start") + place).alias(name))
 
 
 def with_running(
@@ -75,7 +76,7 @@ def with_running(
             return F.greatest(here, start)
         return F.coalesce(here, F.lit(0)) + F.coalesce(start, F.lit(0))
 
-    return local.join(starts, "_part").select(*df.columns, *[combined(n).alias(n) for n in names])
+    return local.join(F.broadcast(starts), "_part").select(*df.columns, *[combined(n).alias(n) for n in names])
 
 
 def add_decile(df: DataFrame, column: str, key: str, n: int = 10) -> DataFrame:

@@ -157,7 +157,7 @@ class _Build:
             if inverse:
                 df = attach(df, edge.parent_column, right, "_key")
             else:
-                df = lookup_join(df, edge.child_column, right, "_key")
+                df = lookup_join(df, edge.child_column, right, "_key", keys_from=self.es[entity].df)
         return df
 
 

@@ -183,9 +183,15 @@ def filter_conjunction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = lookup_join(table(spark, sf_dir, "lineitem"), "l_orderkey", table(spark, sf_dir, "orders"), "o_orderkey")
-    wide = lookup_join(wide, "o_custkey", table(spark, sf_dir, "customer"), "c_custkey")
-    return lookup_join(wide, "c_nationkey", table(spark, sf_dir, "nation"), "n_nationkey")
+    """Lines with their parents: small parents first, so lines are joined once."""
+    read = lambda name, *columns: table(spark, sf_dir, name).select(*columns)
+    nation = read("nation", "n_nationkey", "n_name")
+    customer = read("customer", "c_custkey", "c_name", "c_mktsegment", "c_nationkey")
+    orders = read("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
+    customer = lookup_join(customer, "c_nationkey", nation, "n_nationkey")
+    orders = lookup_join(orders, "o_custkey", customer, "c_custkey")
+    lines = read("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    return lookup_join(lines, "l_orderkey", orders, "o_orderkey")
 
 
 WIDE_FILTER = Predicate.of(("o_orderstatus", "=", "F"), ("l_quantity", ">=", 10), ("c_mktsegment", "IS NOT NULL", None))

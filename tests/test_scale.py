@@ -26,7 +26,7 @@ def skewed(spark):
 
 
 def test_hot_keys(skewed):
-    assert hot_keys(skewed, "fk") == [7]
+    assert set(hot_keys(skewed, "fk")) == {7, None}
 
 
 def test_salted_lookup_equals_plain(no_broadcast, skewed):

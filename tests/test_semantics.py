@@ -11,7 +11,7 @@ from relloom.entityset import EntityConfig, EntitySet
 from relloom.functions.predicates import Comparison, Predicate
 from relloom.functions.rows import add_row_features, chosen_row_functions
 from relloom.operators import profile
-from relloom.operators.aggregate import AggSpec, aggregate_onto, category_counts, mean_gap_days
+from relloom.operators.aggregate import AggSpec, aggregate, aggregate_onto, category_counts, mean_gap_days
 from relloom.operators.explore import scatter_sample
 from relloom.operators.intervals import interval_predicates, interval_rows, window_bounds
 from relloom.operators.matrix import label_encode, one_hot, training_matrix
@@ -55,12 +55,27 @@ def test_many_values_are_pivoted_with_the_same_result(spark):
             assert r[f"n_{v}"] == narrow.get((r.fk, v))
 
 
+def test_many_windows_are_pivoted_with_the_same_result(spark):
+    child = spark.range(500).selectExpr(
+        "if(id % 9 = 0, null, id % 5) as fk", "timestamp_ntz'2024-03-01' - make_interval(0, 0, 0, int(id % 70)) as ts",
+        "cast(id % 13 as double) as v", "cast(id % 7 as double) as w",
+    )
+    windows = interval_predicates("ts", datetime(2024, 3, 1), datetime(2023, 1, 1), 6, 7)
+    measures = [("COUNT", None), ("sum", "v"), ("avg", "v"), ("max", "w"), ("std", "w"), ("min", "v")]
+    specs = [AggSpec(f"{f}_{c}_{p.interval}", f, c, p) for p in windows for f, c in measures]
+    specs.append(AggSpec("everything", "COUNT"))
+    got = {r.fk: r for r in aggregate(child, "fk", specs).collect()}
+    plan = aggregate(child, "fk", specs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "pivotfirst" in plan and len(got) == 5
+    for spec in specs:
+        for r in aggregate(child, "fk", [spec, AggSpec("all", "COUNT")]).collect():
+            assert got[r.fk][spec.name] == pytest.approx(r[spec.name]), spec
+
+
 def test_shared_condition_reaches_the_scan(spark, tmp_path):
     spark.range(10).selectExpr("id % 2 as fk", "cast(id as double) as v").write.parquet(str(tmp_path / "t"))
     child = spark.read.parquet(str(tmp_path / "t"))
     late = Predicate.of(("v", ">", 3.0))
-    from relloom.operators.aggregate import aggregate
-
     out = aggregate(child, "fk", [AggSpec("n", "COUNT", None, late), AggSpec("s", "sum", "v", late)])
     assert "GreaterThan(v,3.0)" in out._jdf.queryExecution().executedPlan().toString()
     assert rows(out, "fk") == [(0, 3, 18.0), (1, 3, 21.0)]
