@@ -2,9 +2,9 @@
 
 A window without partitions moves every row into one task. Here rows are range
 sorted, each keeps its place within its sorted partition, and only the totals per
-partition (a row each) are added up to find where a partition starts. A key that
-fills a third of the table spreads over as many partitions as it needs, because
-the sort keys include a tie breaker.
+partition (a row each) are added up to find where a partition starts. The sort keys
+must tell rows apart (by a tie breaker, or by adding up equal rows first): then a
+value that fills a third of the table spreads over many partitions.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from relloom.operators.lookup import lookup_join
 from relloom.runtime import materialize
 
 # monotonically_increasing_id keeps the partition above bit 33, the place below.
@@ -96,16 +97,20 @@ def add_decile(df: DataFrame, column: str, key: str, n: int = 10) -> DataFrame:
 def group_median(df: DataFrame, group: str, value: str, name: str = "median") -> DataFrame:
     """Exact median per group, NULLs ignored, without gathering a group in one task.
 
-    Rows are ordered by group and value, so a group is a run of positions and its
-    middle is found by arithmetic; the one or two middle rows come from a join on
-    the unique position.
+    Equal values of a group are first added up. In the order of group and value each
+    remaining row stands for a run of positions, and the one or two rows whose runs
+    hold the middle of their group give the median.
     """
-    known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull()).select(group, value)
-    placed = with_position(known, [F.col(group), F.col(value)], "_pos")
-    middle = placed.groupBy(group).agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
-    low = F.col("_first") + F.floor((F.col("_n") - 1) / 2)
-    high = F.col("_first") + F.floor(F.col("_n") / 2)
-    wanted = middle.select(group, F.explode(F.array_distinct(F.array(low, high))).alias("_pos"))
-    return (
-        wanted.join(placed.select("_pos", value), "_pos").groupBy(group).agg(F.avg(value).alias(name))
+    known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
+    runs = known.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
+    placed = with_running(runs, [F.col(group), F.col(value)], sums={"_before": "_n"})
+    whole = placed.groupBy(F.col(group).alias("_group")).agg(
+        F.min("_before").alias("_first"), F.sum("_n").alias("_total")
     )
+    joined = lookup_join(placed, group, whole, "_group")
+    start = F.col("_before") - F.col("_first")
+    holds = [
+        (start <= middle) & (middle < start + F.col("_n"))
+        for middle in (F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2))
+    ]
+    return joined.where(holds[0] | holds[1]).groupBy(group).agg(F.avg(value).alias(name))

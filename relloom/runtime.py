@@ -58,12 +58,17 @@ def fits_broadcast(df: DataFrame) -> bool:
 
 
 def local_session(app: str = "relloom", cpus: str | int = "*") -> SparkSession:
-    """Session used by the bench and the tests."""
+    """Session used by the bench and the tests.
+
+    The JVM does not compile methods above 8000 bytes; beyond that size, as with
+    hundreds of aggregates, Spark's plain code is faster than one generated method.
+    """
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import asdict
+from uuid import uuid4
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -93,6 +94,6 @@ def prediction_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     unlabeled, labeled = split_by_ids(_rows(spark, sf_dir, True), "doc_id", labels)
     scored, used = model.train_and_predict(labeled, unlabeled, "doc_id", LABEL, FEATURES, CATEGORICAL, PARAMS)
     name = ",".join(f"{k}_{v}" for k, v in asdict(used).items())
-    path = f"{shared_dir(spark)}/predictions/{name}"
+    path = f"{shared_dir(spark)}/predictions-{uuid4().hex}/{name}"
     write_predictions(scored, path, "doc_id", header=["doc_id", "probability"])
     return spark.read.schema("doc_id long, probability double").csv(path, header=True)

@@ -17,16 +17,16 @@ STATUS_FILTER = {"entities": {"orders": metadata(o_orderstatus=FILTER)}}
 
 def _comparable(df: DataFrame) -> DataFrame:
     """Doubles in single precision, after dropping the noise around zero deviations."""
-    plain = [f"`{c}`" if t != "double" else f"cast(round(`{c}`, 9) as float) as `{c}`" for c, t in df.dtypes]
-    return df.selectExpr(*plain)
+    return df.selectExpr(*[_single(f"`{c}`", f"`{c}`") if t == "double" else f"`{c}`" for c, t in df.dtypes])
 
 
 def _chosen(made: Synthesis, entity: str, names: list[str]) -> DataFrame:
     return _comparable(feature_matrix(made, entity, [made.features[entity][n] for n in names]))
 
 
-def _sql(value: str, name: str) -> str:
-    return f"cast(round({value}, 9) as float) as {name}"
+def _single(value: str, name: str) -> str:
+    """The same in Spark's and DuckDB's SQL."""
+    return f"cast(case when abs({value}) < 1e-9 then 0 else {value} end as float) as {name}"
 
 
 CUSTOMER_FEATURES = {
@@ -77,20 +77,20 @@ nat as (
   from cust group by 1),
 nation_full as (select nation.*, nat.* exclude (c_nationkey) from nation left join nat on n_nationkey = c_nationkey),
 reg as (select n_regionkey as rk, count(*) as n, cast(max(n) as double) as mx from nation_full group by 1)
-select c_custkey, {_sql('c_acctbal', 'c_acctbal')}, c_mktsegment, cust.n as count_orders,
+select c_custkey, {_single('c_acctbal', 'c_acctbal')}, c_mktsegment, cust.n as count_orders,
   f as count_orders_orders_o_orderstatus_f, o as count_orders_orders_o_orderstatus_o,
   p as count_orders_orders_o_orderstatus_p,
-  {_sql('cust.s', 'sum_orders_o_totalprice')}, {_sql('cust.a', 'avg_orders_o_totalprice')},
-  {_sql('x', 'max_orders_o_totalprice')}, {_sql('d', 'std_orders_o_totalprice')},
-  {_sql('i', 'min_orders_o_totalprice')}, {_sql('ln', 'sum_orders_count_lineitem')},
-  {_sql('lq', 'avg_orders_sum_lineitem_l_quantity')}, {_sql('le', 'max_orders_max_lineitem_l_extendedprice')},
-  {_sql('ld', 'std_orders_avg_lineitem_l_discount')}, cust.en as count_events, {_sql('v', 'sum_events_value')},
+  {_single('cust.s', 'sum_orders_o_totalprice')}, {_single('cust.a', 'avg_orders_o_totalprice')},
+  {_single('x', 'max_orders_o_totalprice')}, {_single('d', 'std_orders_o_totalprice')},
+  {_single('i', 'min_orders_o_totalprice')}, {_single('ln', 'sum_orders_count_lineitem')},
+  {_single('lq', 'avg_orders_sum_lineitem_l_quantity')}, {_single('le', 'max_orders_max_lineitem_l_extendedprice')},
+  {_single('ld', 'std_orders_avg_lineitem_l_discount')}, cust.en as count_events, {_single('v', 'sum_events_value')},
   n_name as n_nationkey_n_name, nf.n as n_nationkey_count_customer,
-  {_sql('nf.a', 'n_nationkey_avg_customer_c_acctbal')},
-  {_sql('nf.s', 'n_nationkey_sum_customer_sum_orders_o_totalprice')},
-  {_sql('nf.en', 'n_nationkey_max_customer_count_events')},
+  {_single('nf.a', 'n_nationkey_avg_customer_c_acctbal')},
+  {_single('nf.s', 'n_nationkey_sum_customer_sum_orders_o_totalprice')},
+  {_single('nf.en', 'n_nationkey_max_customer_count_events')},
   r_name as n_nationkey_r_regionkey_r_name, reg.n as n_nationkey_r_regionkey_count_nation,
-  {_sql('reg.mx', 'n_nationkey_r_regionkey_max_nation_count_customer')}
+  {_single('reg.mx', 'n_nationkey_r_regionkey_max_nation_count_customer')}
 from cust left join nation_full nf on c_nationkey = n_nationkey left join region on n_regionkey = r_regionkey
 left join reg on r_regionkey = rk
 """
@@ -121,16 +121,16 @@ def _order_sql() -> str:
         if (f, below) not in FORBIDDEN
     }
     per_customer = ", ".join(f"{value} as {name}" for name, value in stacked.items())
-    own = ", ".join(["count_lineitem", *[_sql(name, name) for name in inner]])
-    copied = ", ".join(_sql(name, f"c_custkey_{name}") for name in stacked)
+    own = ", ".join(["count_lineitem", *[_single(name, name) for name in inner]])
+    copied = ", ".join(_single(name, f"c_custkey_{name}") for name in stacked)
     return f"""
 with line as (select l_orderkey, count(*) as count_lineitem, {per_line} from lineitem group by 1),
 ord as (select * from orders left join line on o_orderkey = l_orderkey),
 cust as (select o_custkey as k, count(*) as n, {per_customer} from ord group by 1)
-select o_orderkey, o_orderstatus, {_sql('o_totalprice', 'o_totalprice')}, o_orderdate, o_orderpriority, {own},
+select o_orderkey, o_orderstatus, {_single('o_totalprice', 'o_totalprice')}, o_orderdate, o_orderpriority, {own},
   cast(isodow(o_orderdate) - 1 as integer) as weekday_o_orderdate,
   cast(month(o_orderdate) as integer) as month_o_orderdate, c_name as c_custkey_c_name,
-  {_sql('c_acctbal', 'c_custkey_c_acctbal')}, c_mktsegment as c_custkey_c_mktsegment,
+  {_single('c_acctbal', 'c_custkey_c_acctbal')}, c_mktsegment as c_custkey_c_mktsegment,
   c_nationkey as c_custkey_c_nationkey, n as c_custkey_count_orders, {copied}
 from ord left join customer on o_custkey = c_custkey left join cust on o_custkey = k
 """
@@ -148,7 +148,7 @@ def order_feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     "supplier_feature_matrix",
     f"""
 with o as (select o_orderkey, o_totalprice, o_orderpriority from orders),
-agg as (select l_suppkey, count(l_suppkey) as n, {_sql('avg(o_totalprice)', 'a')}, {_sql('max(p_retailprice)', 'm')},
+agg as (select l_suppkey, count(l_suppkey) as n, {_single('avg(o_totalprice)', 'a')}, {_single('max(p_retailprice)', 'm')},
           nullif(count(*) filter (o_orderpriority = '1-URGENT' and l_shipdate >= timestamp '1998-01-01'), 0) as u,
           nullif(count(*) filter (o_orderpriority = '5-LOW' and l_shipdate >= timestamp '1998-01-01'), 0) as l
         from lineitem left join o on l_orderkey = o_orderkey left join part on l_partkey = p_partkey
@@ -193,9 +193,9 @@ def _interval_sql() -> str:
 with bucket as (select user_id, value, case {cases} end as i from events, (select max(ts) as m from events)),
 agg as (select user_id, i, count(*)::double as c, sum(value) as s, avg(value) as a, max(value) as x,
           stddev_pop(value) as d, min(value) as n from bucket where i is not null group by 1, 2)
-select c_custkey, w.i as interval, {_sql('c', '"COUNT(events[int])"')}, {_sql('s', '"sum(events.value[int])"')},
-  {_sql('a', '"avg(events.value[int])"')}, {_sql('x', '"max(events.value[int])"')},
-  {_sql('d', '"std(events.value[int])"')}, {_sql('n', '"min(events.value[int])"')}
+select c_custkey, w.i as interval, {_single('c', '"COUNT(events[int])"')}, {_single('s', '"sum(events.value[int])"')},
+  {_single('a', '"avg(events.value[int])"')}, {_single('x', '"max(events.value[int])"')},
+  {_single('d', '"std(events.value[int])"')}, {_single('n', '"min(events.value[int])"')}
 from customer join (values (0), (1), (2), (3)) w(i) on true left join agg on c_custkey = user_id and w.i = agg.i"""
 
 
