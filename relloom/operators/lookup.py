@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from relloom.runtime import fits_broadcast
 
 # Over how many places the rows of one hot key are spread.
 SALTS = 64
+# Column that tells rows of a table without a key apart, see with_spread.
+SPREAD = "_spread"
 
 
 def _shuffle_partitions(df: DataFrame) -> int:
@@ -28,6 +31,22 @@ def hot_keys(df: DataFrame, column: str) -> list:
     return [r[0] for r in counts.where(F.col("_n") > share).select(column).collect()]
 
 
+def with_spread(df: DataFrame) -> DataFrame:
+    """Add the row's place in its file, for salting rows that may be equal otherwise.
+
+    It is the same when a task is repeated, and unlike a generated id it lets filters
+    through to the scan. A frame that is not read from files gets a hash of the row.
+    """
+    try:
+        return df.select("*", F.col("_metadata.row_index").alias(SPREAD))
+    except AnalysisException:
+        return df.withColumn(SPREAD, _row_hash(df))
+
+
+def _row_hash(df: DataFrame) -> Column:
+    return F.xxhash64(*[F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t])
+
+
 def lookup_join(
     child: DataFrame, fk: str, parent: DataFrame, key: str, keys_from: DataFrame | None = None
 ) -> DataFrame:
@@ -36,7 +55,8 @@ def lookup_join(
     A parent small enough for Spark to broadcast is left to Spark, as are keys that
     spread well. Otherwise the rows of hot foreign keys, and those without one, are
     spread over salts and the parent rows of hot keys are repeated once per salt.
-    The salt is a hash of the row, so select the needed columns first.
+    The salt is a hash of the row, so select the needed columns first; rows of a
+    table without a key should carry the column of ``with_spread``.
 
     ``keys_from`` is where to look for hot keys if ``child`` is costly to compute:
     the table its foreign key comes from.
@@ -46,8 +66,8 @@ def lookup_join(
     if not hot:
         return child.join(parent, fk_column == key_column, "left").drop(key)
     values = [v for v in hot if v is not None]
-    hashed = [F.col(f"`{c}`") for c, t in child.dtypes if "map<" not in t]
-    spread = F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int")
+    place = F.col(SPREAD) if SPREAD in child.columns else _row_hash(child)
+    spread = F.pmod(place, F.lit(SALTS)).cast("int")
     left = child.withColumn("_salt", F.when(fk_column.isNull() | fk_column.isin(values), spread).otherwise(0))
     every = F.sequence(F.lit(0), F.lit(SALTS - 1))
     right = parent.withColumn(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from relloom.functions.rows import ROW_FUNCTIONS
 from relloom.operators.aggregate import AggSpec, aggregate
-from relloom.operators.lookup import attach, lookup_join
+from relloom.operators.lookup import SPREAD, attach, lookup_join, with_spread
 from relloom.plans.features import Feature
 from relloom.plans.synthesis import Synthesis
 from relloom.runtime import broadcast_limit, materialize, plan_bytes
@@ -125,7 +125,10 @@ class _Build:
             for f in held
             if f.kind == "row"
         ]
-        return self.es[entity].df.select(*[F.col(f"`{c}`") for c in columns], *rows)
+        table, spread = self.es[entity].df, []
+        if self.es[entity].key is None and self.es.parents(entity):
+            table, spread = with_spread(table), [SPREAD]
+        return table.select(*[F.col(f"`{c}`") for c in columns], *rows, *spread)
 
     def _lookup_source(self, entity: str, level: int) -> DataFrame:
         """A parent frame to look up from.

@@ -17,7 +17,15 @@ from relloom.operators.aggregate import (
     mean_gap_days,
 )
 from relloom.operators.intervals import interval_predicates, interval_rows
-from relloom.operators.lookup import attach, flatten, lookup_join, split_by_ids, wide_read
+from relloom.operators.lookup import (
+    SPREAD,
+    attach,
+    flatten,
+    lookup_join,
+    split_by_ids,
+    wide_read,
+    with_spread,
+)
 from relloom.operators.ordered import add_decile, group_median
 from relloom.workload.data import EDGES, KEYS, entity_set
 from relloom.workload.registry import cents, query, single, table
@@ -190,7 +198,8 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = read("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "o_orderpriority")
     customer = lookup_join(customer, "c_nationkey", nation, "n_nationkey")
     orders = lookup_join(orders, "o_custkey", customer, "c_custkey")
-    lines = read("lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    lines = with_spread(table(spark, sf_dir, "lineitem"))
+    lines = lines.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", SPREAD)
     return lookup_join(lines, "l_orderkey", orders, "o_orderkey")
 
 
@@ -387,7 +396,7 @@ def agg_stacked_three_level(spark: SparkSession, sf_dir: str) -> DataFrame:
          from lineitem left join orders on l_orderkey = o_orderkey group by 1) on p_partkey = l_partkey""",
 )
 def agg_over_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    lines = with_spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_partkey", SPREAD)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
     flat = lookup_join(lines, "l_orderkey", orders, "o_orderkey")
     specs = [AggSpec("avg_order_price", "avg", "o_totalprice"), AggSpec("max_order_price", "max", "o_totalprice")]
@@ -445,7 +454,7 @@ def _priority_sql(extra: str) -> str:
 
 def _supplier_priorities(spark: SparkSession, sf_dir: str, predicate: Predicate | None) -> DataFrame:
     es = entity_set(spark, sf_dir, ["supplier", "lineitem", "orders"])
-    lines = es["lineitem"].df.select("l_orderkey", "l_suppkey")
+    lines = with_spread(es["lineitem"].df).select("l_orderkey", "l_suppkey", SPREAD)
     orders = es["orders"].df.select("o_orderkey", "o_orderpriority", "o_orderdate")
     flat = lookup_join(lines, "l_orderkey", orders, "o_orderkey")
     names = {v: f"count_{v[0]}" for v in es.profile.values("orders", "o_orderpriority")}
@@ -474,7 +483,7 @@ def count_by_category_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
 def count_by_wide_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fifty values: counted through a pivot instead of fifty conditions."""
     es = entity_set(spark, sf_dir, ["nation", "supplier", "lineitem"])
-    lines = es["lineitem"].df.select("l_suppkey", "l_quantity")
+    lines = with_spread(es["lineitem"].df).select("l_suppkey", "l_quantity", SPREAD)
     flat = lookup_join(lines, "l_suppkey", es["supplier"].df.select("s_suppkey", "s_nationkey"), "s_suppkey")
     names = {v: f"count_{v:.0f}" for v in es.profile.values("lineitem", "l_quantity")}
     counts = category_counts(flat, "s_nationkey", "l_quantity", names)
@@ -598,7 +607,8 @@ def flat_multi_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     customer = lookup_join(read("customer", "c_custkey", "c_acctbal", "c_nationkey"), "c_nationkey", nation, "n_nationkey")
     orders = lookup_join(read("orders", "o_orderkey", "o_totalprice", "o_custkey"), "o_custkey", customer, "c_custkey")
-    lines = lookup_join(read("lineitem", "l_orderkey", "l_linenumber", "l_quantity"), "l_orderkey", orders, "o_orderkey")
+    lines = with_spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", "l_quantity", SPREAD)
+    lines = lookup_join(lines, "l_orderkey", orders, "o_orderkey")
     return lines.select("l_orderkey", "l_linenumber", "l_quantity", "o_totalprice", "c_acctbal", "n_name", "r_name")
 
 

@@ -10,7 +10,7 @@ import pytest
 from conftest import SF_DIR, rows
 from pyspark.sql import functions as F
 
-from relloom.operators.lookup import SALTS, hot_keys, lookup_join
+from relloom.operators.lookup import SALTS, SPREAD, hot_keys, lookup_join, with_spread
 from relloom.operators.ordered import add_decile, group_median, with_position, with_running
 from relloom.operators.statistics import feature_auc
 from relloom.runtime import shared_dir
@@ -44,6 +44,21 @@ def test_salted_lookup_equals_plain(no_broadcast, skewed):
     assert alone == 1 and tasks > 4 and SALTS > 4
 
 
+def test_equal_rows_of_a_hot_key_are_spread(no_broadcast, tmp_path):
+    """All rows alike, as in a table without a key."""
+    no_broadcast.range(5000).selectExpr("7 as fk", "1 as v").write.parquet(str(tmp_path / "t"))
+    parent = no_broadcast.range(20).selectExpr("id as pk", "id * 10 as w")
+    child = with_spread(no_broadcast.read.parquet(str(tmp_path / "t"))).select("fk", SPREAD)
+    joined = lookup_join(child, "fk", parent, "pk").select("fk", "w")
+    assert rows(joined.groupBy("fk", "w").count(), "fk") == [(7, 70, 5000)]
+    no_broadcast.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert joined.groupBy(F.spark_partition_id()).count().count() > 4
+    finally:
+        no_broadcast.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert with_spread(no_broadcast.range(3).groupBy("id").count()).columns == ["id", "count", SPREAD]
+
+
 def test_positions_over_many_partitions(spark):
     values = [random.Random(1).randint(0, 20) for _ in range(2000)]
     df = spark.createDataFrame(list(enumerate(values)), "id int, v int").repartition(8)
