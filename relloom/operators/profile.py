@@ -21,16 +21,20 @@ MAX_FILTER_VALUES = 10_000
 PROBE_ROWS = 1_000
 
 
+def _quoted(column: str) -> Column:
+    return F.col(f"`{column}`")
+
+
 def distinct_values(df: DataFrame, column: str) -> DataFrame:
     """Sorted distinct values, without NULL and empty text."""
-    values = df.select(F.col(column).alias("value")).where(F.col("value").isNotNull())
+    values = df.select(_quoted(column).alias("value")).where(F.col("value").isNotNull())
     if dict(df.dtypes)[column] == "string":
         values = values.where(F.col("value") != "")
     return values.distinct().orderBy("value")
 
 
 def column_range(df: DataFrame, column: str) -> DataFrame:
-    return df.agg(F.max(column).alias("max_value"), F.min(column).alias("min_value"))
+    return df.agg(F.max(_quoted(column)).alias("max_value"), F.min(_quoted(column)).alias("min_value"))
 
 
 def _one_row_to_long(row: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
@@ -40,18 +44,18 @@ def _one_row_to_long(row: DataFrame, columns: Sequence[str], value: str) -> Data
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact distinct counts of many columns in one job: ``column, n_distinct``."""
-    row = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in columns])
+    row = df.agg(*[F.count_distinct(_quoted(c)).alias(c) for c in columns])
     return _one_row_to_long(row, columns, "n_distinct")
 
 
 def varying_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Which columns have at least two distinct values, without counting them."""
-    row = df.agg(*[F.coalesce(F.min(c) < F.max(c), F.lit(False)).alias(c) for c in columns])
+    row = df.agg(*[F.coalesce(F.min(_quoted(c)) < F.max(_quoted(c)), F.lit(False)).alias(c) for c in columns])
     return _one_row_to_long(row, columns, "varies")
 
 
-def _distinct_up_to(df: DataFrame, columns: Sequence[str], most: int, count: Callable[[str], Column]) -> list[str]:
-    row = df.agg(*[count(c).alias(c) for c in columns]).first()
+def _distinct_up_to(df: DataFrame, columns: Sequence[str], most: int, count: Callable[[Column], Column]) -> list[str]:
+    row = df.agg(*[count(_quoted(c)).alias(c) for c in columns]).first()
     return [c for c in columns if row[c] <= most]
 
 

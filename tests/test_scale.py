@@ -10,10 +10,12 @@ import pytest
 from conftest import SF_DIR, rows
 from pyspark.sql import functions as F
 
+from relloom.operators.aggregate import AggSpec, aggregate_onto
 from relloom.operators.lookup import SALTS, SPREAD, hot_keys, lookup_join, with_spread
 from relloom.operators.ordered import add_decile, group_median, with_position, with_running
 from relloom.operators.statistics import feature_auc
 from relloom.runtime import shared_dir
+from relloom.sources.readers import catalog_tables
 from relloom.workload import QUERIES
 
 
@@ -142,3 +144,26 @@ def test_shared_folder_is_taken_from_the_session():
     assert shared_dir(session(None, "local[4]"))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(session(None, "yarn"))
+
+
+def test_bucketed_tables_need_no_shuffle(no_broadcast, tmp_path):
+    """Tables bucketed by their keys are aggregated and attached where they are."""
+    spark = no_broadcast
+    names = {"bucketed_parent": "id", "bucketed_child": "fk"}
+    frames = {
+        "bucketed_parent": spark.range(50),
+        "bucketed_child": spark.range(500).selectExpr("id % 50 as fk", "cast(id as double) as v"),
+    }
+    for name, key in names.items():
+        path = str(tmp_path / name)
+        frames[name].write.bucketBy(4, key).sortBy(key).option("path", path).saveAsTable(name)
+    try:
+        tables = catalog_tables(spark, names)
+        out = aggregate_onto(
+            tables["bucketed_parent"], "id", tables["bucketed_child"], "fk", [AggSpec("s", "sum", "v")]
+        )
+        assert "Exchange" not in _plan(out)
+        assert out.agg(F.sum("s")).first()[0] == sum(range(500))
+    finally:
+        for name in names:
+            spark.sql(f"drop table {name}")
