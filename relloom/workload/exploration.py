@@ -26,7 +26,7 @@ def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "scatter_sample",
-    f"""select o_orderkey, coalesce(o_totalprice, 0) as x, cast(coalesce(discount, 0) as float) as y from
+    f"""select o_orderkey, coalesce(o_totalprice, 0) as x, cast(coalesce(discount, 0) * 1.000000001e0 as float) as y from
         {ORDERS_SQL} order by md5(cast(o_orderkey as varchar)), o_orderkey limit 999""",
 )
 def scatter_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def scatter_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample.withColumn("y", single("y"))
 
 
-ROLLUP_SQL = "count(*) as orders, cast(sum(o_totalprice - coalesce(discount, 0)) as float) as profit, " \
+ROLLUP_SQL = "count(*) as orders, cast(sum(o_totalprice - coalesce(discount, 0)) * 1.000000001e0 as float) as profit, " \
              "round(sum(o_totalprice), 2) as gross"
 
 
@@ -90,7 +90,7 @@ def _dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
        cell as (select label, feature, abs((avg(value) - any_value(a)) / any_value(s)) as weight
                 from long join whole using (feature) group by 1, 2),
        bound as (select label, avg(weight) + 3 * stddev_pop(weight) as b from cell group by 1)
-       select label, cast(feature as integer) as feature, cast(weight as float) as weight
+       select label, cast(feature as integer) as feature, cast(weight * 1.000000001e0 as float) as weight
        from cell join bound using (label) where weight > b""",
 )
 def cluster_feature_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "scale_unit_variance",
-    """select p_partkey, cast(p_size / s1 as float) as p_size, cast(p_retailprice / s2 as float) as p_retailprice
+    """select p_partkey, cast(p_size / s1 * 1.000000001e0 as float) as p_size, cast(p_retailprice / s2 * 1.000000001e0 as float) as p_retailprice
        from part, (select stddev_pop(p_size) as s1, stddev_pop(p_retailprice) as s2 from part)""",
 )
 def scale_unit_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,8 +119,8 @@ def scale_unit_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "scale_standard",
-    """select p_partkey, cast((p_size - a1) / s1 as float) as p_size,
-              cast((p_retailprice - a2) / s2 as float) as p_retailprice
+    """select p_partkey, cast((p_size - a1) / s1 * 1.000000001e0 as float) as p_size,
+              cast((p_retailprice - a2) / s2 * 1.000000001e0 as float) as p_retailprice
        from part, (select avg(p_size) as a1, stddev_pop(p_size) as s1, avg(p_retailprice) as a2,
                           stddev_pop(p_retailprice) as s2 from part)""",
 )
@@ -136,7 +136,7 @@ MEASURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 @query(
     "variance_filter",
     " union all ".join(
-        f"select '{c}' as feature, cast(var_pop({v}) as float) as variance from lineitem having var_pop({v}) > 0"
+        f"select '{c}' as feature, cast(var_pop({v}) * 1.000000001e0 as float) as variance from lineitem having var_pop({v}) > 0"
         for c, v in [*zip(MEASURES, MEASURES, strict=True), ("constant", "1.0")]
     ),
 )
@@ -148,7 +148,7 @@ def variance_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _anova_sql(feature: str) -> str:
     return f"""select '{feature}' as feature, cast(
-        (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) as float) as f_score
+        (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) * 1.000000001e0 as float) as f_score
       from (select l_returnflag, count(*) as n, avg({feature}) as m, var_pop({feature}) as v
             from lineitem group by 1), (select avg({feature}) as g from lineitem)"""
 
@@ -177,7 +177,7 @@ def _auc_sql(column: str, label: str, source: str) -> str:
           from {source} where {label} is not null group by 1)))"""
 
 
-@query("auc_by_rank", f"select cast({_auc_sql('n_chars', 'label_toxic', DOCUMENTS)} as float) as auc")
+@query("auc_by_rank", f"select cast({_auc_sql('n_chars', 'label_toxic', DOCUMENTS)} * 1.000000001e0 as float) as auc")
 def auc_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = document_matrix(spark, sf_dir).select(LABEL, "n_chars")
     return statistics.auc_by_rank(scored, LABEL, "n_chars").select(single("auc"))
@@ -189,7 +189,7 @@ QUALITY_FEATURES = ["length_text", "n_chars", "label_toxic"]
 @query(
     "feature_quality_auc",
     " union all ".join(
-        f"select '{c}' as feature, cast(greatest(a, 1 - a) as float) as quality from "
+        f"select '{c}' as feature, cast(greatest(a, 1 - a) * 1.000000001e0 as float) as quality from "
         f"(select {_auc_sql(c, 'label_quality', DOCUMENTS)} as a)"
         for c in QUALITY_FEATURES
     ),

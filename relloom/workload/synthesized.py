@@ -26,7 +26,7 @@ def _chosen(made: Synthesis, entity: str, names: list[str]) -> DataFrame:
 
 def _single(value: str, name: str) -> str:
     """The same in Spark's and DuckDB's SQL."""
-    return f"cast(case when abs({value}) < 1e-9 then 0 else {value} end as float) as {name}"
+    return f"cast(case when abs({value}) < 1e-9 then 0 else {value} end * 1.000000001e0 as float) as {name}"
 
 
 CUSTOMER_FEATURES = {
