@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from relloom.llm.common import table
 from relloom.llm.language_id import language_id
+from relloom.llm.packing import pack
 from relloom.llm.quality_rules import quality_rules
 from relloom.llm.secret_scan import secret_scan
 
@@ -88,3 +89,15 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_language_id")
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Where the installed vocabulary file lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op8_best_fit_packing")
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
