@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relloom.llm.common import table
+from relloom.llm.fingerprint import compare_with_next
 from relloom.llm.language_id import language_id
+from relloom.llm.ngram_join import ngram_join
 from relloom.llm.packing import pack
 from relloom.llm.quality_rules import quality_rules
 from relloom.llm.secret_scan import secret_scan
@@ -101,3 +103,13 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query("op9_ngram_join")
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
