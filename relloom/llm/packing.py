@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from relloom.llm.common import Batches, coded, map_batches, settle, steps, taken, text_columns, words_of
 
 #: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 250_000
+#: Text that a step tokenizes at a time.
+TOKEN_STEP = 2 << 20
 #: Letters that a lower-casing, composing tokenizer takes as one word, and what may end it.
 PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
 #: The splitting rule under which a run of letters is a word by itself (a fixed value).
@@ -133,7 +135,7 @@ def _pieces(batches: Batches, tokenizer: str, most: int, end_id: int) -> Batches
     chunk = context.partitionId() if context else 0
     ranks = np.zeros(most + 1, np.int64)
     for batch in batches:
-        for part in steps(batch):
+        for part in steps(batch, most=TOKEN_STEP):
             ids, counts = ids_of(part["text"])
             # every document ends with ``end_id``
             ends = np.cumsum(counts)
