@@ -9,8 +9,9 @@ shares the smaller of its two ``k`` in both prefixes.
 
 Steps: (1) hash the sets, give equal sets one class, count shingles in a sketch of fixed
 size; (2) post each class under the shingles of its prefix and keep postings that meet;
-(3) verify in blocks of bounded size where the sets are brought together, returning a
-spanning forest of links; (4) contract links into components. A class is posted once per
+(3) count shared prefix shingles in pairs of blocks of bounded size, which only the
+prefixes reach, and keep the members that some other one asks for; (4) bring whole sets to
+those, verify, and return a spanning forest of links; (5) contract links into components. A class is posted once per
 task however many copies it has, and no pair leaves a block unless it joins two trees.
 """
 
@@ -32,8 +33,8 @@ from relloom.llm.common import Batches, coded, map_batches, settle, steps, taken
 
 #: Counters of the sketch of document frequencies, and how many of them form a row.
 CELLS, BLOCK = 1 << 20, 1 << 14
-#: Shingles that one side of a verified block holds, unless a single set is larger.
-BLOCK_SHINGLES = 200_000
+#: Prefix shingles that one side of a pair of blocks holds, unless a single set has more.
+BLOCK_SHINGLES = 100_000
 #: Verifying a candidate costs about as much as reading so many postings.
 VERIFY_COST = 20.0
 #: Bits of the filter of sets that verification needs; wrong hits are dropped by a join.
@@ -201,8 +202,8 @@ def _meeting(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["token", "node"])
 
 
-def _needed(batches: Batches, width: int, threshold: Fraction, shared, noise: float, wanted) -> Batches:
-    """Sets, in global order, whose class is (or may be) among the wanted ones."""
+def _needed(batches: Batches, width: int, threshold: Fraction, shared, noise: float, wanted, whole: bool) -> Batches:
+    """Sets, in global order, whose class is (or may be) among the wanted ones: prefixes, or ``whole``."""
     sketch, bits, seen = shared.value, np.frombuffer(wanted.value, np.uint8), set()
     for _, sets in _sets(batches, width):
         rows = []
@@ -212,7 +213,7 @@ def _needed(batches: Batches, width: int, threshold: Fraction, shared, noise: fl
                 if bits[place >> 3] >> (place & 7) & 1:
                     seen.add(node)
                     inside, asked, length = _prefix(s, sketch, noise, threshold)
-                    rows.append((node, len(s), asked, length, inside.tobytes()))
+                    rows.append((node, len(s), asked, length, (inside if whole else inside[:length]).tobytes()))
         if rows:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -250,11 +251,12 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def links_of(a: list[tuple], b: list[tuple] | None, threshold: Fraction) -> list[tuple[int, int]]:
-    """A spanning forest of the links within ``a``, or between ``a`` and ``b``.
+#: class, n, matches asked, prefix length, set (or its prefix) in global order
+Member = tuple[int, int, int, int, np.ndarray]
 
-    Members are (class, n, matches asked, prefix length, set in global order).
-    """
+
+def matching(a: list[Member], b: list[Member] | None, threshold: Fraction) -> np.ndarray:
+    """Which members of ``a`` and ``b`` (or of ``a`` itself) must be verified against each other."""
     other = a if b is None else b
     n, m = np.array([x[1] for x in a])[:, None], np.array([x[1] for x in other])[None]
     fits = np.minimum(n, m) * threshold.denominator >= threshold.numerator * np.maximum(n, m)
@@ -263,12 +265,21 @@ def links_of(a: list[tuple], b: list[tuple] | None, threshold: Fraction) -> list
     if fits.any():
         asked = np.minimum(np.array([x[2] for x in a])[:, None], np.array([x[2] for x in other])[None])
         fits &= _overlaps([x[4][: x[3]] for x in a], [x[4][: x[3]] for x in other]) >= asked
+    return fits
+
+
+def links_of(a: list[Member], b: list[Member] | None, threshold: Fraction) -> list[tuple[int, int]]:
+    """A spanning forest of the links within ``a``, or between ``a`` and ``b``."""
+    other = a if b is None else b
+    fits = matching(a, b, threshold)
     rows, columns = np.flatnonzero(fits.any(1)), np.flatnonzero(fits.any(0))
     if not len(rows):
         return []
+    n, m = np.array([a[k][1] for k in rows])[:, None], np.array([other[k][1] for k in columns])[None]
     inter = _overlaps([a[k][4] for k in rows], [other[k][4] for k in columns])
-    union = n[rows] + m[:, columns] - inter
-    linked = fits[np.ix_(rows, columns)] & (inter * threshold.denominator >= threshold.numerator * union)
+    linked = fits[np.ix_(rows, columns)] & (
+        inter * threshold.denominator >= threshold.numerator * (n + m - inter)
+    )
     above: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -287,34 +298,65 @@ def links_of(a: list[tuple], b: list[tuple] | None, threshold: Fraction) -> list
     return out
 
 
-def _verify(batches: Batches, threshold: Fraction) -> Batches:
-    """Links of rows that come sorted by token, pair of blocks and block."""
+def _groups(batches: Batches) -> Iterator[tuple[tuple[int, int, int], list[Member], list[Member]]]:
+    """Pairs of blocks from rows that come sorted by token, pair of blocks and block."""
     group, members = None, ([], [])
-
-    def done() -> list[tuple[int, int]]:
-        first, second = members
-        if group[1] == group[2]:
-            return links_of(first, None, threshold) if len(first) > 1 else []
-        return links_of(first, second, threshold) if first and second else []
-
     for batch in batches:
-        found = []
-        for token, low, high, block, node, n, asked, length, tokens in zip(
-            *(batch[k].to_pylist() for k in range(9)), strict=True
-        ):
+        for token, low, high, block, *member, tokens in zip(*(batch[k].to_pylist() for k in range(9)), strict=True):
             if (token, low, high) != group:
                 if group:
-                    found += done()
+                    yield group, *members
                 group, members = (token, low, high), ([], [])
-            members[block != low].append((node, n, asked, length, np.frombuffer(tokens, np.uint64)))
-        if found:
+            members[block != low].append((*member, np.frombuffer(tokens, np.uint64)))
+    if group:
+        yield group, *members
+
+
+def _pairs(batches: Batches) -> Iterator[tuple[tuple[int, int, int], list[Member], list[Member] | None]]:
+    """Those groups that hold a pair; ``None`` for the second block if it is the first."""
+    for group, first, second in _groups(batches):
+        if group[1] == group[2]:
+            if len(first) > 1:
+                yield group, first, None
+        elif first and second:
+            yield group, first, second
+
+
+def _candidates(batches: Batches, threshold: Fraction) -> Batches:
+    """Members that must be verified against another one of their pair of blocks."""
+    for (token, low, high), first, second in _pairs(batches):
+        fits = matching(first, second, threshold)
+        if not fits.any():
+            continue
+        if second is None:
+            nodes = [(x[0], low) for x, k in zip(first, fits.any(1) | fits.any(0), strict=True) if k]
+        else:
+            nodes = [(x[0], low) for x, k in zip(first, fits.any(1), strict=True) if k]
+            nodes += [(x[0], high) for x, k in zip(second, fits.any(0), strict=True) if k]
+        k = len(nodes)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([token] * k, pa.int64()), pa.array([low] * k, pa.int32()), pa.array([high] * k, pa.int32()),
+                pa.array([b for _, b in nodes], pa.int32()), pa.array([x for x, _ in nodes], pa.int64()),
+            ],
+            names=["token", "low", "high", "block", "node"],
+        )
+
+
+def _verify(batches: Batches, threshold: Fraction) -> Batches:
+    for _, first, second in _pairs(batches):
+        if found := links_of(first, second, threshold):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["a", "b"]
             )
-    if group and (found := done()):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["a", "b"]
-        )
+
+
+def _bring(blocks: DataFrame, sets: DataFrame) -> DataFrame:
+    """Members with their sets, one pair of blocks after the other."""
+    one = sets.dropDuplicates(["node"])  # a class comes from every task that met it
+    return blocks.join(one, "node").repartition("token", "low", "high").sortWithinPartitions(
+        "token", "low", "high", "block"
+    ).select("token", "low", "high", "block", "node", "n", "asked", "length", "tokens")
 
 
 def _bits(nodes: DataFrame) -> bytes:
@@ -377,25 +419,31 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, threshold: Frac
         F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
     ).groupBy("m", "x", "y").agg(F.min("token").alias("token"))
     visits = settle(meeting.join(buckets.select("token"), "token", "left_semi"), "visits")
-    wanted = spark.sparkContext.broadcast(_bits(visits.select("node").distinct()))
-    sets = settle(map_batches(
-        docs, lambda b: _needed(b, width, threshold, shared, noise, wanted),
-        "node long, n long, asked int, length int, tokens binary",
-    ), "sets")
-    # a class that several tasks emitted is the same set each time
-    one = sets.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "asked", "length")])
-    sized = visits.join(one, "node")
-    blocks = sized.groupBy("token").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    dealt = sized.join(blocks, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    paired = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block",
-        "node", "n", "asked", "length",
+
+    def needed(nodes: DataFrame, whole: bool) -> DataFrame:
+        wanted = spark.sparkContext.broadcast(_bits(nodes.select("node").distinct()))
+        return settle(map_batches(
+            docs, lambda b: _needed(b, width, threshold, shared, noise, wanted, whole),
+            "node long, n long, asked int, length int, tokens binary",
+        ), "sets")
+
+    prefixes = needed(visits, whole=False)
+    sizes = prefixes.groupBy("node").agg(F.first("length").alias("size"))
+    blocks = visits.join(sizes, "node").groupBy("token").agg(
+        F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks")
+    )
+    paired = visits.join(blocks, "token").withColumn(
+        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    ).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node"
+    )
+    candidates = settle(map_batches(
+        _bring(paired, prefixes), lambda b: _candidates(b, threshold),
+        "token long, low int, high int, block int, node long",
+    ), "candidates")
+    return map_batches(
+        _bring(candidates, needed(candidates, whole=True)), lambda b: _verify(b, threshold), "a long, b long"
     )
-    tokens = sets.select("node", "tokens").dropDuplicates(["node"])
-    brought = paired.join(tokens, "node").repartition("token", "low", "high").sortWithinPartitions(
-        "token", "low", "high", "block"
-    ).select("token", "low", "high", "block", "node", "n", "asked", "length", "tokens")
-    return map_batches(brought, lambda b: _verify(b, threshold), "a long, b long")
 
 
 def ngram_join(
