@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from relloom.llm.common import table
 from relloom.llm.fingerprint import compare_with_next
 from relloom.llm.language_id import language_id
+from relloom.llm.license_scan import license_scan
 from relloom.llm.ngram_join import ngram_join
 from relloom.llm.packing import pack
 from relloom.llm.quality_rules import quality_rules
 from relloom.llm.secret_scan import secret_scan
+from relloom.llm.warc import derivatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +115,13 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+@query("op1_license_scan")
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@query("op5_warc_derivatives")
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(table(spark, sf_dir, "pages"))
