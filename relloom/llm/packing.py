@@ -10,7 +10,6 @@ counts per written chunk, so no length, however frequent, meets in one task.
 from __future__ import annotations
 
 import json
-import re
 import zlib
 from collections.abc import Sequence
 from itertools import chain
@@ -18,6 +17,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from relloom.llm.common import Batches, coded, map_batches, settle, steps, taken, text_columns, words_of
 
 #: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 #: Text that a step tokenizes at a time.
 TOKEN_STEP = 2 << 20
 #: Letters that a lower-casing, composing tokenizer takes as one word, and what may end it.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
+PLAIN = r"^(?P<head>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<tail>[.,]*)$"
 #: The splitting rule under which a run of letters is a word by itself (a fixed value).
 LETTER_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -99,28 +99,22 @@ class WordIds:
         words, begins = words_of(texts)
         if not len(words):
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        index, distinct = coded(words)
+        made = words.dictionary_encode()
+        index, distinct = made.indices.to_numpy(zero_copy_only=False).astype(np.int64), made.dictionary
         if len(self.known) > REMEMBERED:
             self.clear()
-        heads, tails, plain, other = [], [], {}, {}
-        for word in distinct:
-            if self.letters and (m := PLAIN.fullmatch(word)):
-                head, tail = m[1].lower(), m[2]
-                if head not in self.known:
-                    plain[head] = None
-                if tail not in self.known:
-                    other[tail] = None
-            else:
-                head, tail = word, ""
-                if head not in self.known:
-                    other[head] = None
-            heads.append(head)
-            tails.append(tail)
-        self._encode(list(plain), True)
-        self._encode([w for w in other if w not in plain], False)
-        both = np.empty((len(distinct), 2), np.int64)
-        both[:, 0] = np.fromiter(map(self.known.__getitem__, heads), np.int64, len(distinct))
-        both[:, 1] = np.fromiter(map(self.known.__getitem__, tails), np.int64, len(distinct))
+        parts = pc.extract_regex(distinct, PLAIN if self.letters else "(?P<head>$^)(?P<tail>)")
+        plain = parts.is_valid()
+        head, heads = coded(pc.if_else(plain, pc.utf8_lower(parts.field("head")), distinct))
+        tail, tails = coded(pc.if_else(plain, parts.field("tail"), ""))
+        is_plain = np.zeros(len(heads), bool)
+        is_plain[head] = plain.to_numpy(zero_copy_only=False)
+        self._encode([w for w, p in zip(heads, is_plain, strict=True) if p and w not in self.known], True)
+        other = [w for w, p in zip(heads, is_plain, strict=True) if not p] + tails
+        self._encode([w for w in dict.fromkeys(other) if w not in self.known], False)
+        both = np.stack([
+            np.fromiter(map(self.known.__getitem__, x), np.int64, len(x))[k] for k, x in ((head, heads), (tail, tails))
+        ], 1)
         ids = self.ids[taken(self.starts[both].ravel(), self.sizes[both].ravel())]
         size = self.sizes[both].sum(1)
         start = np.cumsum(size) - size
