@@ -18,6 +18,7 @@ task however many copies it has, and no pair leaves a block unless it joins two
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from relloom.llm.common import Batches, coded, map_batches, settle, steps, taken, text_columns, words_of
 
 #: Counters of the sketch of document frequencies, and how many of them form a row.
-CELLS, BLOCK = 1 << 20, 1 << 14
+CELLS, BLOCK = 1 << 22, 1 << 16
 #: Prefix shingles that one side of a pair of blocks holds, unless a single set has more.
 BLOCK_SHINGLES = 100_000
 #: Verifying a candidate costs about as much as reading so many postings.
@@ -84,11 +85,11 @@ def _sets(batches: Batches, width: int) -> Iterator[tuple[pa.RecordBatch, list[n
 def _classes(batches: Batches, width: int) -> Batches:
     """A row per document, and this task's sketch in rows of ``BLOCK`` counters."""
     names = ["doc_id", "n", "node", "block", "part", "counts"]
-    sketch = np.zeros(CELLS, np.int64)
+    sketch = np.zeros(CELLS, np.int32)
     for part, sets in _sets(batches, width):
         if any(len(s) for s in sets):
             cells = np.concatenate(sets) & np.uint64(CELLS - 1)
-            sketch += np.bincount(cells.astype(np.int64), minlength=CELLS)
+            sketch += np.bincount(cells.astype(np.int64), minlength=CELLS).astype(np.int32)
         k = len(sets)
         yield pa.RecordBatch.from_arrays([
             part["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
@@ -96,18 +97,26 @@ def _classes(batches: Batches, width: int) -> Batches:
             pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
         ], names=names)
     if sketch.any():
-        rows = sketch.astype("<i8").reshape(-1, BLOCK)
+        rows = sketch.reshape(-1, BLOCK)
         k, task = len(rows), TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([
             pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
             pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, task, np.int32)),
-            pa.array([r.tobytes() for r in rows], pa.binary()),
+            pa.array([_packed(r) for r in rows], pa.binary()),
         ], names=names)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), "<i8")
+
+
 def _sum_rows(rows: pd.DataFrame) -> pd.DataFrame:
-    total = np.sum([np.frombuffer(c, "<i8") for c in rows["counts"]], axis=0)
-    return pd.DataFrame({"block": rows["block"][:1], "part": rows["part"][:1], "counts": [total.tobytes()]})
+    total = np.sum([_unpacked(c) for c in rows["counts"]], axis=0)
+    return pd.DataFrame({"block": rows["block"][:1], "part": rows["part"][:1], "counts": [_packed(total)]})
 
 
 def _gather_sketch(rows: DataFrame) -> np.ndarray:
@@ -125,7 +134,7 @@ def _gather_sketch(rows: DataFrame) -> np.ndarray:
         )
     out = np.zeros(CELLS, np.int64)
     for r in rows.collect():
-        out.reshape(-1, BLOCK)[r["block"]] += np.frombuffer(r["counts"], "<i8")
+        out.reshape(-1, BLOCK)[r["block"]] += _unpacked(r["counts"])
     return out
 
 
@@ -202,6 +211,17 @@ def _meeting(batches: Batches) -> Batches:
         yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["token", "node"])
 
 
+def _short(tokens: np.ndarray) -> bytes:
+    """48 bits of each hash: among the shingles of two sets equal ones are the same ones."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _needed(batches: Batches, width: int, threshold: Fraction, shared, noise: float, wanted, whole: bool) -> Batches:
     """Sets, in global order, whose class is (or may be) among the wanted ones: prefixes, or ``whole``."""
     sketch, bits, seen = shared.value, np.frombuffer(wanted.value, np.uint8), set()
@@ -213,7 +233,7 @@ def _needed(batches: Batches, width: int, threshold: Fraction, shared, noise: fl
                 if bits[place >> 3] >> (place & 7) & 1:
                     seen.add(node)
                     inside, asked, length = _prefix(s, sketch, noise, threshold)
-                    rows.append((node, len(s), asked, length, (inside if whole else inside[:length]).tobytes()))
+                    rows.append((node, len(s), asked, length, _short(inside if whole else inside[:length])))
         if rows:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -224,6 +244,8 @@ def _needed(batches: Batches, width: int, threshold: Fraction, shared, noise: fl
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """How many values each array of ``a`` shares with each of ``b``; values are distinct."""
+    if len(a) * len(b) <= 4:
+        return np.array([[len(np.intersect1d(x, y, assume_unique=True)) for y in b] for x in a])
     values, of = np.unique(np.concatenate(a + b), return_inverse=True)
     na = np.array([len(x) for x in a])
     rows = np.concatenate([np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), [len(x) for x in b])])
@@ -307,7 +329,7 @@ def _groups(batches: Batches) -> Iterator[tuple[tuple[int, int, int], list[Membe
                 if group:
                     yield group, *members
                 group, members = (token, low, high), ([], [])
-            members[block != low].append((*member, np.frombuffer(tokens, np.uint64)))
+            members[block != low].append((*member, _long(tokens)))
     if group:
         yield group, *members
 
@@ -351,6 +373,24 @@ def _verify(batches: Batches, threshold: Fraction) -> Batches:
             )
 
 
+def _covering(visits: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of the groups by ``key`` that are needed for every pair of nodes to meet.
+
+    Of groups with the same nodes one stays, and a group goes if one other group is the
+    largest of each of its nodes, for it holds all of them.
+    """
+    sizes = settle(visits.groupBy(*key).agg(
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+    ).groupBy("m", "x", "y").agg(F.min(F.struct(*key)).alias("k")).select("k.*", "m"), "groups")
+    kept = settle(visits.join(sizes, key), "visits")
+    largest = kept.groupBy("node").agg(F.max(F.struct("m", *key)).alias("largest"))
+    needed = kept.join(largest, "node").groupBy(*key).agg(
+        F.min("largest").alias("low_l"), F.max("largest").alias("high_l"), F.max(F.struct("m", *key)).alias("own")
+    ).where((F.col("low_l") != F.col("high_l")) | (F.col("low_l") == F.col("own"))).select(*key)
+    return kept.drop("m").join(needed, key, "left_semi")
+
+
 def _bring(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     """Members with their sets, one pair of blocks after the other."""
     one = sets.dropDuplicates(["node"])  # a class comes from every task that met it
@@ -410,24 +450,20 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, threshold: Frac
     spark = docs.sparkSession
     sketch = _gather_sketch(classes.where("block is not null").select("block", "part", "counts"))
     noise = float(np.median(sketch))
-    shared = spark.sparkContext.broadcast(sketch.astype(np.int64))
+    shared = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
     posted = map_batches(docs, lambda b: _post(b, width, threshold, shared, noise), "token long, node long")
     dealt = posted.repartition(F.col("token")).sortWithinPartitions("token", "node")
     meeting = settle(map_batches(dealt, _meeting, "token long, node long"), "meeting")
-    # buckets with the same members need one visit
-    buckets = meeting.groupBy("token").agg(
-        F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
-    ).groupBy("m", "x", "y").agg(F.min("token").alias("token"))
-    visits = settle(meeting.join(buckets.select("token"), "token", "left_semi"), "visits")
+    visits = settle(_covering(meeting, ["token"]), "visits")
 
     def needed(nodes: DataFrame, whole: bool) -> DataFrame:
         wanted = spark.sparkContext.broadcast(_bits(nodes.select("node").distinct()))
-        return settle(map_batches(
+        return map_batches(
             docs, lambda b: _needed(b, width, threshold, shared, noise, wanted, whole),
             "node long, n long, asked int, length int, tokens binary",
-        ), "sets")
+        )
 
-    prefixes = needed(visits, whole=False)
+    prefixes = settle(needed(visits, whole=False), "prefixes")
     sizes = prefixes.groupBy("node").agg(F.first("length").alias("size"))
     blocks = visits.join(sizes, "node").groupBy("token").agg(
         F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks")
@@ -441,6 +477,7 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, threshold: Frac
         _bring(paired, prefixes), lambda b: _candidates(b, threshold),
         "token long, low int, high int, block int, node long",
     ), "candidates")
+    candidates = settle(_covering(candidates, ["token", "low", "high"]), "candidates")
     return map_batches(
         _bring(candidates, needed(candidates, whole=True)), lambda b: _verify(b, threshold), "a long, b long"
     )
