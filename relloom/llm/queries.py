@@ -12,6 +12,7 @@ from relloom.llm.language_id import language_id
 from relloom.llm.license_scan import license_scan
 from relloom.llm.ngram_join import ngram_join
 from relloom.llm.packing import pack
+from relloom.llm.piece_lattice import digests, read_pieces
 from relloom.llm.quality_rules import quality_rules
 from relloom.llm.secret_scan import secret_scan
 from relloom.llm.warc import derivatives
@@ -125,3 +126,9 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_warc_derivatives")
 def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(table(spark, sf_dir, "pages"))
+
+
+@query("op7_sentencepiece")
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = read_pieces(spark, tokenizer_path("piece_bpe_32k.model"))
+    return digests(table(spark, sf_dir, "documents"), pieces)
