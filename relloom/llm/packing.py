@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Sequence
+from functools import cache
 from itertools import chain
 from typing import NamedTuple
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from relloom.llm.common import Batches, coded, map_batches, settle, steps, taken, text_columns, words_of
 
 #: Distinct words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Text that a step tokenizes at a time.
 TOKEN_STEP = 2 << 20
 #: Letters that a lower-casing, composing tokenizer takes as one word, and what may end it.
@@ -42,6 +43,23 @@ class Capacity(NamedTuple):
     attention: int | None = None
 
 
+@cache
+def _loaded(path: str):
+    """A process's tokenizer, whether it follows the letter rule, and the ids that end a word."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    tokenizer = Tokenizer.from_file(path)
+    mark = made["model"].get("end_of_word_suffix")
+    rules, normal = json.dumps(made["pre_tokenizer"] or {}), json.dumps(made["normalizer"] or {})
+    letters = bool(mark) and json.dumps(LETTER_RULE)[1:-1] in rules and "Lowercase" in normal
+    ends = np.zeros(tokenizer.get_vocab_size(), bool)
+    if letters:
+        ends[[i for token, i in made["model"]["vocab"].items() if token.endswith(mark)]] = True
+    return tokenizer, letters, ends
+
+
 class WordIds:
     """Ids of words parted by ASCII white space, which the tokenizer drops.
 
@@ -51,19 +69,7 @@ class WordIds:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        with open(path, encoding="utf-8") as file:
-            made = json.load(file)
-        self.tokenizer = Tokenizer.from_file(path)
-        rules = json.dumps(made["pre_tokenizer"] or {})
-        mark = made["model"].get("end_of_word_suffix")
-        self.letters = bool(mark) and json.dumps(LETTER_RULE)[1:-1] in rules and "Lowercase" in json.dumps(
-            made["normalizer"] or {}
-        )
-        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        if self.letters:
-            self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(mark)]] = True
+        self.tokenizer, self.letters, self.ends = _loaded(path)
         self.clear()
 
     def clear(self) -> None:
