@@ -27,7 +27,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from relloom.llm.common import Batches, coded, map_batches, settle, steps, taken, text_columns, words_of
@@ -509,3 +509,41 @@ def ngram_join(
         "doc_id", F.col("n").alias("n_shingles"),
         F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
     )
+
+
+def keep_one(
+    docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``docs`` whose identifier is the least of their component, each once.
+
+    Rows that share an identifier are versions of one document: one of them stays (the
+    least text), and none if one is linked to a lesser identifier. Rows without an
+    identifier stay. A filter of fixed size lets rows that surely stay pass without a
+    shuffle; the others are looked up exactly.
+    """
+    joined = settle(ngram_join(docs, width, threshold, id_col, text_col), "joined").where("doc_id is not null")
+    gone = joined.where("component_id <> doc_id").select("doc_id").distinct()
+    twice = joined.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    doubtful = gone.unionByName(twice).select(F.xxhash64("doc_id").alias("node"))
+    filled = docs.sparkSession.createDataFrame(
+        [(k, row) for k, row in enumerate(_rows_of(_bits(doubtful))) if any(row)], "_row int, _bits binary"
+    )
+    identifier = F.col(f"`{id_col}`").cast("long")
+    place = F.xxhash64(identifier).bitwiseAND(F.lit(FILTER_BITS - 1))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place.bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))), 16, 10)
+    bit = F.expr("shiftright(_byte, cast(_place & 7 as int)) & 1")
+    marked = docs.withColumn("_place", place).withColumn("_row", F.shiftright("_place", 15).cast("int")).join(
+        F.broadcast(filled), "_row", "left"
+    ).withColumn("_byte", F.coalesce(byte.cast("int"), F.lit(0))).withColumn("_hit", (bit == 1) & identifier.isNotNull())
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    sure = marked.where(~F.col("_hit")).select(*columns)
+    asked = marked.where("_hit").select(*columns, identifier.alias("_id")).join(
+        gone.withColumnRenamed("doc_id", "_id"), "_id", "left_anti"
+    )
+    order = Window.partitionBy("_id").orderBy(F.col(f"`{text_col}`"))
+    one = asked.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*columns)
+    return sure.unionByName(one)
+
+
+def _rows_of(bits: bytes) -> list[bytes]:
+    return [bits[a : a + 4096] for a in range(0, len(bits), 4096)]

@@ -175,3 +175,13 @@ def quality_rules(
         "doc_id", *[f"in_{c}" for c in keep], *MEASURES, "broken", "base_failed",
         (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"),
     )
+
+
+def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns.
+
+    A filter on the verdict alone would be pushed below the measures and expand into
+    copies of all of them; one that also reads a row number stays where it is.
+    """
+    judged = quality_rules(docs, id_col, text_col, rules, docs.columns).withColumn("_at", F.monotonically_increasing_id())
+    return judged.where(F.col("kept") & (F.col("_at") >= 0)).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])

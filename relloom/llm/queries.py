@@ -15,6 +15,7 @@ from relloom.llm.packing import pack
 from relloom.llm.piece_lattice import digests, read_pieces
 from relloom.llm.quality_rules import quality_rules
 from relloom.llm.secret_scan import secret_scan
+from relloom.llm.tool_calls import SCHEMAS, calls_of_turns, link_tool_calls
 from relloom.llm.warc import derivatives
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +133,9 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = read_pieces(spark, tokenizer_path("piece_bpe_32k.model"))
     return digests(table(spark, sf_dir, "documents"), pieces)
+
+
+@query("op2_tool_calls")
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = calls_of_turns(table(spark, sf_dir, "conversations"))
+    return link_tool_calls(calls, results, SCHEMAS)
