@@ -38,6 +38,10 @@ CELLS, BLOCK = 1 << 22, 1 << 16
 BLOCK_SHINGLES = 100_000
 #: Verifying a candidate costs about as much as reading so many postings.
 VERIFY_COST = 20.0
+#: Groups of at most so many classes are looked at pair by pair, larger ones in blocks.
+FEW = 8
+#: The bits of a posting's size that hold the matches asked.
+ASKED = (1 << 30) - 1
 #: Bits of the filter of sets that verification needs; wrong hits are dropped by a join.
 FILTER_BITS = 1 << 25
 
@@ -171,44 +175,50 @@ def _prefix(tokens: np.ndarray, sketch: np.ndarray, noise: float, threshold: Fra
 
 
 def _post(batches: Batches, width: int, threshold: Fraction, shared, noise: float) -> Batches:
+    """A row per prefix shingle of each class; ``size`` holds n and the matches asked."""
     sketch, seen = shared.value, set()
     for _, sets in _sets(batches, width):
-        tokens, nodes, sizes = [], [], []
+        tokens, nodes, packed, lengths = [], [], [], []
         for s in sets:
             if len(s) and (node := class_of(s)) not in seen:
                 seen.add(node)
-                inside, _, length = _prefix(s, sketch, noise, threshold)
+                inside, asked, length = _prefix(s, sketch, noise, threshold)
                 tokens.append(inside[:length])
                 nodes.append(node)
-                sizes.append(length)
+                packed.append(len(s) << 30 | asked)
+                lengths.append(length)
         if tokens:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), sizes))],
-                names=["token", "node"],
+                [
+                    pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), lengths)),
+                    pa.array(np.repeat(np.array(packed, np.int64), lengths)),
+                ],
+                names=["token", "node", "size"],
             )
 
 
 def _meeting(batches: Batches) -> Batches:
     """Of rows sorted by token and node, those whose token has several nodes, each once."""
-    held: tuple[int, int, bool] | None = None  # the last row, and whether it met another
+    held: tuple[np.ndarray, bool] | None = None  # the last row, and whether it met another
     for batch in batches:
-        token, node = (batch[k].to_numpy() for k in range(2))
-        if not len(token):
+        rows = np.stack([batch[k].to_numpy() for k in range(3)], 1)
+        if not len(rows):
             continue
         if held:
-            token, node = np.concatenate([[held[0]], token]), np.concatenate([[held[1]], node])
-        met = bool(held and held[2])
-        new = np.concatenate([[True], (token[1:] != token[:-1]) | (node[1:] != node[:-1])])
-        token, node = token[new], node[new]
-        same = token[1:] == token[:-1]
+            rows = np.concatenate([held[0], rows])
+        met = bool(held and held[1])
+        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(1)])]
+        same = rows[1:, 0] == rows[:-1, 0]
         several = np.concatenate([[met], same]) | np.concatenate([same, [False]])
-        held = (int(token[-1]), int(node[-1]), bool(several[-1]))
+        held = (rows[-1:].copy(), bool(several[-1]))
         several[-1] = False
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(token[several]), pa.array(node[several])], names=["token", "node"]
-        )
-    if held and held[2]:
-        yield pa.RecordBatch.from_arrays([pa.array([held[0]]), pa.array([held[1]])], names=["token", "node"])
+        yield _posted(rows[several])
+    if held and held[1]:
+        yield _posted(held[0])
+
+
+def _posted(rows: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(rows[:, k]) for k in range(3)], names=["token", "node", "size"])
 
 
 def _short(tokens: np.ndarray) -> bytes:
@@ -273,8 +283,8 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-#: class, n, matches asked, prefix length, set (or its prefix) in global order
-Member = tuple[int, int, int, int, np.ndarray]
+#: class, n, matches asked, prefix length, set (or its prefix) in global order, groups it is in
+Member = tuple[int, int, int, int, np.ndarray, np.ndarray]
 
 
 def matching(a: list[Member], b: list[Member] | None, threshold: Fraction) -> np.ndarray:
@@ -324,12 +334,12 @@ def _groups(batches: Batches) -> Iterator[tuple[tuple[int, int, int], list[Membe
     """Pairs of blocks from rows that come sorted by token, pair of blocks and block."""
     group, members = None, ([], [])
     for batch in batches:
-        for token, low, high, block, *member, tokens in zip(*(batch[k].to_pylist() for k in range(9)), strict=True):
+        for token, low, high, block, *member, tokens, lists in zip(*(batch[k].to_pylist() for k in range(10)), strict=True):
             if (token, low, high) != group:
                 if group:
                     yield group, *members
                 group, members = (token, low, high), ([], [])
-            members[block != low].append((*member, _long(tokens)))
+            members[block != low].append((*member, _long(tokens), np.array(lists or [], np.int64)))
     if group:
         yield group, *members
 
@@ -348,6 +358,10 @@ def _candidates(batches: Batches, threshold: Fraction) -> Batches:
     """Members that must be verified against another one of their pair of blocks."""
     for (token, low, high), first, second in _pairs(batches):
         fits = matching(first, second, threshold)
+        if fits.any():
+            # a pair belongs to the first of the groups that both are in
+            before = _overlaps(*([x[5][x[5] < token] for x in side] for side in (first, second or first)))
+            fits &= before == 0
         if not fits.any():
             continue
         if second is None:
@@ -391,12 +405,16 @@ def _covering(visits: DataFrame, key: list[str]) -> DataFrame:
     return kept.drop("m").join(needed, key, "left_semi")
 
 
-def _bring(blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Members with their sets, one pair of blocks after the other."""
+def _bring(blocks: DataFrame, sets: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+    """Members with their sets (and the groups they are in), one pair of blocks after the other."""
     one = sets.dropDuplicates(["node"])  # a class comes from every task that met it
+    if lists is None:
+        one = one.withColumn("lists", F.lit(None).cast("array<bigint>"))
+    else:
+        one = one.join(lists, "node")
     return blocks.join(one, "node").repartition("token", "low", "high").sortWithinPartitions(
         "token", "low", "high", "block"
-    ).select("token", "low", "high", "block", "node", "n", "asked", "length", "tokens")
+    ).select("token", "low", "high", "block", "node", "n", "asked", "length", "tokens", "lists")
 
 
 def _bits(nodes: DataFrame) -> bytes:
@@ -445,16 +463,61 @@ def components(links: DataFrame) -> DataFrame:
     return settle(out, "roots") if len(hooks) > 1 else out
 
 
+def _few_matching(entries: DataFrame, threshold: Fraction) -> DataFrame:
+    """Members of groups of at most ``FEW`` classes that may share what one of a pair asks.
+
+    Pairs of such a group are counted over all groups; what larger groups may add is at
+    most the weight of those that both are in.
+    """
+    few = entries.where(F.col("m") <= FEW)
+    more = entries.where(F.col("m") > FEW).groupBy("node").agg(F.sum("w").alias("more"))
+    one = few.select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("asked").alias("ka"), "w")
+    two = few.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("asked").alias("kb"))
+    pairs = settle(one.join(two, "token").where(
+        (F.col("a") < F.col("b"))
+        & (F.least("na", "nb") * threshold.denominator >= F.greatest("na", "nb") * threshold.numerator)
+    ).select("token", "a", "b", "w", F.least("ka", "kb").alias("asked")), "pairs")
+    counted = pairs.groupBy("a", "b").agg(F.sum("w").alias("shared"), F.min("asked").alias("asked"))
+    passing = counted.join(more.select(F.col("node").alias("a"), F.col("more").alias("more_a")), "a", "left").join(
+        more.select(F.col("node").alias("b"), F.col("more").alias("more_b")), "b", "left"
+    ).where(
+        F.col("shared") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) >= F.col("asked")
+    ).select("a", "b")
+    met = pairs.join(passing, ["a", "b"]).select("token", F.explode(F.array("a", "b")).alias("node")).distinct()
+    zero = F.lit(0)
+    return met.select("token", zero.alias("low"), zero.alias("high"), zero.alias("block"), "node")
+
+
+def _many_matching(entries: DataFrame) -> DataFrame:
+    """Members of larger groups whose prefixes meet others often enough to match one there."""
+    often = entries.groupBy("node").agg(F.sum("w").alias("met"))
+    return entries.where(F.col("m") > FEW).join(often, "node").where(
+        F.col("met") >= F.least("asked", "least")
+    ).select("token", "node")
+
+
 def class_links(docs: DataFrame, classes: DataFrame, width: int, threshold: Fraction) -> DataFrame:
     """Links (a, b) between classes that join exactly those that any links join."""
     spark = docs.sparkSession
     sketch = _gather_sketch(classes.where("block is not null").select("block", "part", "counts"))
     noise = float(np.median(sketch))
     shared = spark.sparkContext.broadcast(np.minimum(sketch, 2**31 - 1).astype(np.int32))
-    posted = map_batches(docs, lambda b: _post(b, width, threshold, shared, noise), "token long, node long")
+    posted = map_batches(docs, lambda b: _post(b, width, threshold, shared, noise), "token long, node long, size long")
     dealt = posted.repartition(F.col("token")).sortWithinPartitions("token", "node")
-    meeting = settle(map_batches(dealt, _meeting, "token long, node long"), "meeting")
-    visits = settle(_covering(meeting, ["token"]), "visits")
+    meeting = settle(map_batches(dealt, _meeting, "token long, node long, size long"), "meeting")
+    # postings of one token are a group; groups of the same classes count as one of weight w
+    groups = settle(meeting.groupBy("token").agg(
+        F.count("*").alias("m"), F.bit_xor(F.xxhash64("node")).alias("x"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"), F.min(F.col("size").bitwiseAND(F.lit(ASKED))).alias("least"),
+    ).groupBy("m", "x", "y").agg(
+        F.min("token").alias("token"), F.count("*").alias("w"), F.min("least").alias("least")
+    ).select("token", "m", "w", "least"), "groups")
+    entries = settle(meeting.join(groups, "token").select(
+        "token", "node", F.shiftright("size", 30).alias("n"), F.col("size").bitwiseAND(F.lit(ASKED)).alias("asked"),
+        "m", "w", "least",
+    ), "entries")
+    small, large = _few_matching(entries, threshold), _many_matching(entries)
+    visits = settle(_covering(large, ["token"]), "visits")
 
     def needed(nodes: DataFrame, whole: bool) -> DataFrame:
         wanted = spark.sparkContext.broadcast(_bits(nodes.select("node").distinct()))
@@ -473,11 +536,13 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, threshold: Frac
     ).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "token", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "node"
     )
+    # a class has no more groups than shingles in its prefix
+    lists = visits.groupBy("node").agg(F.collect_set("token").alias("lists"))
     candidates = settle(map_batches(
-        _bring(paired, prefixes), lambda b: _candidates(b, threshold),
+        _bring(paired, prefixes, lists), lambda b: _candidates(b, threshold),
         "token long, low int, high int, block int, node long",
     ), "candidates")
-    candidates = settle(_covering(candidates, ["token", "low", "high"]), "candidates")
+    candidates = settle(_covering(candidates.unionByName(small), ["token", "low", "high"]), "candidates")
     return map_batches(
         _bring(candidates, needed(candidates, whole=True)), lambda b: _verify(b, threshold), "a long, b long"
     )
