@@ -115,11 +115,13 @@ def measure(docs: DataFrame, text_col: str = "text", stop_words: Sequence[str] =
         lambda x: x["i"],
     )))
     repeated = F.col("_repeated")
-    step = step.withColumn("n_repeat_words", F.aggregate(
+    # the row number keeps filters on what follows from being pushed below the measures,
+    # where they would expand into copies of all of them
+    step = step.withColumn("n_repeat_words", F.when(F.monotonically_increasing_id() >= 0, F.aggregate(
         F.transform(repeated, lambda i, k: F.least(F.lit(3), F.coalesce(F.get(repeated, k + 1) - i, F.lit(3)))),
         F.lit(0).cast("long"),
         lambda total, x: total + x,
-    ))
+    )))
     n, lines = F.col("n_words"), F.col("_n_lines")
     return step.withColumns({
         "repeat_ratio": _ratio(F.col("n_repeat_words"), n),
@@ -178,10 +180,6 @@ def quality_rules(
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns.
-
-    A filter on the verdict alone would be pushed below the measures and expand into
-    copies of all of them; one that also reads a row number stays where it is.
-    """
-    judged = quality_rules(docs, id_col, text_col, rules, docs.columns).withColumn("_at", F.monotonically_increasing_id())
-    return judged.where(F.col("kept") & (F.col("_at") >= 0)).select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
+    """The rows of ``docs`` that are kept, with their columns."""
+    judged = quality_rules(docs, id_col, text_col, rules, docs.columns)
+    return judged.where("kept").select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
