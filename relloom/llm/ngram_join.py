@@ -542,7 +542,13 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, threshold: Frac
         _bring(paired, prefixes, lists), lambda b: _candidates(b, threshold),
         "token long, low int, high int, block int, node long",
     ), "candidates")
-    candidates = settle(_covering(candidates.unionByName(small), ["token", "low", "high"]), "candidates")
+    # what is left of a pair of blocks is small enough to be one block: all pairs in it are
+    # verified, so groups may cover each other
+    zero = F.lit(0)
+    candidates = candidates.select(
+        F.xxhash64("token", "low", "high").alias("token"), zero.alias("low"), zero.alias("high"), zero.alias("block"), "node"
+    ).distinct()
+    candidates = settle(_covering(candidates.unionByName(small), ["token"]), "candidates")
     return map_batches(
         _bring(candidates, needed(candidates, whole=True)), lambda b: _verify(b, threshold), "a long, b long"
     )
