@@ -48,7 +48,7 @@ def aggregate(child: DataFrame, fk: str, specs: Sequence[AggSpec]) -> DataFrame:
     Comparisons shared by all specs become one filter that reaches the scan. Counts
     of many values of a column, and functions repeated over many time windows, are
     pivots: a row is added to the one group it belongs to instead of being tested
-    against every condition.
+    against every condition; the results are the same.
     """
     rows = child.where(F.col(f"`{fk}`").isNotNull())
     shared = _shared_comparisons(specs)
@@ -64,8 +64,7 @@ def aggregate(child: DataFrame, fk: str, specs: Sequence[AggSpec]) -> DataFrame:
     pivots = []
     for column, found in by_value.items():
         if len(found) >= PIVOT_FROM:
-            names = {_rest(s, shared)[0].value: s.name for s in found}
-            pivots.append((found, pivot_counts(rows, fk, column, names)))
+            pivots.append((found, _pivot_values(rows, fk, column, found, shared)))
     for found in by_window.values():
         if len(found) >= PIVOT_FROM:
             pivots.append((found, _pivot_windows(rows, fk, found, shared)))
@@ -88,10 +87,18 @@ def _rest(spec: AggSpec, shared: frozenset) -> list:
     return [c for c in spec.predicate.comparisons if c not in shared] if spec.predicate else []
 
 
-def pivot_counts(child: DataFrame, fk: str, column: str, names: dict[Any, str]) -> DataFrame:
-    """Rows per key and value, one column per value; NULL where there is none."""
-    wide = child.groupBy(fk).pivot(column, list(names)).agg(F.count(F.lit(1)))
-    return wide.toDF(fk, *names.values())
+def _pivot_values(rows: DataFrame, fk: str, column: str, specs: Sequence[AggSpec], shared: frozenset) -> DataFrame:
+    """Functions of the rows that have a value: every row goes to its own value only."""
+    values = list(dict.fromkeys(_rest(s, shared)[0].value for s in specs))
+    functions = list(dict.fromkeys(s.function for s in specs))
+    built = [AGGREGATES[f].build(F.col(f"`{fk}`")).alias(f"_{i}") for i, f in enumerate(functions)]
+    wide = rows.groupBy(fk).pivot(column, values).agg(*built)
+    cells = {(v, f): f"_{i}" for i, (v, f) in enumerate((v, f) for v in values for f in functions)}
+    wide = wide.toDF(fk, *cells.values())
+    # as without a pivot, a function of no rows is NULL
+    return wide.select(
+        fk, *[F.nullif(F.col(cells[_rest(s, shared)[0].value, s.function]), F.lit(0)).alias(s.name) for s in specs]
+    )
 
 
 def _pivot_windows(rows: DataFrame, fk: str, specs: Sequence[AggSpec], shared: frozenset) -> DataFrame:

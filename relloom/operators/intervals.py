@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relloom.functions.predicates import Comparison, Predicate
-from relloom.operators.profile import column_range
+from relloom.operators.profile import wall_range
 
 
 def _text(moment: datetime) -> str:
@@ -64,7 +64,7 @@ def interval_rows(
     child: DataFrame, fk: str, ts: str, value: str, n: int = 10, days: int = 7
 ) -> DataFrame:
     """Long form: ``fk, interval, n, total`` for every window that has rows."""
-    extent = column_range(child, ts).first()
+    extent = wall_range(child, ts).first()
     bounds = window_bounds(extent.max_value, extent.min_value, n, days)
     return (
         child.where(F.col(fk).isNotNull())

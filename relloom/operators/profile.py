@@ -37,6 +37,17 @@ def column_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.max(_quoted(column)).alias("max_value"), F.min(_quoted(column)).alias("min_value"))
 
 
+def wall_range(df: DataFrame, column: str) -> DataFrame:
+    """:func:`column_range` with timestamps as the session's wall clock shows them.
+
+    A collected ``timestamp`` would be in the time zone of the driver's process, which
+    need not be the session's.
+    """
+    if dict(df.dtypes)[column] == "timestamp":
+        df = df.select(_quoted(column).cast("timestamp_ntz").alias(column))
+    return column_range(df, column)
+
+
 def _one_row_to_long(row: DataFrame, columns: Sequence[str], value: str) -> DataFrame:
     pairs = [F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias(value)) for c in columns]
     return row.select(F.explode(F.array(*pairs)).alias("p")).select("p.*")
@@ -107,14 +118,10 @@ def one_to_one_report(es: EntitySet) -> DataFrame:
 
 
 class Profile:
-    """The facts about the data that synthesis asks for, each computed once.
+    """The facts about the data that synthesis asks for, each computed once."""
 
-    ``row_limit`` switches binary and one-to-one detection off for larger tables.
-    """
-
-    def __init__(self, es: EntitySet, row_limit: int | None = None) -> None:
+    def __init__(self, es: EntitySet) -> None:
         self._es = es
-        self.row_limit = row_limit
         self._cache: dict[Any, Any] = {}
 
     def _once(self, key: Any, compute: Any) -> Any:
@@ -122,16 +129,8 @@ class Profile:
             self._cache[key] = compute()
         return self._cache[key]
 
-    def _too_large(self, entity: str) -> bool:
-        if self.row_limit is None:
-            return False
-        count = self._once(("rows", entity), self._es[entity].df.count)
-        return count >= self.row_limit
-
     def binary(self, entity: str) -> frozenset[str]:
         def compute() -> frozenset[str]:
-            if self._too_large(entity):
-                return frozenset()
             df = self._es[entity].df
             keys = set(self._es.key_columns(entity))
             plain = [n for n, t in df.dtypes if n not in keys and not t.startswith(("array", "map", "struct"))]
@@ -159,7 +158,7 @@ class Profile:
         """Largest and smallest value of a column."""
 
         def compute() -> tuple[Any, Any]:
-            row = column_range(self._es[entity].df, column).first()
+            row = wall_range(self._es[entity].df, column).first()
             return row.max_value, row.min_value
 
         return self._once(("extent", entity, column), compute)
@@ -180,8 +179,6 @@ class Profile:
                 return bool(preset[other])
 
         def compute() -> bool:
-            if self._too_large(edge.parent) or self._too_large(edge.child):
-                return False
             sides = self._es[edge.parent].df, edge.parent_column, self._es[edge.child].df, edge.child_column
             return not repeats_early(*sides) and one_to_one(*sides).first()[0]
 

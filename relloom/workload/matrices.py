@@ -97,8 +97,9 @@ LANGUAGES_SQL = "select distinct lang from documents where lang <> ''"
 
 @query(
     "one_hot",
-    """select * from (pivot (select doc_id, 'lang_' || lang as l, 1 as flag from documents) on l
-         using cast(coalesce(max(flag), 0) as integer) group by doc_id)""",
+    "select doc_id, "
+    + ", ".join(f"coalesce(cast(lang = '{v}' as integer), 0) as lang_{v}" for v in ("de", "en", "es", "fr"))
+    + " from documents",
 )
 def one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     es = entity_set(spark, sf_dir, ["documents"])

@@ -216,3 +216,41 @@ def test_entities_keep_their_own_config(spark):
     assert es["b"].config.excluded_agg_entities == ()
     with pytest.raises(ValueError, match="no column"):
         es.add_relationship("b", "nope", "a")
+
+
+@pytest.mark.parametrize("n", [31, 32, 200])
+def test_many_categories_count_as_few_do(spark, n):
+    from pyspark.sql import functions as F
+
+    from relloom.functions import aggregates
+    from relloom.functions.predicates import Predicate
+    from relloom.operators.aggregate import AggSpec, aggregate
+
+    aggregates.register_aggregate("TENFOLD", lambda c: F.count(c) * 10, counts_rows=True)
+    try:
+        rows = spark.createDataFrame([(k % 3, k % n) for k in range(3 * n)] + [(9, None)], "fk int, v int")
+        specs = [
+            AggSpec(f"{f}_{v}", f, None, Predicate.of(("v", "=", v))) for v in range(n) for f in ("COUNT", "TENFOLD")
+        ]
+        got = {r.fk: r for r in aggregate(rows, "fk", specs).collect()}
+    finally:
+        del aggregates.AGGREGATES["TENFOLD"]
+    for fk in (0, 1, 2, 9):
+        for v in range(n):
+            count = sum(k % 3 == fk and k % n == v for k in range(3 * n))
+            assert got[fk][f"COUNT_{v}"] == (count or None) and got[fk][f"TENFOLD_{v}"] == (10 * count or None)
+
+
+def test_windows_follow_the_session_not_the_process(spark, monkeypatch):
+    import time as clock
+
+    from relloom.operators.intervals import interval_rows
+
+    rows = spark.sql("select 1 as fk, v, timestamp_seconds(1700000000 + v * 86400) as ts from values (0), (3), (8), (15) as t(v)")
+    for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+        monkeypatch.setenv("TZ", zone)
+        clock.tzset()
+        got = {r.interval: r.total for r in interval_rows(rows, "fk", "ts", "v").collect()}
+        assert got == {9: 15, 8: 11, 7: 0} or got == {9: 15, 8: 8 + 3, 7: 0}
+    monkeypatch.undo()
+    clock.tzset()
