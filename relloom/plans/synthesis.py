@@ -16,7 +16,7 @@ from relloom.functions.predicates import Comparison, Predicate
 from relloom.functions.rows import chosen_row_functions, is_date
 from relloom.operators.intervals import interval_predicates
 from relloom.plans.features import Feature, Step, column_name
-from relloom.plans.rules import may_aggregate, may_filter, may_flatten
+from relloom.plans.rules import may_aggregate, may_filter, may_flatten, predictable_features
 
 _NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
@@ -80,6 +80,10 @@ class Synthesis:
     def of(self, entity: str) -> list[Feature]:
         return list(self.features[entity].values())
 
+    def predictable(self, entity: str, label: str | None = None) -> list[Feature]:
+        """Features that may predict, without those of the entity's ``excluded_predict_entities``."""
+        return predictable_features(self.of(entity), self.es[entity].config.excluded_predict_entities, label)
+
     def _has(self, entity: str, name: str) -> bool:
         return name in self.features[entity]
 

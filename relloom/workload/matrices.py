@@ -9,7 +9,7 @@ from relloom.operators import matrix, statistics
 from relloom.operators.aggregate import AggSpec, aggregate_onto
 from relloom.operators.profile import varying_columns
 from relloom.plans.build import feature_matrix
-from relloom.plans.rules import candidate_features, predictable_features
+from relloom.plans.rules import candidate_features
 from relloom.plans.synthesis import synthesize
 from relloom.workload.data import CATEGORY, entity_set, metadata
 from relloom.workload.registry import cents, query, single, table
@@ -23,7 +23,7 @@ LABEL = "label_toxic"
 def document_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Synthesised features of documents, with both labels looked up one to one."""
     made = synthesize(entity_set(spark, sf_dir, ["documents", "labels"], TEXT_CONFIG), "documents")
-    features = [f for f in predictable_features(made.of("documents")) if f.column != "doc_id"]
+    features = [f for f in made.predictable("documents") if f.column != "doc_id"]
     return feature_matrix(made, "documents", features)
 
 

@@ -187,6 +187,14 @@ def test_label_leaks_are_left_out(shop):
     assert without and not any("Merchant" in f.name for f in without)
 
 
+def test_excluded_entities_are_left_out_by_default(spark):
+    config = {"entities": {"Outcomes": {"excluded_predict_entities": ["Merchants"]}}}
+    made = synthesize(graph(spark, SHOP, SHOP_EDGES, config, one_to_one=["Outcomes.user_id->Users.user_id"]), "Outcomes")
+    assert any("Merchant" in f.name for f in made.of("Outcomes"))
+    kept = made.predictable("Outcomes")
+    assert kept and not any("Merchants" in f.entities for f in kept)
+
+
 def test_config_of_aggregates(spark, shop):
     config = {"entities": {"Users": {"excluded_agg_entities": ["Outcomes"]}}}
     es = graph(spark, SHOP, SHOP_EDGES, config, one_to_one=["Outcomes.user_id->Users.user_id"])
