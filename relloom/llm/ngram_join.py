@@ -36,8 +36,8 @@ from relloom.llm.common import Batches, coded, map_batches, settle, steps, taken
 CELLS, BLOCK = 1 << 22, 1 << 16
 #: Prefix shingles that one side of a pair of blocks holds, unless a single set has more.
 BLOCK_SHINGLES = 100_000
-#: Verifying a candidate costs about as much as reading so many postings.
-VERIFY_COST = 20.0
+#: What bringing a shingle of a set to its verification costs (6 bytes), in postings (16 bytes).
+VERIFY_COST = 0.4
 #: Groups of at most so many classes are looked at pair by pair, larger ones in blocks.
 FEW = 8
 #: The bits of a posting's size that hold the matches asked.
@@ -159,7 +159,7 @@ def matches_asked(counts: np.ndarray, need: int, noise: float) -> int:
     df = np.maximum(counts - noise, 1.0)
     read = np.cumsum(df)[len(counts) - need :]
     others = np.cumsum(df - 1)[len(counts) - need :]
-    return 1 + int(np.argmin(read + VERIFY_COST * others / np.arange(1, need + 1)))
+    return 1 + int(np.argmin(read + VERIFY_COST * len(counts) * others / np.arange(1, need + 1)))
 
 
 def _need(n: int, threshold: Fraction) -> int:
