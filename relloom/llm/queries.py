@@ -132,7 +132,7 @@ def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_sentencepiece")
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = read_pieces(spark, tokenizer_path("piece_bpe_32k.model"))
-    return digests(table(spark, sf_dir, "documents"), pieces, ["viterbi"])
+    return digests(table(spark, sf_dir, "documents"), pieces, ["merges", "viterbi"])
 
 
 @query("op2_tool_calls")

@@ -336,6 +336,36 @@ def test_viterbi_against_brute_force(spark, pieces):
             assert "".join(by_id[i][0] for i in r.viterbi) == r.word
 
 
+def test_query_encodes_like_the_library_and_decodes(spark, given, pieces):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    rows = {r.doc_id: r for r in QUERIES["op7_sentencepiece"](spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in given.collect()}
+    assert set(rows) == set(texts)
+    assert all(rows[k].merges_pieces == len(model.encode(t)) and rows[k].merges_restored for k, t in texts.items())
+    odd = ["", " ", "a  b", "é ß ☃ \U0001F600", "has \u2581 mark", "x" * 3000, "ab" * 700 + "梦"]
+    docs = spark.createDataFrame(list(enumerate(odd)) + [(None, None)], "doc_id long, text string").repartition(2).cache()
+    digests = {r.doc_id: r for r in piece_lattice.digests(docs, pieces).collect()}
+    assert all(digests[k].merges_restored == digests[k].viterbi_restored == (k != 4) for k in range(len(odd)))
+    assert digests[None].merges_restored and digests[None].n_words == 0
+
+
+def test_mapped_folds_equal_the_lattice_folds(spark, given, pieces):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_path("piece_bpe_32k.model"))
+    folds = piece_lattice.Folds(pieces)
+    texts = [r.text for r in given.collect()] + ["x" * 500, "é ß ☃ \U0001F600", "梦梦", "  a"]
+    for text in texts:
+        words = [w for w in re.split("(?<!▁)(?=▁)", "▁" + text.replace(" ", "▁")) if w]
+        ids = [i for w in words for i in folds.merges(w)]
+        assert ids == model.encode(text) and folds.decode(ids)[1:] == text == model.decode(ids)
+    words = ["▁hello", "▁naïve", "▁☃x", "abcab"]
+    made = piece_lattice.encode_words(spark.createDataFrame([(w,) for w in words], "word string"), pieces, ["merges", "viterbi"])
+    assert {r.word: (r.merges, r.viterbi) for r in made.collect()} == {w: (folds.merges(w), folds.viterbi(w)) for w in words}
+
+
 # ---- op8 ---------------------------------------------------------------------------------
 
 
