@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from relloom.llm.common import settle, table
 from relloom.llm.language_id import UNKNOWN, predict, train
 from relloom.llm.ngram_join import keep_one
-from relloom.llm.packing import pack
+from relloom.llm.packing import SEQUENCE, SEQUENCE_WEIGHTS, pack
 from relloom.llm.quality_rules import keep_good
 from relloom.llm.queries import query, tokenizer_path
 from relloom.llm.secret_scan import redact_secrets
@@ -53,7 +53,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where every piece of every document lies in sequences of 2048 tokens."""
-    return pack(docs, tokenizer_path())
+    return pack(docs, tokenizer_path(), SEQUENCE, weights=SEQUENCE_WEIGHTS)
 
 
 STAGES = [

@@ -10,6 +10,7 @@ counts per written chunk, so no length, however frequent, meets in one task.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 from collections.abc import Sequence
 from functools import cache
@@ -43,6 +44,13 @@ class Capacity(NamedTuple):
     attention: int | None = None
 
 
+#: What the query and the pipeline pack by: 2048 tokens, 128 pieces, and the attention of one
+#: whole piece, the least bound under which documents are still cut by tokens alone.
+SEQUENCE = Capacity(2048, 128, 2048**2)
+#: How much tokens, pieces and attention count in their rating (fixed values).
+SEQUENCE_WEIGHTS = (1.0, 0.5, 0.5)
+
+
 @cache
 def _loaded(path: str):
     """A process's tokenizer, whether it follows the letter rule, and the ids that end a word."""
@@ -288,10 +296,12 @@ def pack(
 ) -> DataFrame:
     """One row per piece: where it lies in its document and in which sequence.
 
-    Documents longer than a sequence are cut into whole sequences and a rest. Offsets are
+    Documents longer than a sequence, in tokens or by their attention, are cut into pieces
+    as long as a sequence may hold and a rest. Offsets are
     gapless from 0. Equal lengths are dealt in the order of chunk and rank, so repeated
     rows and ties are placed each on its own; an empty table gives no rows; a null
     identifier stays null.
     """
-    pieces = settle(token_pieces(docs, tokenizer, capacity.tokens, end_id, id_col, text_col), "pieces")
+    most = capacity.tokens if capacity.attention is None else min(capacity.tokens, math.isqrt(capacity.attention))
+    pieces = settle(token_pieces(docs, tokenizer, most, end_id, id_col, text_col), "pieces")
     return assign(pieces, capacity, weights, score)

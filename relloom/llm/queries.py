@@ -11,7 +11,7 @@ from relloom.llm.fingerprint import compare_with_next
 from relloom.llm.language_id import language_id
 from relloom.llm.license_scan import license_scan
 from relloom.llm.ngram_join import ngram_join
-from relloom.llm.packing import pack
+from relloom.llm.packing import SEQUENCE, SEQUENCE_WEIGHTS, pack
 from relloom.llm.piece_lattice import digests, read_pieces
 from relloom.llm.quality_rules import quality_rules
 from relloom.llm.secret_scan import secret_scan
@@ -106,7 +106,7 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 @query("op8_best_fit_packing")
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path(), SEQUENCE, weights=SEQUENCE_WEIGHTS)
 
 
 @query("op9_ngram_join")

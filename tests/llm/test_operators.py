@@ -440,6 +440,38 @@ def test_best_fit_equals_placing_one_by_one():
         assert len(used) == len(bins)
 
 
+def _lengths(runs):
+    bins = {}
+    for r in runs:
+        for k in range(r.count):
+            bins.setdefault(r.bin_id + k // r.copies, []).append(r.length)
+    return sorted(map(sorted, bins.values()))
+
+
+def test_pack_holds_three_binding_capacities(spark):
+    rng = random.Random(8)
+    texts = ["word " * rng.choice([4, 9, 18, 30, 49, 55, 69, 160]) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    capacity, weights = packing.Capacity(100, 3, 5000), (1.0, 0.5, 0.5)
+    rows = packing.pack(docs, tokenizer_path(), capacity, weights=weights).collect()
+    by = _check_packing(rows, 100)
+    assert all(len(b) <= 3 and sum(r.length**2 for r in b) <= 5000 for b in by.values())
+    counts = dict(Counter(r.length for r in rows))
+    assert max(counts) == 70  # the square root of 5000
+    # each bound turns the plan into another one
+    for loose in (capacity._replace(tokens=10**6), capacity._replace(pieces=None), capacity._replace(attention=None)):
+        assert _lengths(packing.best_fit(counts, loose, weights)) != _lengths(packing.best_fit(counts, capacity, weights))
+
+
+def test_query_rates_all_three_capacities(spark):
+    rows = QUERIES["op8_best_fit_packing"](spark, SF).collect()
+    got = sorted(sorted(r.length for r in b) for b in _check_packing(rows, 2048).values())
+    counts = dict(Counter(r.length for r in rows))
+    assert got == _lengths(packing.best_fit(counts, packing.SEQUENCE, packing.SEQUENCE_WEIGHTS))
+    tokens_only = _lengths(packing.best_fit(counts, packing.Capacity()))
+    assert got != tokens_only and len(got) <= len(tokens_only)
+
+
 # ---- op9 ---------------------------------------------------------------------------------
 
 
