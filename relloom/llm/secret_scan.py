@@ -58,12 +58,14 @@ NAME = re.compile(r"[A-Za-z_$][\w$.\-]*", re.ASCII)
 BARE = re.compile(r"[^\s,;#\"'`(){}\[\]<>|&]+")
 JOIN = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*")
 REFERENCE = re.compile(r"\$\{([\w.\-]+)\}|\$([A-Za-z_]\w*)", re.ASCII)
+#: References within single quotes, where a bare ``$name`` is text.
+BRACED = re.compile(r"\$\{([\w.\-]+)\}|(?!)()", re.ASCII)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 
 #: How sensitive the words of a target's name are (fixed values).
 SENSITIVE = {
     "password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 1.0, "secret": 1.0, "token": 0.9,
-    "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "signature": 0.5,
+    "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "signature": 0.6,
 }
 SENSITIVE_PAIRS = {("api", "key"): 1.0, ("private", "key"): 1.0, ("access", "key"): 1.0, ("encryption", "key"): 1.0}
 #: Values that stand for a secret without being one (fixed values).
@@ -71,12 +73,17 @@ PLACEHOLDERS = {"changeme", "password", "secret", "token", "example", "none", "n
 
 
 class Literal:
-    """A value and the places of the literals it was made from."""
+    """A value, the places of the literals it was made from, and whether it is nothing but references."""
 
-    __slots__ = ("places", "value")
+    __slots__ = ("places", "unresolved", "value")
 
-    def __init__(self, value: str, places: tuple[tuple[int, int], ...]):
-        self.value, self.places = value, places
+    def __init__(self, value: str, places: tuple[tuple[int, int], ...], unresolved: bool):
+        self.value, self.places, self.unresolved = value, places, unresolved
+
+
+def _only(references: re.Pattern[str], value: str) -> bool:
+    """Whether a value is wholly made of references."""
+    return bool(value) and not references.sub("", value)
 
 
 def _terms(text: str, at: int, known: dict[str, Literal]) -> Literal | None:
@@ -85,15 +92,16 @@ def _terms(text: str, at: int, known: dict[str, Literal]) -> Literal | None:
     while True:
         if m := STRING.match(text, at):
             value, places = m[1][1:-1], [(m.start(1) + 1, m.end(1) - 1)]
-            for r in REFERENCE.finditer(value):
-                if used := known.get(r[1] or r[2]):
-                    places.extend(used.places)
-            value = REFERENCE.sub(lambda r: known[r[1] or r[2]].value if (r[1] or r[2]) in known else r[0], value)
-            parts.append(Literal(value, tuple(places)))
+            names = BRACED if m[1][0] == "'" else REFERENCE
+            used = [known.get(r[1] or r[2]) for r in names.finditer(value)]
+            places += [p for u in used if u for p in u.places]
+            unresolved = _only(names, value) and all(u is None or u.unresolved for u in used)
+            value = names.sub(lambda r: known[r[1] or r[2]].value if (r[1] or r[2]) in known else r[0], value)
+            parts.append(Literal(value, tuple(places), unresolved))
         elif (m := NAME.match(text, at)) and m[0] in known:
             parts.append(known[m[0]])
         elif m := BARE.match(text, at):
-            parts.append(Literal(m[0], ((m.start(), m.end()),)))
+            parts.append(Literal(m[0], ((m.start(), m.end()),), _only(REFERENCE, m[0])))
         else:
             break
         at = m.end()
@@ -102,7 +110,8 @@ def _terms(text: str, at: int, known: dict[str, Literal]) -> Literal | None:
         at = m.end()
     if not parts:
         return None
-    return Literal("".join(p.value for p in parts), tuple(dict.fromkeys(s for p in parts for s in p.places)))
+    places = tuple(dict.fromkeys(s for p in parts for s in p.places))
+    return Literal("".join(p.value for p in parts), places, all(p.unresolved for p in parts))
 
 
 def assignments(text: str) -> Iterator[tuple[str, Literal]]:
@@ -120,9 +129,10 @@ def name_score(name: str) -> float:
     return max([single, *(SENSITIVE_PAIRS.get(p, 0.0) for p in zip(words, words[1:], strict=False))])
 
 
-def literal_score(value: str) -> float:
-    """Bits per character over 3, at most 1; 0 for short values and placeholders."""
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or REFERENCE.search(value) or len(set(value)) < 4:
+def literal_score(literal: Literal) -> float:
+    """Bits per character over 3, at most 1; 0 for short values, placeholders and mere references."""
+    value = literal.value
+    if len(value) < 6 or value.lower() in PLACEHOLDERS or literal.unresolved or len(set(value)) < 4:
         return 0.0
     counts = Counter(value).values()
     bits = -sum(c / len(value) * math.log2(c / len(value)) for c in counts)
@@ -136,7 +146,7 @@ def named_spans(text: str, threshold: float = 0.6) -> tuple[list[Span], float]:
     found, best = set(), 0.0
     for name, literal in assignments(text):
         if weight := name_score(name):
-            score = weight * literal_score(literal.value)
+            score = weight * literal_score(literal)
             best = max(best, score)
             if score >= threshold:
                 found |= {(a, 3, b) for a, b in literal.places if b > a}

@@ -220,6 +220,25 @@ def test_assignments_propagate_constants():
     assert secret_scan.named_spans('password = "changeme"\ncount = 12345678901')[0] == []
 
 
+def test_values_with_a_dollar_are_secrets():
+    for text in ["db_password = 'S3cr$tPa5s'", 'db_password = "S3cr$tPa5s"', "password: S3cr3tw$ord9", "password='$tr0ngPa5s'"]:
+        spans, score = secret_scan.named_spans(text)
+        (a, _, b), = spans
+        assert text[a:b].strip("'\"") == text[a:b] and "$" in text[a:b] and b >= len(text) - 1 and score >= 0.6
+        assert "$" not in secret_scan.redact(text) and "Pa5s" not in secret_scan.redact(text)
+    for text in ['password = "$DB_PASSWORD"', "password = '${DB_PASSWORD}'", "password = $DB_PASSWORD", 'token = "$USER_NAME$USER_PASS"']:
+        assert secret_scan.named_spans(text) == ([], 0.0)
+    # a bare name in single quotes is text, in double quotes it takes its value
+    assert [v.value for _, v in secret_scan.assignments("a = 'k9Xq'\nb = '$a'\nc = \"$a\"\nd = '${a}'")] == ["k9Xq", "$a", "k9Xq", "k9Xq"]
+    chained = "a = \"$LONG_NAME\"\npassword = \"${a}\""
+    assert secret_scan.named_spans(chained) == ([], 0.0)
+
+
+def test_every_sensitive_word_can_reach_the_threshold():
+    for word in [*secret_scan.SENSITIVE, *map("_".join, secret_scan.SENSITIVE_PAIRS)]:
+        assert secret_scan.named_spans(f'{word} = "a8Kd93mZq1Xv"')[0], word
+
+
 def test_secret_rows(spark, docs, empty):
     rows = secret_scan.secret_scan(docs).collect()
     assert len(rows) == len(ODD) + 2
