@@ -3,7 +3,8 @@
 A template is looked for where enough of its words stand close together; there the words
 that are unique in both are matched, the longest increasing run of them anchors the
 alignment, and the gaps between anchors are aligned in the same way. Coverage is the share
-of the template's words that the alignment matches. Texts are independent: one map.
+of the template's words that the alignment matches; the words that tell sibling licenses
+apart must be among them, and no other such word may stand between them. Texts are independent: one map.
 """
 
 from __future__ import annotations
@@ -57,6 +58,15 @@ TEMPLATES = {
     ),
 }
 WORD = re.compile(r"[^\W_]+")
+#: Words that tell sibling licenses apart; numbers do too. A template's must all be matched.
+NAMES = frozenset(
+    "apache mit bsd gnu gpl lgpl agpl mozilla mpl isc general public creative commons cc by attribution international".split()
+)
+#: Words that make another license of one, wherever they are put in.
+QUALIFIERS = frozenset("lesser affero lgpl agpl nc sa nd noncommercial sharealike noderivatives noderivs".split())
+#: Words that do so in a template of at most SHORT words, where inserted words count, too.
+SHORT_QUALIFIERS = NAMES | {"library", "non", "commercial", "share", "alike", "no", "derivatives", "derivs", "unported"}
+SHORT = 20
 
 
 class Match(NamedTuple):
@@ -71,6 +81,10 @@ def words(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
 
+def telling(word: str) -> bool:
+    return word in NAMES or word in QUALIFIERS or word.isdigit()
+
+
 def increasing(values: list[int]) -> list[int]:
     """Places of a longest strictly increasing subsequence, by piles with back links."""
     tops: list[int] = []
@@ -126,6 +140,7 @@ class Templates:
         self.parts = {name: words(text) for name, text in texts.items()}
         self.counts = {name: Counter(part) for name, part in self.parts.items()}
         self.least = {name: max(1, -int(-coverage * len(part) // 1)) for name, part in self.parts.items()}
+        self.telling = {n: {w for w in part if telling(w)} for n, part in self.parts.items()}
         self.all = set().union(*self.parts.values()) if self.parts else set()
 
     def regions(self, name: str, hits: list[tuple[int, str]]) -> list[tuple[int, int]]:
@@ -184,7 +199,7 @@ class Templates:
             # a copy may begin anywhere: start where the template's first matched words do
             for begin in [k for k in range(at, end) if listed[k] in self.starts(name)] or [at]:
                 pairs = align(listed[begin : min(b, begin + step)], part)
-                if pairs and len(pairs) / size >= self.coverage:
+                if pairs and self.holds(name, part, listed[begin + pairs[0][0] : begin + pairs[-1][0] + 1], pairs):
                     m = Match(name, begin + pairs[0][0], begin + pairs[-1][0] + 1, len(pairs), len(pairs) / size)
                     if best is None or (m.matched, -(m.end - m.first), -m.first) > (
                         best.matched, -(best.end - best.first), -best.first
@@ -195,6 +210,21 @@ class Templates:
             at = best.end if best else end
         return out
 
+    def holds(self, name: str, part: list[str], span: list[str], pairs: list[tuple[int, int]]) -> bool:
+        """Whether the words of an alignment, and those put in between, are this license's."""
+        size, own = len(part), self.telling[name]
+        if len(pairs) / size < self.coverage or not own <= {part[y] for _, y in pairs}:
+            return False
+        at = {x - pairs[0][0] for x, _ in pairs}
+        inserted = [w for k, w in enumerate(span) if k not in at]
+        if any(w in QUALIFIERS for w in inserted):
+            return False
+        if size > SHORT:
+            return True
+        return len(pairs) / (size + len(inserted)) >= self.coverage and not any(
+            w in SHORT_QUALIFIERS or w.isdigit() for w in inserted
+        )
+
     def starts(self, name: str) -> set[str]:
         """Words of which a match of enough coverage holds one first."""
         part = self.parts[name]

@@ -105,6 +105,30 @@ def test_license_scan_agrees_with_the_lines_that_were_planted(spark, given):
     assert all((rows[r.doc_id] > 0) == bool(planted.search(r.text)) for r in given.collect())
 
 
+@pytest.mark.parametrize("text, want", [
+    ("Released under the BSD License.", None),
+    ("Licensed under CC BY 4.0.", None),
+    ("Licensed under CC BY-NC-SA 4.0.", None),
+    ("Licensed under CC BY-NC 3.0.", None),
+    ("Licensed under the Apache License, Version 1.1.", None),
+    ("This work is licensed under the GNU General Public License, version 2.", None),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", None),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", None),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", None),
+    ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", None),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License.", None),
+    (license_scan.TEMPLATES["gpl-notice"].replace("GNU General", "GNU Lesser General"), None),
+    (license_scan.TEMPLATES["gpl-notice"].replace("version 3", "version 2"), None),
+    ("Here: released under the very MIT License, then", "mit"),
+    ("work is licensed under the GNU General Public License, version 3 only", "gpl-3.0"),
+    ("Licensed under CC BY-NC 4.0", "cc-by-nc-4.0"),
+    *[(text, name) for name, text in license_scan.TEMPLATES.items()],
+])
+def test_sibling_licenses_are_told_apart(text, want):
+    found = license_scan.Templates(license_scan.TEMPLATES, 0.8, 1.5).scan(license_scan.words(f"words before {text} words after"))
+    assert [m.license for m in found] == ([want] if want else [])
+
+
 # ---- op2 ---------------------------------------------------------------------------------
 
 
