@@ -67,22 +67,22 @@ def cv_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("param_search")
 def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two random points from small ranges, two folds each."""
-    ranges = {"k": (1, 2), "k_best_percent": (50, 100), "n_estimators": (5, 10), "max_depth": (2, 5)}
-    points = model.random_points(2, ranges, seed=7)
-    rows = _rows(spark, sf_dir, False)
-    found = model.param_search(rows, "doc_id", LABEL, FEATURES, CATEGORICAL, points, folds=2)
+    """As wide as the reference's random search: 30 points from all seven ranges, three folds each."""
+    points = model.random_points(30, model.PARAM_RANGES, seed=7)
+    found = model.param_search(
+        _rows(spark, sf_dir, False), "doc_id", LABEL, FEATURES, CATEGORICAL, points, folds=3
+    )
     return spark.createDataFrame(
-        [(p.k, int(p.k_best_percent), p.n_estimators, p.max_depth, auc) for p, auc in found],
-        "k int, k_best_percent int, n_estimators int, max_depth int, auc double",
+        [(*[getattr(p, name) for name in model.PARAM_RANGES], auc) for p, auc in found],
+        ", ".join([*[f"{name} int" for name in model.PARAM_RANGES], "auc double"]),
     )
 
 
 @query("feature_quality_model")
 def feature_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model of the usual size for each feature alone."""
     quality = model.feature_quality_by_model(
-        _rows(spark, sf_dir, False), "doc_id", LABEL, ["n_chars"], ["lang"],
-        model.ForestParams(n_estimators=5, max_depth=4),
+        _rows(spark, sf_dir, False), "doc_id", LABEL, FEATURES, CATEGORICAL, model.ForestParams()
     )
     return spark.createDataFrame(list(quality.items()), "feature string, quality double")
 

@@ -99,3 +99,30 @@ def test_clusters(spark):
     assert {r.feature for r in found.collect()} == {"a"}
     points = explore.cluster_coordinates(full, "id")
     assert points.columns == ["id", "cluster", "x", "y"] and points.count() == 120
+
+
+def test_registered_searches_have_the_whole_width(spark, monkeypatch):
+    from conftest import SF_DIR
+
+    from relloom.workload import QUERIES
+
+    asked = {}
+
+    def search(rows, id_column, label, numeric, categorical, points, folds=3):
+        asked.update(points=points, folds=folds)
+        return [(p, 0.5) for p in points]
+
+    def quality(rows, id_column, label, numeric, categorical=(), params=None, folds=2):
+        asked.update(features=[*numeric, *categorical], params=params)
+        return dict.fromkeys(asked["features"], 0.5)
+
+    monkeypatch.setattr(model, "param_search", search)
+    monkeypatch.setattr(model, "feature_quality_by_model", quality)
+    found = QUERIES["param_search"](spark, SF_DIR)
+    assert found.columns == [*model.PARAM_RANGES, "auc"] and found.count() == len(asked["points"]) == 30
+    assert asked["folds"] == 3
+    for name in model.PARAM_RANGES:
+        assert len({getattr(p, name) for p in asked["points"]}) > 2
+    assert QUERIES["feature_quality_model"](spark, SF_DIR).count() == 5
+    assert set(asked["features"]) == {"length_text", "n_chars", "label_quality", "lang", "source"}
+    assert asked["params"] == ForestParams()
