@@ -15,8 +15,6 @@ from relloom.functions.rows import is_date
 if TYPE_CHECKING:
     from relloom.entityset import EntitySet, Relationship
 
-# Most values of one category column that may drive the making of features.
-MAX_FILTER_VALUES = 10_000
 # Rows looked at for early proof that a column is not binary.
 PROBE_ROWS = 1_000
 
@@ -33,6 +31,17 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return values.distinct().orderBy("value")
 
 
+def value_counts(df: DataFrame, key: str, column: str) -> DataFrame:
+    """``key, value, n`` of every key and value that meet, however many values there are.
+
+    Without NULL and empty text, as :func:`distinct_values`.
+    """
+    rows = df.select(_quoted(key).alias(key), _quoted(column).alias("value")).where(F.col("value").isNotNull())
+    if dict(df.dtypes)[column] == "string":
+        rows = rows.where(F.col("value") != "")
+    return rows.groupBy(key, "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def column_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(F.max(_quoted(column)).alias("max_value"), F.min(_quoted(column)).alias("min_value"))
 
@@ -145,12 +154,7 @@ class Profile:
             df = self._es[entity].df
             if is_date(dict(df.dtypes)[column]):
                 return []
-            rows = distinct_values(df, column).limit(MAX_FILTER_VALUES + 1).collect()
-            if len(rows) > MAX_FILTER_VALUES:
-                raise ValueError(
-                    f"{entity}.{column} has over {MAX_FILTER_VALUES} values; it cannot be a categorical filter"
-                )
-            return [r.value for r in rows]
+            return [r.value for r in distinct_values(df, column).collect()]
 
         return self._once(("values", entity, column), compute)
 

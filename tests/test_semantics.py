@@ -254,3 +254,21 @@ def test_windows_follow_the_session_not_the_process(spark, monkeypatch):
         assert got == {9: 15, 8: 11, 7: 0} or got == {9: 15, 8: 8 + 3, 7: 0}
     monkeypatch.undo()
     clock.tzset()
+
+
+def test_a_category_of_any_width_is_a_filter(spark):
+    from relloom.plans.build import feature_matrix
+    from relloom.plans.synthesis import synthesize
+
+    es = EntitySet({"entities": {"child": {"feature_metadata": {
+        "c": {"categorical": True, "numeric": False, "categorical_filter": True}}}}})
+    es.add_entity("parent", spark.range(2).withColumnRenamed("id", "p"), key="p")
+    child = spark.range(10_003).selectExpr("id", "id % 2 as k", "if(id < 2, null, concat('v', (id - 2) % 10001)) as c")
+    es.add_entity("child", child, key="id")
+    es.add_relationship("child", "k", "parent")
+    assert len(es.profile.values("child", "c")) == 10_001
+    counts = profile.value_counts(child, "k", "c")
+    assert counts.count() == 10_001 and counts.agg({"n": "sum"}).first()[0] == 10_001
+    made = synthesize(es, "parent")
+    asked = [made.features["parent"][f"COUNT(child[child.c={v}])"] for v in ("v0", "v9999", "v10000")]
+    assert rows(feature_matrix(made, "parent", asked), "p") == [(0, 1, None, 1), (1, None, 1, None)]
