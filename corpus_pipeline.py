@@ -32,11 +32,15 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that were learned from these documents.
 
-    ``lang`` stays what it was; the prediction only decides.
+    ``lang`` stays what it was; the prediction only decides. All documents stay if none
+    has a language to learn from.
     """
+    network = train(docs)
+    if network is None:
+        return docs
     text_last = [c for c in docs.columns if c != "text"]
     carried = {f"in_{c}": F.col(f"`{c}`") for c in text_last} | {"in_text": F.col("text")}
-    judged = predict(docs, train(docs), "text", carried)
+    judged = predict(docs, network, "text", carried)
     sure = judged.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE))
     return sure.select(*[F.col(f"in_{c}").alias(c) for c in docs.columns])
 

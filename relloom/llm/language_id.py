@@ -20,7 +20,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
 CHANNELS = 8
 FILTERS = 12
-STRIDE = 2
+STRIDE = 1
 #: Bounds of the training sample: documents in all, and windows taken of each.
 SAMPLE_DOCS = 3000
 SAMPLE_WINDOWS = 2
@@ -47,8 +47,9 @@ class Network:
         self.out_bias = np.zeros(len(labels), np.float32)
 
     def places(self, windows: np.ndarray) -> np.ndarray:
-        """The embeddings under the filters, a row per place (every ``STRIDE`` bytes)."""
+        """The embeddings under the filters, a row per place (every ``STRIDE`` bytes to the last)."""
         widest = max(WIDTHS)
+        windows = _ended(windows)
         lines = self.embedding[windows]
         b, c = lines.strides[0], lines.strides[1]
         shape = (len(windows), (windows.shape[1] - widest) // STRIDE + 1, widest * CHANNELS)
@@ -93,7 +94,7 @@ class Network:
                 to_filters = np.einsum("bf,bfk->kf", to_top, seen).reshape(self.filters.shape) * self.mask
                 to_rows = to_top[:, :, None] * self.filters.reshape(-1, n).T[None]
                 won = np.take_along_axis(
-                    windows[chosen], (at[:, :, None] * STRIDE + np.arange(widest)).reshape(len(chosen), -1), 1
+                    _ended(windows[chosen]), (at[:, :, None] * STRIDE + np.arange(widest)).reshape(len(chosen), -1), 1
                 ).reshape(-1)
                 to_embedding = np.stack(
                     [np.bincount(won, g, 256) for g in to_rows.reshape(-1, CHANNELS).T], 1
@@ -109,6 +110,11 @@ class Network:
         return self
 
 
+def _ended(windows: np.ndarray) -> np.ndarray:
+    """Windows with zero bytes after them, so that each byte begins a place."""
+    return np.pad(windows, ((0, 0), (0, max(WIDTHS) - 1)))
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)

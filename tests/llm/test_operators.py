@@ -207,6 +207,21 @@ def test_windows_cover_whole_texts():
     assert bytes(windows[0]) == b"a" * 256 and bytes(windows[2]) == b"a" * 88 + bytes(168)
 
 
+def test_filters_see_every_byte():
+    network = language_id.Network(["a", "b"])
+    windows = np.random.default_rng(2).integers(0, 256, (3, 256)).astype(np.uint8)
+    lines = np.pad(network.embedding[windows], ((0, 0), (0, 4), (0, 0)))
+    every = np.stack([np.einsum("bwc,wcn->bn", lines[:, p : p + 5], network.filters) for p in range(256)], 1)
+    assert np.allclose(network.pooled(windows)[2], np.maximum(every.max(1) + network.bias, 0), atol=1e-4)
+
+
+def test_all_documents_stay_if_no_language_is_known(spark, given):
+    import corpus_pipeline
+
+    unlabelled = given.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_stage(spark, unlabelled, SF).count() == given.count() > 0
+
+
 def test_odd_texts_and_no_labels(spark, docs, empty):
     rows = language_id.language_id(docs.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert len(rows) == len(ODD) + 2 and {r.lang_pred for r in rows} == {"und"}
