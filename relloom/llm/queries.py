@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from relloom.llm.common import table
+from relloom.llm.curriculum import by_first_copy, curriculum
 from relloom.llm.fingerprint import compare_with_next
 from relloom.llm.language_id import language_id
 from relloom.llm.license_scan import license_scan
@@ -15,8 +16,10 @@ from relloom.llm.packing import SEQUENCE, SEQUENCE_WEIGHTS, pack
 from relloom.llm.piece_lattice import digests, read_pieces
 from relloom.llm.quality_rules import quality_rules
 from relloom.llm.secret_scan import secret_scan
+from relloom.llm.token_alignment import token_alignment
 from relloom.llm.tool_calls import SCHEMAS, calls_of_turns, link_tool_calls
 from relloom.llm.warc import derivatives
+from relloom.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -139,3 +142,68 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     calls, results = calls_of_turns(table(spark, sf_dir, "conversations"))
     return link_tool_calls(calls, results, SCHEMAS)
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return token_alignment(table(spark, sf_dir, "documents"), *paths, whole=False).withColumnRenamed("groups", "groups_sha256")
+
+
+# The schedules' integrals are 5, 2 and 1; their inverses are written out.
+CURRICULUM_SQL = r"""
+with sized as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
+         md5(coalesce(doc_id::varchar, '')) as mix
+  from documents
+), sources as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as number
+  from sized group by source
+), weighed as (
+  select *, case number % 3 when 0 then 5.0::double when 1 then 2.0::double else 1.0::double end as weight,
+         (2 * source_size)::double as bound
+  from sources
+), ranked as (
+  select *, coalesce(sum(bound) over before, 0) as bounds, coalesce(sum(weight) over before, 0) as weights,
+         1.5::double * sum(source_size) over () as asked, sum(weight) over () as whole
+  from weighed
+  window before as (order by bound / weight, number rows between unbounded preceding and 1 preceding)
+), stopped as (
+  select *, (asked - bounds) / (whole - weights) > bound / weight as stops from ranked
+), rest as (
+  select (max(asked) - coalesce(sum(bound) filter (stops), 0)) / (max(whole) - coalesce(sum(weight) filter (stops), 0)) as each
+  from stopped
+), targets as (
+  select source, source_size, number, case when stops then bound else each * weight end as target from stopped, rest
+), placed as (
+  select s.*, source_size, number, target, floor(target)::bigint as wanted,
+         coalesce(sum(size) over (partition by s.source order by mix, doc_id, size
+                                  rows between unbounded preceding and 1 preceding), 0)::bigint as start
+  from sized s join targets t on s.source is not distinct from t.source
+), due as (
+  select *, least(greatest(wanted - start, 0), size) + least(greatest(wanted - source_size - start, 0), size) as taken,
+         least(case when target > 0 then start / target else 0 end, 1.0::double) as share
+  from placed
+), inverted as (
+  select *, case number % 3
+    when 0 then share * 5.0::double / 5.0::double
+    when 1 then case when share * 2.0::double - 0.75::double > 0
+      then 0.5::double + (sqrt(4.0::double + 4.0::double * (share * 2.0::double - 0.75::double)) - 2) / 2
+      else 0.0::double + (sqrt(1.0::double + 4.0::double * (share * 2.0::double)) - 1) / 2 end
+    else 0.0::double + (sqrt(greatest(4.0::double - 4.0::double * share, 0)) - 2) / (-2) end as moment
+  from due
+)
+select doc_id, size, source_size, target, taken::bigint as taken,
+       case when taken > 0 then least(greatest(moment, 0.0::double), 1.0::double) end as first_at
+from inverted
+"""
+
+
+@query("op12_curriculum", CURRICULUM_SQL)
+def op12_curriculum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return by_first_copy(curriculum(table(spark, sf_dir, "documents")))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
