@@ -151,7 +151,7 @@ class Windows:
         """The numbers of windows, those not remembered aligned first."""
         if len(self.known) > REMEMBERED:
             self.clear()
-        unknown = [key for key in keys if key not in self.known]
+        unknown = [key for key in dict.fromkeys(keys) if key not in self.known]
         if unknown:
             self._learn(unknown)
         return np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
