@@ -38,15 +38,22 @@ SPACE = "▁"
 
 
 class Vocabulary(NamedTuple):
-    """The bytes of every id, their number, and whether they begin with a space."""
+    """The bytes of every id, their number, whether they begin with a space, and all in a row."""
 
     tokens: list[bytes]
     sizes: np.ndarray
     spaced: np.ndarray
+    joined: np.ndarray
+    starts: np.ndarray
+
+    def bytes_of(self, ids: np.ndarray) -> np.ndarray:
+        return self.joined[taken(self.starts[ids], self.sizes[ids])]
 
 
 def vocabulary(tokens: list[bytes]) -> Vocabulary:
-    return Vocabulary(tokens, np.array([len(t) for t in tokens], np.int64), np.array([t[:1] == b" " for t in tokens], bool))
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    spaced = np.array([t[:1] == b" " for t in tokens], bool)
+    return Vocabulary(tokens, sizes, spaced, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(sizes) - sizes)
 
 
 def byte_letters() -> dict[str, int]:
@@ -90,17 +97,36 @@ def piece_tokenizer(path: str):
     return made, vocabulary(tokens)
 
 
-def encode_both(texts: Sequence[str], path_a: str, path_b: str) -> tuple[list[list[int]], list[list[int]]]:
-    """Ids of every text on both sides; none if the bytes of a side are not space + text."""
-    (a, known_a), (b, known_b) = byte_tokenizer(path_a), piece_tokenizer(path_b)
-    made_a = [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-    made_b = b.encode(list(texts), num_threads=1) if texts else []
-    for k, text in enumerate(texts):
-        want = b" " + text.encode("utf-8", "surrogatepass")
-        joined = (b"".join([v.tokens[i] for i in ids]) for v, ids in ((known_a, made_a[k]), (known_b, made_b[k])))
-        if not text or any(got != want for got in joined):
-            made_a[k] = made_b[k] = []
-    return made_a, made_b
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, int(counts.sum())), counts
+
+
+def _restored(ids: np.ndarray, counts: np.ndarray, known: Vocabulary, want: list[bytes]) -> np.ndarray:
+    """Which documents' tokens give exactly the wanted bytes."""
+    sizes = np.fromiter(map(len, want), np.int64, len(want))
+    doc = np.repeat(np.arange(len(want)), counts)
+    same = np.bincount(doc, known.sizes[ids], len(want)).astype(np.int64) == sizes
+    got = known.bytes_of(ids[same[doc]])
+    wanted = np.frombuffer(b"".join([w for w, ok in zip(want, same.tolist(), strict=True) if ok]), np.uint8)
+    if not np.array_equal(got, wanted):
+        places = np.flatnonzero(same)
+        ends = np.cumsum(sizes[places])
+        same[places[np.searchsorted(ends, np.flatnonzero(got != wanted), side="right")]] = False
+    return same
+
+
+def encode_both(texts: Sequence[str], path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All ids and how many each text has, by both; none if a side's bytes are not space + text."""
+    (tok_a, known_a), (tok_b, known_b) = byte_tokenizer(path_a), piece_tokenizer(path_b)
+    a, n_a = _flat([e.ids for e in tok_a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)])
+    b, n_b = _flat(tok_b.encode(list(texts), num_threads=1) if texts else [])
+    want = [b" " + t.encode("utf-8", "surrogatepass") for t in texts]
+    good = _restored(a, n_a, known_a, want) & _restored(b, n_b, known_b, want) & np.array([bool(t) for t in texts], bool)
+    if not good.all():
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        n_a, n_b = n_a * good, n_b * good
+    return a, n_a, b, n_b
 
 
 class Windows:
@@ -234,9 +260,7 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 def _aligned_step(part: pa.RecordBatch, path_a: str, path_b: str, windows: Windows, chunk: Chunk, whole: bool) -> pa.RecordBatch:
     texts = [t or "" for t in part["text"].to_pylist()]
     rows = len(texts)
-    made_a, made_b = encode_both(texts, path_a, path_b)
-    n_a, n_b = (np.fromiter(map(len, x), np.int64, rows) for x in (made_a, made_b))
-    a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((made_a, n_a), (made_b, n_b)))
+    a, n_a, b, n_b = encode_both(texts, path_a, path_b)
     known_a, known_b = byte_tokenizer(path_a)[1], piece_tokenizer(path_b)[1]
     n_groups, groups = np.zeros(rows, np.int64), [""] * rows
     links, times, linked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(rows, np.int64)
