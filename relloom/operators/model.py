@@ -19,8 +19,6 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import (
-    PCA,
-    ElementwiseProduct,
     OneHotEncoder,
     StandardScaler,
     StringIndexer,
@@ -29,12 +27,12 @@ from pyspark.ml.feature import (
     VectorAssembler,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relloom.operators.matrix import zero_filled
 from relloom.operators.statistics import class_weights
+from relloom.operators.svd import truncated_svd
 
 # Deepest tree Spark grows; stands for "no limit".
 MAX_DEPTH = 30
@@ -66,21 +64,6 @@ PARAM_RANGES: dict[str, tuple[int, int]] = {
 }
 
 
-def truncated_svd(df: DataFrame, column: str, output: str, k: int) -> Any:
-    """Model projecting vectors on the first ``k`` right singular vectors, uncentred.
-
-    The principal components of the rows together with their mirror images, whose
-    mean is zero, are the singular vectors of the rows; the projection of Spark's
-    PCA model does not centre.
-    """
-    rows = df.select(F.col(column).alias("_x"))
-    width = len(rows.select(vector_to_array("_x")).first()[0])
-    flip = ElementwiseProduct(scalingVec=Vectors.dense([-1.0] * width), inputCol="_x", outputCol="_y")
-    both = rows.unionAll(flip.transform(rows).select(F.col("_y").alias("_x")))
-    fitted = PCA(k=k, inputCol="_x", outputCol=output).fit(both)
-    return fitted.setInputCol(column)
-
-
 @dataclass
 class ForestModel:
     numeric: list[str]

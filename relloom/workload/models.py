@@ -18,7 +18,9 @@ from relloom.workload.exploration import _wide_embeddings
 from relloom.workload.matrices import CATEGORICAL, LABEL, NUMERIC, document_matrix
 from relloom.workload.registry import query, table
 
-PARAMS = model.ForestParams(k=2, k_best_percent=80, reweight_ratio=2, n_estimators=20, max_depth=6, max_features=50)
+PARAMS = model.ForestParams(
+    k=2, k_best_percent=80, n_components=10, reweight_ratio=2, n_estimators=20, max_depth=6, max_features=50
+)
 FEATURES = [*NUMERIC, "label_quality"]
 
 
