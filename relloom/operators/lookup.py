@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Mapping, Sequence
+from math import ceil
+from typing import Any
+from weakref import WeakKeyDictionary
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -10,8 +14,11 @@ from pyspark.sql import functions as F
 
 from relloom.runtime import fits_broadcast
 
-# Over how many places the rows of one hot key are spread.
-SALTS = 64
+# Counters of the summary of frequent keys for each key that may be hot, and their limit:
+# its error is below a fraction of the share that makes a key hot.
+COUNTERS_PER_KEY, MOST_COUNTERS = 16, 1_000_000
+# Types the summary takes; keys of others are left to Spark's own skew handling.
+SUMMARISED = ("tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "string", "decimal")
 # Column that tells rows of a table without a key apart, see with_spread.
 SPREAD = "_spread"
 
@@ -20,15 +27,59 @@ def _shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(df: DataFrame, column: str) -> list:
+# What is known of a frame's columns, as long as the frame is used.
+_known_keys: WeakKeyDictionary[DataFrame, dict[tuple, dict[Any, int]]] = WeakKeyDictionary()
+
+
+def key_summary(df: DataFrame, column: str, keys: int) -> DataFrame:
+    """One row: ``n`` rows, ``nulls`` among them, and the ``frequent`` keys with their counts.
+
+    A mergeable summary of frequent items: one pass, no shuffle of the rows, and a size that
+    depends on ``keys`` alone.
+    """
+    counters = min(max(COUNTERS_PER_KEY * keys, 1024), MOST_COUNTERS)
+    name = column.replace("`", "``")
+    return df.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col(f"`{name}`").isNull()).alias("nulls"),
+        F.expr(f"approx_top_k(`{name}`, {min(keys, counters)}, {counters})").alias("frequent"),
+    )
+
+
+def hot_keys(df: DataFrame, column: str) -> dict[Any, int]:
     """Keys, NULL among them, holding more than an average shuffle partition of the rows.
 
-    At most as many keys as there are shuffle partitions can pass, so the list is
-    small whatever the data.
+    With each comes the number of such shares it holds, rounded up. At most as many keys as
+    there are shuffle partitions can pass, so the result is small whatever the data. The
+    counts are estimates; they decide how rows are spread, never what is joined. A frame is
+    summarised once for each column.
     """
-    counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    share = df.count() / _shuffle_partitions(df)
-    return [r[0] for r in counts.where(F.col("_n") > share).select(column).collect()]
+    partitions = _shuffle_partitions(df)
+    known = _known_keys.setdefault(df, {})
+    if (column, partitions) not in known:
+        kind = dict(df.dtypes)[column]
+        found: dict[Any, int] = {}
+        if kind.split("(")[0] in SUMMARISED:
+            row = key_summary(df, column, partitions).first()
+            share = max(row["n"] / partitions, 1)
+            counts = [(r["item"], r["count"]) for r in row["frequent"] or []] + [(None, row["nulls"])]
+            found = {key: ceil(n / share) for key, n in counts if n > share}
+        known[(column, partitions)] = found
+    return known[(column, partitions)]
+
+
+def _places(key: Column, hot: Mapping[Any, int], most: int) -> Column:
+    """Over how many places a key's rows are spread: two to four times its shares, as places collide.
+
+    Powers of two make few classes of keys, each one set to look a key up in.
+    """
+    classes = defaultdict(list)
+    for value, shares in hot.items():
+        if value is not None:
+            classes[min(2 << shares.bit_length(), 4 * most)].append(value)
+    out = F.lit(1)
+    for places, values in classes.items():
+        out = F.when(key.isin(values), F.lit(places)).otherwise(out)
+    return out
 
 
 def with_spread(df: DataFrame) -> DataFrame:
@@ -54,25 +105,24 @@ def lookup_join(
 
     A parent small enough for Spark to broadcast is left to Spark, as are keys that
     spread well. Otherwise the rows of hot foreign keys, and those without one, are
-    spread over salts and the parent rows of hot keys are repeated once per salt.
-    The salt is a hash of the row, so select the needed columns first; rows of a
-    table without a key should carry the column of ``with_spread``.
+    spread in proportion to the key's share, and only the parent rows of hot keys are
+    repeated, once per place. The place is a hash of the row, so select the needed columns
+    first; rows of a table without a key should carry the column of ``with_spread``.
 
     ``keys_from`` is where to look for hot keys if ``child`` is costly to compute:
     the table its foreign key comes from.
     """
     fk_column, key_column = F.col(f"`{fk}`"), F.col(f"`{key}`")
-    hot = [] if fits_broadcast(parent) else hot_keys(child if keys_from is None else keys_from, fk)
+    hot = {} if fits_broadcast(parent) else hot_keys(child if keys_from is None else keys_from, fk)
     if not hot:
         return child.join(parent, fk_column == key_column, "left").drop(key)
-    values = [v for v in hot if v is not None]
-    place = F.col(SPREAD) if SPREAD in child.columns else _row_hash(child)
-    spread = F.pmod(place, F.lit(SALTS)).cast("int")
-    left = child.withColumn("_salt", F.when(fk_column.isNull() | fk_column.isin(values), spread).otherwise(0))
-    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    right = parent.withColumn(
-        "_copy", F.explode(F.when(key_column.isin(values), every).otherwise(F.array(F.lit(0))))
-    )
+    most = _shuffle_partitions(child)
+    row = F.col(SPREAD) if SPREAD in child.columns else _row_hash(child)
+    # rows without a key meet no parent row, so they may go anywhere
+    places = F.when(fk_column.isNull(), F.lit(most)).otherwise(_places(fk_column, hot, most))
+    left = child.withColumn("_salt", F.pmod(row, places).cast("int"))
+    every = F.sequence(F.lit(0), _places(key_column, hot, most) - 1)
+    right = parent.withColumn("_copy", F.explode(every))
     same = (fk_column == key_column) & (F.col("_salt") == F.col("_copy"))
     return left.join(right, same, "left").drop(key, "_salt", "_copy")
 
