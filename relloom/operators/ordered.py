@@ -107,7 +107,8 @@ def group_median(df: DataFrame, group: str, value: str, name: str = "median") ->
     whole = placed.groupBy(F.col(group).alias("_group")).agg(
         F.min("_before").alias("_first"), F.sum("_n").alias("_total")
     )
-    joined = lookup_join(placed, group, whole, "_group")
+    # hot groups are looked for in the table itself, which is cheaper than the sorted runs
+    joined = lookup_join(placed, group, whole, "_group", keys_from=df)
     start = F.col("_before") - F.col("_first")
     holds = [
         (start <= middle) & (middle < start + F.col("_n"))

@@ -63,11 +63,57 @@ def _one_row_to_long(row: DataFrame, columns: Sequence[str], value: str) -> Data
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact distinct counts of many columns in one job: ``column, n_distinct``."""
-    row = df.agg(*[F.count_distinct(_quoted(c)).alias(c) for c in columns])
+    """Exact distinct counts: ``column, n_distinct``.
+
+    Each column is deduplicated by itself, partially before its shuffle, and counted; no
+    row is copied once per column, and a scan reads only the column it counts.
+    """
+
+    def one(column: str) -> DataFrame:
+        values = df.select(_quoted(column).alias("v")).where(F.col("v").isNotNull()).distinct()
+        return values.agg(F.lit(column).alias("column"), F.count(F.lit(1)).alias("n_distinct"))
+
+    return reduce(DataFrame.unionByName, [one(c) for c in columns])
+
+
+def distinct_sketches(df: DataFrame, columns: Sequence[str], log_size: int = 12) -> DataFrame:
+    """One row with a mergeable sketch of the distinct values of each column, in one pass.
+
+    Sketches of parts of a table (days, partitions) are merged by ``merge_sketches``.
+    """
+    return df.agg(*[F.hll_sketch_agg(_sketched(df, c), log_size).alias(c) for c in columns])
+
+
+def _sketched(df: DataFrame, column: str) -> Column:
+    """The value, or its hash if sketches do not take its type."""
+    kind = dict(df.dtypes)[column]
+    value = _quoted(column)
+    return value if kind in ("int", "bigint", "string", "binary") else F.when(value.isNotNull(), F.xxhash64(value))
+
+
+def merge_sketches(sketches: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return sketches.agg(*[F.hll_union_agg(_quoted(c)).alias(c) for c in columns])
+
+
+def estimated_counts(sketches: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``column, n_distinct`` of one row of sketches, within a few per cent."""
+    row = sketches.select(*[F.coalesce(F.hll_sketch_estimate(_quoted(c)), F.lit(0)).alias(c) for c in columns])
     return _one_row_to_long(row, columns, "n_distinct")
 
 
+def few_valued(df: DataFrame, columns: Sequence[str], most: int) -> DataFrame:
+    """``column, n_distinct`` of the columns with at most ``most`` values, exactly.
+
+    A sketch screens all columns in one pass; only those near or below the bound are counted.
+    Twice the bound is far beyond the sketch's error.
+    """
+    estimates = estimated_counts(distinct_sketches(df, columns), columns).collect()
+    near = [r["column"] for r in estimates if r["n_distinct"] <= 2 * most + 8]
+    if not near:
+        return df.sparkSession.createDataFrame([], "column string, n_distinct long")
+    return distinct_counts(df, near).where(F.col("n_distinct") <= most)
+
+
 def varying_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Which columns have at least two distinct values, without counting them."""
     row = df.agg(*[F.coalesce(F.min(_quoted(c)) < F.max(_quoted(c)), F.lit(False)).alias(c) for c in columns])

@@ -126,6 +126,8 @@ def leading_directions(rows: DataFrame, width: int, k: int, oversample: int = 10
     the largest s², or when the blocks span all columns.
     """
     l = min(width, k + oversample)
+    if width <= BLOCKS * l:
+        l = width  # the blocks would span all columns: one pass does
     basis = _orthonormal(np.random.default_rng(seed).standard_normal((width, l)))
     images = gram_times(rows, basis)
     for _ in range(passes - 1):
