@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import random
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from threading import Lock
 from typing import Any
 
 from pyspark.errors import AnalysisException, IllegalArgumentException
@@ -33,6 +35,7 @@ from pyspark.sql import functions as F
 from relloom.operators.matrix import zero_filled
 from relloom.operators.statistics import class_weights
 from relloom.operators.svd import truncated_svd
+from relloom.runtime import materialize, plan_bytes
 
 # Deepest tree Spark grows; stands for "no limit".
 MAX_DEPTH = 30
@@ -84,8 +87,15 @@ class ForestModel:
         return self.clusters.transform(out)
 
     def predict(self, df: DataFrame) -> DataFrame:
-        """Add ``cluster`` and ``probability`` of class 1; 0.5 without a forest."""
+        """Add ``cluster`` and ``probability`` of class 1; 0.5 without a forest.
+
+        Rows are prepared once and written; every cluster's forest reads its own.
+        """
         prepared = self.prepare(df).select(*df.columns, "_features", "cluster")
+        return self.score(materialize(prepared, "prepared") if len(self.forests) > 1 else prepared, df.columns)
+
+    def score(self, prepared: DataFrame, columns: Sequence[str]) -> DataFrame:
+        """Probabilities of rows that have ``_features`` and ``cluster``."""
         parts = []
         for number, forest in self.forests.items():
             rows = prepared.where(F.col("cluster") == number) if self.clusters else prepared
@@ -94,8 +104,8 @@ class ForestModel:
             else:
                 scored = forest.transform(rows)
                 parts.append(scored.withColumn("_p", vector_to_array("_probability")[1]))
-        columns = [*df.columns, "cluster", F.col("_p").alias("probability")]
-        return reduce(DataFrame.unionByName, [p.select(*columns) for p in parts])
+        chosen = [*[F.col(f"`{c}`") for c in columns], F.col("cluster"), F.col("_p").alias("probability")]
+        return reduce(DataFrame.unionByName, [p.select(*chosen) for p in parts])
 
     def importances(self) -> list[tuple[int, str, float]]:
         """``(cluster, feature, weight)``, heaviest first within a cluster."""
@@ -167,31 +177,47 @@ def fit_forests(
     encoder = _encoder(numeric, categorical).fit(rows)
     names = _names(encoder, numeric, categorical)
     encoded = encoder.transform(rows)
-    svd = None
-    if params.n_components < len(names):
-        svd = truncated_svd(encoded, "_kept", "_features", params.n_components)
-        names = [f"component_{i}" for i in range(params.n_components)]
-    model = ForestModel(numeric, categorical, encoder, svd, None, {}, params, names)
-    ready = svd.transform(encoded) if svd else encoded.withColumn("_features", F.col("_kept"))
-    ready = ready.select(F.col(label).cast("double").alias("_label"), "_features").persist()
-    if params.k > 1:
-        means = KMeans(k=params.k, seed=params.seed, featuresCol="_features", predictionCol="cluster")
-        model.clusters = means.fit(ready)
-        clustered = model.clusters.transform(ready)
-    else:
-        clustered = ready.withColumn("cluster", F.lit(0))
-    classes = clustered.groupBy("cluster").agg(F.count_distinct("_label").alias("n")).collect()
-    for row in sorted(classes, key=lambda r: r.cluster):
-        members = clustered.where(F.col("cluster") == row.cluster)
-        model.forests[row.cluster] = _fit_cluster(members, len(names), params) if row.n > 1 else None
-    if params.k > 1:
-        for number in range(params.k):
-            model.forests.setdefault(number, None)
-    ready.unpersist()
-    rows.unpersist()
+    ready = encoded.select(F.col(label).cast("double").alias("_label"), "_kept")
+    model = ForestModel(numeric, categorical, encoder, None, None, {}, params, names)
+    try:
+        _fit_encoded(model, ready, names)
+    finally:
+        rows.unpersist()
     return model
 
 
+def _reduced(rows: DataFrame, names: Sequence[str], params: ForestParams, svd: Any = None) -> Any:
+    """The reduction of encoded rows, if there are fewer components than columns."""
+    if params.n_components >= len(names):
+        return None
+    return svd or truncated_svd(rows, "_kept", "_features", params.n_components)
+
+
+def _fit_encoded(model: ForestModel, encoded: DataFrame, names: Sequence[str], svd: Any = None) -> None:
+    """Reduce, cluster and fit on rows of ``_label`` and the encoded vector ``_kept``."""
+    params = model.params
+    model.svd = _reduced(encoded, names, params, svd)
+    model.names = [f"component_{i}" for i in range(params.n_components)] if model.svd else list(names)
+    ready = model.svd.transform(encoded) if model.svd else encoded.withColumn("_features", F.col("_kept"))
+    ready = ready.select("_label", "_features").persist()
+    try:
+        if params.k > 1:
+            means = KMeans(k=params.k, seed=params.seed, featuresCol="_features", predictionCol="cluster")
+            model.clusters = means.fit(ready)
+            clustered = model.clusters.transform(ready)
+        else:
+            clustered = ready.withColumn("cluster", F.lit(0))
+        classes = clustered.groupBy("cluster").agg(F.count_distinct("_label").alias("n")).collect()
+        for row in sorted(classes, key=lambda r: r.cluster):
+            members = clustered.where(F.col("cluster") == row.cluster)
+            model.forests[row.cluster] = _fit_cluster(members, len(model.names), params) if row.n > 1 else None
+        if params.k > 1:
+            for number in range(params.k):
+                model.forests.setdefault(number, None)
+    finally:
+        ready.unpersist()
+
+
 def _fit_cluster(members: DataFrame, width: int, params: ForestParams) -> PipelineModel:
     weighted = class_weights(members, "_label", params.reweight_ratio, "_weight")
     k_best = max(1, int(0.01 * params.k_best_percent * width))
@@ -243,11 +269,13 @@ def cv_scores(
     """ROC AUC per fold over the labeled rows."""
     labeled = with_fold(df.where(F.col(label).isNotNull()), id_column, folds).persist()
     scores = []
-    for fold in range(folds):
-        model = fit_forests(labeled.where(F.col("_fold") != fold), label, numeric, categorical, params)
-        held_out = labeled.where(F.col("_fold") == fold).drop("_fold")
-        scores.append(roc_auc(model.predict(held_out), label))
-    labeled.unpersist()
+    try:
+        for fold in range(folds):
+            model = fit_forests(labeled.where(F.col("_fold") != fold), label, numeric, categorical, params)
+            held_out = labeled.where(F.col("_fold") == fold).drop("_fold")
+            scores.append(roc_auc(model.predict(held_out), label))
+    finally:
+        labeled.unpersist()
     return scores
 
 
@@ -285,6 +313,50 @@ def random_points(
     ]
 
 
+class _Fold:
+    """One fold, encoded and written once for every point of a search."""
+
+    def __init__(self, train: DataFrame, test: DataFrame, label: str, numeric: list[str], categorical: list[str]) -> None:
+        self.numeric, self.categorical = numeric, categorical
+        rows = _plain_inputs(train, numeric, categorical)
+        self.encoder = _encoder(numeric, categorical).fit(rows)
+        self.names = _names(self.encoder, numeric, categorical)
+        self.train, self.test = (self._encoded(part, label) for part in (train, test))
+        self._whole: Any = None
+        self._lock = Lock()
+
+    def _encoded(self, part: DataFrame, label: str) -> DataFrame:
+        """Written rows in as few partitions as their size asks for: a tree level is a job."""
+        rows = self.encoder.transform(_plain_inputs(part, self.numeric, self.categorical))
+        written = materialize(rows.select(F.col(label).cast("double").alias("_label"), "_kept"), "fold")
+        return written.coalesce(int(plan_bytes(written) // FOLD_BYTES) + 1)
+
+    def svd(self, components: int) -> Any:
+        """Leading directions nest: those of the widest reduction serve all others."""
+        if components >= len(self.names):
+            return None
+        with self._lock:
+            if self._whole is None:
+                self._whole = truncated_svd(self.train, "_kept", "_features", len(self.names) - 1)
+        whole = self._whole
+        return replace(whole, singular_values=whole.singular_values[:components], components=whole.components[:, :components])
+
+    def score(self, params: ForestParams) -> float:
+        model = ForestModel(self.numeric, self.categorical, self.encoder, None, None, {}, params, self.names)
+        _fit_encoded(model, self.train, self.names, self.svd(params.n_components))
+        rows = model.svd.transform(self.test) if model.svd else self.test.withColumn("_features", F.col("_kept"))
+        rows = model.clusters.transform(rows) if model.clusters else rows.withColumn("cluster", F.lit(0))
+        return roc_auc(model.score(rows, ["_label"]), "_label")
+
+
+#: A round of a search keeps one in so many points, and gives each so many times the trees.
+HALVING = 3
+#: Points fitted at the same time; each is a row of small jobs that leave cores idle.
+CONCURRENT = 8
+#: Written bytes of a fold in one partition.
+FOLD_BYTES = 16 << 20
+
+
 def param_search(
     df: DataFrame,
     id_column: str,
@@ -293,13 +365,38 @@ def param_search(
     categorical: Sequence[str],
     points: Sequence[ForestParams],
     folds: int = 3,
-) -> list[tuple[ForestParams, float]]:
-    """Mean AUC of every point, best first."""
-    scored = []
-    for point in points:
-        scores = cv_scores(df, id_column, label, numeric, categorical, point, folds)
-        scored.append((point, sum(scores) / len(scores)))
-    return sorted(scored, key=lambda pair: -pair[1])
+    rounds: int = 3,
+) -> list[tuple[ForestParams, float, int]]:
+    """``point, mean AUC, trees``, best first, by successive halving over the number of trees.
+
+    The first round fits every point with few of its trees, each later one the best third
+    with three times as many; the last fits whole forests. Every fit uses all labeled rows of
+    its fold. Points that went further come first; within a round the AUC decides. The
+    reduction to fewer components is computed once for each fold; folds are those of
+    :func:`cv_scores`.
+    """
+    numeric, categorical = list(numeric), list(categorical)
+    labeled = with_fold(df.where(F.col(label).isNotNull()), id_column, folds).persist()
+    try:
+        made = [
+            _Fold(labeled.where(F.col("_fold") != n), labeled.where(F.col("_fold") == n), label, numeric, categorical)
+            for n in range(folds)
+        ]
+    finally:
+        labeled.unpersist()
+    left, done = list(enumerate(points)), {}
+    with ThreadPoolExecutor(max_workers=CONCURRENT) as pool:
+        for turn in range(rounds):
+            share = HALVING ** (rounds - 1 - turn)
+            tries = [(n, replace(p, n_estimators=-(-p.n_estimators // share))) for n, p in left]
+            scores = list(pool.map(lambda job: job[1].score(job[0]), [(p, fold) for _, p in tries for fold in made]))
+            for k, (n, p) in enumerate(tries):
+                mean = sum(scores[k * folds : (k + 1) * folds]) / folds
+                done[n] = (turn, mean, p.n_estimators)
+            kept = sorted(left, key=lambda pair: (-done[pair[0]][1], pair[0]))
+            left = kept[: max(1, -(-len(left) // HALVING))]
+    order = sorted(range(len(points)), key=lambda n: (-done[n][0], -done[n][1], n))
+    return [(points[n], done[n][1], done[n][2]) for n in order]
 
 
 def train_and_predict(

@@ -75,8 +75,8 @@ def param_search(spark: SparkSession, sf_dir: str) -> DataFrame:
         _rows(spark, sf_dir, False), "doc_id", LABEL, FEATURES, CATEGORICAL, points, folds=3
     )
     return spark.createDataFrame(
-        [(*[getattr(p, name) for name in model.PARAM_RANGES], auc) for p, auc in found],
-        ", ".join([*[f"{name} int" for name in model.PARAM_RANGES], "auc double"]),
+        [(*[getattr(p, name) for name in model.PARAM_RANGES], auc, trees) for p, auc, trees in found],
+        ", ".join([*[f"{name} int" for name in model.PARAM_RANGES], "auc double", "trees int"]),
     )
 
 

@@ -63,7 +63,9 @@ def test_cross_validation_and_search(separable):
     assert scores == [1.0, 1.0, 1.0]
     weak = ForestParams(n_estimators=1, max_depth=1, max_features=100)
     found = model.param_search(separable, "id", "y", ["b"], [], [weak, SMALL], folds=2)
-    assert found[0][1] >= found[1][1]
+    assert found[0][1] >= found[1][1] or found[0][2] > found[1][2]
+    # one of two points is fitted whole; the other stays at a ninth of its trees, rounded up
+    assert [trees for point, _, trees in found] == [found[0][0].n_estimators, -(-found[1][0].n_estimators // 9)]
     points = model.random_points(5, seed=1)
     assert points == model.random_points(5, seed=1)
     assert all(model.PARAM_RANGES["max_depth"][0] <= p.max_depth <= model.PARAM_RANGES["max_depth"][1] for p in points)
@@ -110,7 +112,7 @@ def test_registered_searches_have_the_whole_width(spark, monkeypatch):
 
     def search(rows, id_column, label, numeric, categorical, points, folds=3):
         asked.update(points=points, folds=folds)
-        return [(p, 0.5) for p in points]
+        return [(p, 0.5, p.n_estimators) for p in points]
 
     def quality(rows, id_column, label, numeric, categorical=(), params=None, folds=2):
         asked.update(features=[*numeric, *categorical], params=params)
@@ -119,7 +121,7 @@ def test_registered_searches_have_the_whole_width(spark, monkeypatch):
     monkeypatch.setattr(model, "param_search", search)
     monkeypatch.setattr(model, "feature_quality_by_model", quality)
     found = QUERIES["param_search"](spark, SF_DIR)
-    assert found.columns == [*model.PARAM_RANGES, "auc"] and found.count() == len(asked["points"]) == 30
+    assert found.columns == [*model.PARAM_RANGES, "auc", "trees"] and found.count() == len(asked["points"]) == 30
     assert asked["folds"] == 3
     for name in model.PARAM_RANGES:
         assert len({getattr(p, name) for p in asked["points"]}) > 2
