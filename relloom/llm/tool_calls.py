@@ -2,8 +2,8 @@
 what they depend on, with arguments checked against schemas and canonical JSON.
 
 Joins are on conversation and call, never on the conversation alone, so one conversation
-with very many calls is spread like any other. Layers of the dependency graph are peeled
-in rounds, as many as the longest chain of dependencies.
+with very many calls is spread like any other. Chains of dependencies are contracted by
+doubling, so the rounds grow with the logarithm of their length.
 """
 
 from __future__ import annotations
@@ -105,34 +105,77 @@ def _check(batches: Batches, schemas: dict[str, dict]) -> Batches:
             )
 
 
+def _shortened(ways: DataFrame) -> DataFrame:
+    """Ways (conv_id, call_id, after, more, least) of calls with one dependency, led as far as such ways go.
+
+    A way says that the call's layer is the greater of ``least`` and the layer of ``after``
+    plus ``more``; two ways in a row are one such way. Every round doubles how far ways
+    lead. Ways that run into a cycle lead nowhere and are dropped: only these move in
+    every round, so they are what is left once a round moves no fewer than the last.
+    """
+    before = None
+    while True:
+        ahead = ways.select(
+            "conv_id", F.col("call_id").alias("after"), F.col("after").alias("to"),
+            F.col("more").alias("further"), F.col("least").alias("at_least"),
+        )
+        ways = settle(ways.join(ahead, ["conv_id", "after"], "left").select(
+            "conv_id", "call_id", F.coalesce("to", "after").alias("after"),
+            (F.col("more") + F.coalesce("further", F.lit(0))).alias("more"),
+            F.greatest("least", F.col("at_least") + F.col("more")).alias("least"), F.col("to").isNotNull().alias("moved"),
+        ), "ways")
+        moved = ways.where("moved").count()
+        if moved in (0, before):
+            return ways.where("not moved").drop("moved")
+        before = moved
+
+
 def layers(calls: DataFrame, edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, layer): one more than the highest layer a call depends on, from 0.
 
     Calls on a cycle, or behind one, get no row. Edges (conv_id, call_id, after) whose
-    ``after`` is not a call do not count.
+    ``after`` is not a call do not count, nor do null identifiers. Each turn contracts
+    the chains of calls with a single dependency, so that a chain of any length takes the
+    logarithm of its length in rounds and one turn; further turns are only needed where
+    calls with several dependencies depend on one another.
     """
-    ids = settle(calls.select("conv_id", "call_id").where("call_id is not null").distinct(), "calls")
+    key = ["conv_id", "call_id"]
+    ids = settle(calls.select(*key).dropna().distinct(), "calls")
     known = ids.withColumnRenamed("call_id", "after")
-    left = settle(edges.select("conv_id", "call_id", "after").distinct().join(known, ["conv_id", "after"], "left_semi"), "edges")
-    waiting = left.select("conv_id", "call_id").distinct()
-    ready = settle(ids.join(waiting, ["conv_id", "call_id"], "left_anti").withColumn("layer", F.lit(0)), "layer")
-    found, layer = [ready], 0
-    while not left.isEmpty():
-        layer += 1
-        done = ready.select("conv_id", F.col("call_id").alias("after"))
-        rest = settle(left.join(done, ["conv_id", "after"], "left_anti"), "edges")
-        freed = left.select("conv_id", "call_id").distinct().join(
-            rest.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti"
+    links = settle(
+        edges.select(*key, "after").distinct().join(known, ["conv_id", "after"], "left_semi").withColumn("more", F.lit(1)), "edges"
+    )
+    waiting = links.select(*key).distinct().withColumn("waits", F.lit(True))
+    nodes = settle(ids.join(waiting, key, "left").select(
+        *key, F.lit(0).alias("least"), F.coalesce("waits", F.lit(False)).alias("waits")
+    ), "layer")
+    left = links.count()
+    while left:
+        alone = links.groupBy(*key).agg(F.count("*").alias("n"), F.min("after").alias("after"), F.min("more").alias("more"))
+        ways = _shortened(alone.where("n = 1").drop("n").join(nodes.select(*key, "least"), key))
+        ahead = ways.select(
+            "conv_id", F.col("call_id").alias("after"), F.col("after").alias("to"),
+            F.col("more").alias("further"), F.col("least").alias("at_least"),
         )
-        ready = settle(freed.withColumn("layer", F.lit(layer)), "layer")
-        if ready.isEmpty():
+        led = links.join(ahead, ["conv_id", "after"], "left").select(
+            *key, F.coalesce("to", "after").alias("after"), (F.col("more") + F.coalesce("further", F.lit(0))).alias("more"),
+            (F.col("at_least") + F.col("more")).alias("least"),
+        )
+        placed = nodes.where("not waits").select("conv_id", F.col("call_id").alias("after"), F.col("least").alias("placed"))
+        met = settle(led.join(placed, ["conv_id", "after"], "left").select(
+            *key, F.when(F.col("placed").isNull(), F.col("after")).alias("after"), "more",
+            F.greatest("least", F.col("placed") + F.col("more")).alias("least"),
+        ), "met")
+        raised = met.groupBy(*key).agg(F.max("least").alias("to"), (F.count("after") > 0).alias("still"))
+        nodes = settle(nodes.join(raised, key, "left").select(
+            *key, F.greatest("least", "to").alias("least"), F.coalesce("still", F.lit(False)).alias("waits")
+        ), "layer")
+        links = settle(met.where("after is not null").groupBy(*key, "after").agg(F.max("more").alias("more")), "edges")
+        # every turn places the lowest calls that can be placed; what is left then waits for itself
+        before, left = left, links.count()
+        if left == before:
             break
-        found.append(ready)
-        left = rest
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out
+    return nodes.where("not waits").select(*key, F.col("least").alias("layer"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -147,8 +190,13 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     were. Status is ``answered``, ``pending``, ``duplicate``, ``cyclic`` (it waits for
     itself) or ``orphan`` (no call). Sorting by conv_id, layer, position and call_id is a
     topological order. ``message`` is the canonical JSON of the linked call. Null
-    identifiers link with nothing. Empty tables give no rows.
+    identifiers of calls or conversations link with nothing: such calls are ``pending``
+    and such results ``orphan``. Conversations are identified by numbers. Arguments of any length are read whole. Further
+    columns are ignored. Empty tables give no rows.
     """
+    conv = F.col("conv_id").cast("long").alias("conv_id")
+    calls, results = calls.withColumn("conv_id", conv), results.withColumn("conv_id", conv)
+    named = "call_id is not null and conv_id is not null"
     read = calls.select(
         "conv_id", "call_id", F.col("name").cast("string"), F.col("position").cast("long"), F.col("arguments").cast("string")
     )
@@ -158,24 +206,24 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     ), "checked")
     place = F.struct("position", "name", "arguments")
     key = ["conv_id", "call_id"]
-    first = checked.where("call_id is not null").groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    first = checked.where(named).groupBy(*key).agg(F.min(place).alias("first"), F.count("*").alias("n"))
     answers = results.select("conv_id", "call_id", F.col("content").cast("string"), F.col("position").cast("long").alias("at"))
     answers = answers.groupBy(*key).agg(F.min(F.struct("at", "content")).alias("r"), F.count("*").alias("n_results"))
     edges = calls.select("conv_id", "call_id", F.explode("after").alias("after"))
     layer = layers(checked, edges)
     # repeated calls are numbered only where an identifier repeats
-    single = checked.join(first.where("n = 1 and call_id is not null").select(*key), key, "left_semi").withColumn("turn", F.lit(1))
+    single = checked.join(first.where("n = 1").select(*key), key, "left_semi").withColumn("turn", F.lit(1))
     several = checked.join(first.where("n > 1").select(*key, "first"), key).withColumn(
         "turn", F.when(place.eqNullSafe(F.col("first")), F.lit(1)).otherwise(F.lit(2))
     )
     same = several.where("turn = 1").groupBy(*checked.columns).agg(F.count("*").alias("c"))
     leading = same.drop("c").withColumn("turn", F.lit(1))
     copies = same.where("c > 1").select(*checked.columns, F.explode(F.sequence(F.lit(2), F.col("c").cast("int"))).alias("turn"))
-    nameless = checked.where("call_id is null").withColumn("turn", F.lit(1))
+    nameless = checked.where(f"not ({named})").withColumn("turn", F.lit(1))
     numbered = single.unionByName(leading).unionByName(several.where("turn > 1").drop("first")).unionByName(copies).unionByName(nameless)
     linked = numbered.join(answers, key, "left").join(layer, key, "left")
     status = F.when(F.col("turn") > 1, "duplicate").when(
-        F.col("call_id").isNotNull() & F.col("layer").isNull(), "cyclic"
+        F.expr(named) & F.col("layer").isNull(), "cyclic"
     ).when(F.col("r").isNotNull(), "answered").otherwise("pending")
     taken = F.col("turn") == 1
     rows = linked.select(
@@ -233,6 +281,9 @@ def calls_of_turns(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     A user's turn calls ``lookup`` if it has one line and ``answer`` otherwise, uses the
     result of the user's turn two before, and is answered by the assistant's next turn.
+    A null text is called with no query, a null turn has no call identifier, rows of other
+    roles (or none) stand for nothing, repeated rows repeat their call or result, and no
+    turns give no calls.
     """
     said = turns.select("conv_id", "turn", "role", F.col("text").cast("string").alias("text"))
     name = lambda t: F.concat(F.lit("call-"), t.cast("string"))
