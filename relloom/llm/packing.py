@@ -44,9 +44,9 @@ class Capacity(NamedTuple):
     attention: int | None = None
 
 
-#: What the query and the pipeline pack by: 2048 tokens, 128 pieces, and the attention of one
-#: whole piece, the least bound under which documents are still cut by tokens alone.
-SEQUENCE = Capacity(2048, 128, 2048**2)
+#: What the query and the pipeline pack by: 2048 tokens, and the pieces and the attention that
+#: 2048 tokens can come to, the least bounds that never open a sequence which tokens would not.
+SEQUENCE = Capacity(2048, 2048, 2048**2)
 #: How much tokens, pieces and attention count in their rating (fixed values).
 SEQUENCE_WEIGHTS = (1.0, 0.5, 0.5)
 
@@ -262,12 +262,18 @@ def best_fit(counts: dict[int, int], capacity: Capacity, weights: Sequence[float
     return runs
 
 
+def least_sequences(counts: dict[int, int], capacity: Capacity, weights: Sequence[float], score: str) -> list[Run]:
+    """The rated plan, or the one rated by tokens alone where that takes fewer sequences."""
+    plans = [best_fit(counts, capacity, w, score) for w in (weights, (1.0, 0.0, 0.0))]
+    return min(plans, key=lambda runs: max((r.bin_id - (-r.count // r.copies) for r in runs), default=0))
+
+
 def assign(pieces: DataFrame, capacity: Capacity, weights: Sequence[float], score: str) -> DataFrame:
     """Sequence and offset of every settled piece."""
     spark: SparkSession = pieces.sparkSession
     per_chunk = settle(pieces.groupBy("chunk", "length").count(), "lengths")
     totals = per_chunk.groupBy("length").agg(F.sum("count").alias("n")).collect()
-    runs = best_fit({r["length"]: r["n"] for r in totals}, capacity, weights, score)
+    runs = least_sequences({r["length"]: r["n"] for r in totals}, capacity, weights, score)
     # at most ``tokens`` lengths, and for each the ranges of bins it is dealt to
     plan = spark.createDataFrame(
         pa.table({f: pa.array([r[k] for r in runs], pa.int64()) for k, f in enumerate(Run._fields)})
