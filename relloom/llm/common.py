@@ -6,6 +6,7 @@ further columns, so extra columns with clashing names cannot disturb it.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -27,13 +28,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _returning(function: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``function``, after which the reused worker gives unused memory back to the system."""
+
+    def run(batches: Batches) -> Batches:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return run
+
+
 def map_batches(df: DataFrame, function: Callable[[Batches], Batches], schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers also find this library where the driver found it."""
+    """``mapInArrow`` whose workers find this library where the driver found it and keep no unused memory."""
     places = df.sparkSession.sparkContext.environment
     known = [p for p in places.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in known:
         places["PYTHONPATH"] = os.pathsep.join([ROOT, *known])
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(_returning(function), schema)
 
 
 def settle(df: DataFrame, label: str) -> DataFrame:

@@ -19,15 +19,15 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast, TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relloom.llm.common import Batches, coded, map_batches, settle, steps, taken, text_columns, words_of
@@ -45,6 +45,9 @@ ASKED = (1 << 30) - 1
 #: Bits of the filter of sets that verification needs; wrong hits are dropped by a join.
 FILTER_BITS = 1 << 25
 
+#: What a text with at least one word matches.
+A_WORD = r"[^\x20\x09-\x0D]"
+
 M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -87,8 +90,11 @@ def _sets(batches: Batches, width: int) -> Iterator[tuple[pa.RecordBatch, list[n
 
 
 def _classes(batches: Batches, width: int) -> Batches:
-    """A row per document, and this task's sketch in rows of ``BLOCK`` counters."""
-    names = ["doc_id", "n", "node", "block", "part", "counts"]
+    """A row per document, and this task's sketch in rows of ``BLOCK`` counters.
+
+    ``one`` and ``two`` are digests of the text that the caller may have added.
+    """
+    names = ["doc_id", "one", "two", "n", "node", "block", "part", "counts"]
     sketch = np.zeros(CELLS, np.int32)
     for part, sets in _sets(batches, width):
         if any(len(s) for s in sets):
@@ -96,7 +102,7 @@ def _classes(batches: Batches, width: int) -> Batches:
             sketch += np.bincount(cells.astype(np.int64), minlength=CELLS).astype(np.int32)
         k = len(sets)
         yield pa.RecordBatch.from_arrays([
-            part["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
+            part["doc_id"], part["one"], part["two"], pa.array([len(s) for s in sets], pa.int64()),
             pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
             pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
         ], names=names)
@@ -104,7 +110,7 @@ def _classes(batches: Batches, width: int) -> Batches:
         rows = sketch.reshape(-1, BLOCK)
         k, task = len(rows), TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([
-            pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()),
+            *[pa.nulls(k, pa.int64()) for _ in names[:5]],
             pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, task, np.int32)),
             pa.array([_packed(r) for r in rows], pa.binary()),
         ], names=names)
@@ -519,14 +525,17 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, threshold: Frac
     small, large = _few_matching(entries, threshold), _many_matching(entries)
     visits = settle(_covering(large, ["token"]), "visits")
 
-    def needed(nodes: DataFrame, whole: bool) -> DataFrame:
+    def needed(nodes: DataFrame, whole: bool) -> tuple[DataFrame, Broadcast]:
         wanted = spark.sparkContext.broadcast(_bits(nodes.select("node").distinct()))
         return map_batches(
             docs, lambda b: _needed(b, width, threshold, shared, noise, wanted, whole),
             "node long, n long, asked int, length int, tokens binary",
-        )
+        ), wanted
 
-    prefixes = settle(needed(visits, whole=False), "prefixes")
+    # broadcasts are destroyed after their last use, or they stay with executors and workers
+    found, wanted = needed(visits, whole=False)
+    prefixes = settle(found, "prefixes")
+    wanted.destroy()
     sizes = prefixes.groupBy("node").agg(F.first("length").alias("size"))
     blocks = visits.join(sizes, "node").groupBy("token").agg(
         F.ceil(F.sum("size") / BLOCK_SHINGLES).cast("int").alias("blocks")
@@ -549,9 +558,24 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, threshold: Frac
         F.xxhash64("token", "low", "high").alias("token"), zero.alias("low"), zero.alias("high"), zero.alias("block"), "node"
     ).distinct()
     candidates = settle(_covering(candidates.unionByName(small), ["token"]), "candidates")
-    return map_batches(
-        _bring(candidates, needed(candidates, whole=True)), lambda b: _verify(b, threshold), "a long, b long"
-    )
+    found, wanted = needed(candidates, whole=True)
+    links = settle(map_batches(_bring(candidates, found), lambda b: _verify(b, threshold), "a long, b long"), "links")
+    wanted.destroy()
+    shared.destroy()
+    return links
+
+
+def _rooted(
+    docs: DataFrame, width: int, threshold: Fraction, id_col: str, text_col: str, digests: Sequence[Column]
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, one, two, n, node) of all documents, and the root (node, root) of linked classes."""
+    read = text_columns(docs, id_col, text_col)
+    classes = settle(map_batches(
+        read.select("*", *[d.alias(name) for d, name in zip(digests, ("one", "two"), strict=True)]),
+        lambda b: _classes(b, width), "doc_id long, one long, two long, n long, node long, block int, part int, counts binary",
+    ), "classes")
+    roots = components(class_links(read, classes, width, threshold))
+    return classes.where("block is null").select("doc_id", "one", "two", "n", "node"), roots
 
 
 def ngram_join(
@@ -565,12 +589,8 @@ def ngram_join(
     and each keeps its row; a null identifier counts for no component's least doc_id, so
     it is the component of a row only if no other identifier is reached.
     """
-    read = text_columns(docs, id_col, text_col)
-    classes = settle(map_batches(
-        read, lambda b: _classes(b, width), "doc_id long, n long, node long, block int, part int, counts binary"
-    ), "classes")
-    roots = components(class_links(read, classes, width, threshold))
-    rows = classes.where("block is null").select("doc_id", "n", "node")
+    none = F.lit(None).cast("long")
+    rows, roots = _rooted(docs, width, threshold, id_col, text_col, (none, none))
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -585,34 +605,48 @@ def ngram_join(
 def keep_one(
     docs: DataFrame, width: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` whose identifier is the least of their component, each once.
-
-    Rows that share an identifier are versions of one document: one of them stays (the
-    least text), and none if one is linked to a lesser identifier. Rows without an
-    identifier stay. A filter of fixed size lets rows that surely stay pass without a
-    shuffle; the others are looked up exactly.
+    """One row of ``docs`` for each component of linked texts, and all rows without words.
+
+    The row with the least identifier stays (nulls last; ties: by a digest of the text,
+    then by the row as JSON). Texts decide, not identifiers: rows that share an identifier
+    or have none are judged each by its own text, and only linked ones go. A filter of fixed
+    size lets rows that surely stay pass without a shuffle; the others are looked up by
+    identifier and 128 bits of their text. The caller's columns travel as one value, so
+    they may have any names.
     """
-    joined = settle(ngram_join(docs, width, threshold, id_col, text_col), "joined").where("doc_id is not null")
-    gone = joined.where("component_id <> doc_id").select("doc_id").distinct()
-    twice = joined.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    doubtful = gone.unionByName(twice).select(F.xxhash64("doc_id").alias("node"))
+    text, identifier = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    digests = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    rows, roots = _rooted(docs, width, threshold, id_col, text_col, (F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))
+    key = ["doc_id", "one", "two"]
+    texts = rows.where("node is not null").groupBy(*key, "node").agg(F.count("*").alias("copies"))
+    texts = settle(texts, "texts")
+    place = F.struct(F.col("doc_id").isNull().alias("nameless"), *key)
+    least = texts.groupBy("node").agg(F.min(place).alias("least"))
+    rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    first = rooted.groupBy("root").agg(F.min("least").alias("first"))
+    judged = settle(texts.join(rooted.join(first, "root").select("node", "first"), "node").select(
+        *key, "copies", place.eqNullSafe(F.col("first")).alias("stays")
+    ).where("not stays or copies > 1"), "judged")
+    bits = _bits(judged.select(F.xxhash64(*key).alias("node")).distinct())
     filled = docs.sparkSession.createDataFrame(
-        [(k, row) for k, row in enumerate(_rows_of(_bits(doubtful))) if any(row)], "_row int, _bits binary"
+        [(k, row) for k, row in enumerate(_rows_of(bits)) if any(row)], "part int, bits binary"
     )
-    identifier = F.col(f"`{id_col}`").cast("long")
-    place = F.xxhash64(identifier).bitwiseAND(F.lit(FILTER_BITS - 1))
-    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place.bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))), 16, 10)
-    bit = F.expr("shiftright(_byte, cast(_place & 7 as int)) & 1")
-    marked = docs.withColumn("_place", place).withColumn("_row", F.shiftright("_place", 15).cast("int")).join(
-        F.broadcast(filled), "_row", "left"
-    ).withColumn("_byte", F.coalesce(byte.cast("int"), F.lit(0))).withColumn("_hit", (bit == 1) & identifier.isNotNull())
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    sure = marked.where(~F.col("_hit")).select(*columns)
-    asked = marked.where("_hit").select(*columns, identifier.alias("_id")).join(
-        gone.withColumnRenamed("doc_id", "_id"), "_id", "left_anti"
+    at = F.xxhash64(*key).bitwiseAND(F.lit(FILTER_BITS - 1))
+    packed = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), identifier.alias("doc_id"),
+        digests[0].alias("one"), digests[1].alias("two"), F.coalesce(text.rlike(A_WORD), F.lit(False)).alias("worded"),
+    ).withColumn("at", at)
+    byte = F.substring("bits", F.shiftright(F.col("at").bitwiseAND(F.lit(32767)), 3).cast("int") + 1, F.lit(1))
+    met = packed.withColumn("part", F.shiftright("at", 15).cast("int")).join(F.broadcast(filled), "part", "left").withColumn(
+        "byte", F.coalesce(F.conv(F.hex(byte), 16, 10).cast("int"), F.lit(0))
+    ).withColumn("hit", F.col("worded") & F.expr("(shiftright(byte, cast(at & 7 as int)) & 1) = 1"))
+    sure = met.where("not hit").select("row.*")
+    gone = judged.where("not stays").select(*[F.col(c).alias(f"gone_{c}") for c in key])
+    asked = met.where("hit").select("row", *key).join(
+        gone, F.col("doc_id").eqNullSafe(F.col("gone_doc_id")) & (F.col("one") == F.col("gone_one")) & (F.col("two") == F.col("gone_two")),
+        "left_anti",
     )
-    order = Window.partitionBy("_id").orderBy(F.col(f"`{text_col}`"))
-    one = asked.withColumn("_turn", F.row_number().over(order)).where("_turn = 1").select(*columns)
+    one = asked.groupBy(*key).agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
     return sure.unionByName(one)
 
 

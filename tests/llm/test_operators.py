@@ -175,6 +175,50 @@ def test_layers_against_brute_force(spark):
     assert got == want
 
 
+def test_layers_of_any_graph_against_brute_force(spark):
+    """Chains, calls with several dependencies, cycles, what waits behind them, unknown and null identifiers."""
+    rng = random.Random(4)
+    rows, want = [], {}
+    for conv in range(25):
+        names = [f"n{k}" for k in range(rng.randrange(1, 25))]
+        after = {n: {rng.choice(names[max(0, k - 3) : k + (rng.random() < 0.04)] or ["?"]) for _ in range(rng.choice([0, 1, 1, 1, 1, 3]))}
+                 for k, n in enumerate(names)}
+        if conv % 5 == 0:
+            after[names[0]] = {names[-1]}
+        rows += [(conv, n, "f", "{}", 0, [*after[n], None]) for n in names]
+        placed = {}
+        for _ in names:
+            for n in names:
+                known = [a for a in after[n] if a in after]
+                if all(a in placed for a in known):
+                    placed[n] = 1 + max((placed[a] for a in known), default=-1)
+        want |= {(conv, n): k for n, k in placed.items()}
+    calls = _calls(spark, [*rows, (None, "n1", "f", "{}", 0, ["n0"])])
+    got = tool_calls.layers(calls, calls.select("conv_id", "call_id", F.explode("after").alias("after")))
+    assert {(r.conv_id, r.call_id): r.layer for r in got.collect()} == want
+
+
+def test_long_chains_take_few_rounds_and_a_plan_of_one_size(spark, monkeypatch):
+    written, sizes = [], []
+    settle = tool_calls.settle
+    monkeypatch.setattr(tool_calls, "settle", lambda df, label: (written.append(label), settle(df, label))[1])
+    for n in (20, 1000):
+        written.clear()
+        calls = _calls(spark, [(1, f"n{k}", "f", "{}", k, [f"n{k - 1}"] if k else []) for k in range(n)])
+        found = tool_calls.link_tool_calls(calls, _results(spark, []), {})
+        assert {r.call_id: r.layer for r in found.collect()} == {f"n{k}": k for k in range(n)}
+        sizes.append(found._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+    assert written.count("ways") <= 12 and sizes[0] == sizes[1]
+
+
+def test_odd_calls(spark):
+    calls = _calls(spark, [(None, "a", "f", "{}", 1, ["b"]), (None, "a", "f", "{}", 1, None), (1, "x", "f", '{"q": "' + "y" * 300_000 + '"}', 1, [])])
+    calls = calls.selectExpr("*", "'c' as layer", "1 as status", "2 as errors", "3 as turn", "'m' as message")
+    rows = tool_calls.link_tool_calls(calls, _results(spark, [(None, "a", "A", 1)]), {"f": {}}).collect()
+    assert Counter((r.conv_id, r.status) for r in rows) == {(None, "pending"): 2, (1, "pending"): 1, (None, "orphan"): 1}
+    assert max(len(r.message) for r in rows) > 300_000
+
+
 def test_no_tool_calls(spark):
     assert tool_calls.link_tool_calls(_calls(spark, []), _results(spark, []), {}).count() == 0
 
@@ -530,6 +574,19 @@ def test_query_rates_all_three_capacities(spark):
     assert got != tokens_only and len(got) <= len(tokens_only)
 
 
+@pytest.mark.parametrize("counts", [
+    {5: 100_000, 1: 400_000},
+    dict(Counter(min(2048, max(1, int(n))) for n in np.random.default_rng(1).lognormal(5, 1.2, 50_000))),
+    dict(Counter(int(n) for n in np.random.default_rng(2).integers(1, 2049, 20_000))),
+])
+def test_no_more_sequences_than_by_tokens_alone(counts):
+    made = packing.least_sequences(counts, packing.SEQUENCE, packing.SEQUENCE_WEIGHTS, "norm")
+    alone = packing.best_fit(counts, packing.Capacity())
+    used = [max(r.bin_id + -(-r.count // r.copies) for r in runs) for runs in (made, alone)]
+    assert used[0] <= used[1]
+    assert sum(r.count for r in made) == sum(counts.values())
+
+
 # ---- op9 ---------------------------------------------------------------------------------
 
 
@@ -609,6 +666,25 @@ def test_one_of_each_group_stays(spark):
     assert kept.where("doc_id is null").count() == 1
 
 
+def test_rows_are_judged_by_their_texts_whatever_their_columns(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    other = " ".join(f"v{k}" for k in range(60))
+    texts = [(None, long), (None, long), (None, long + " end"), (3, other), (3, "quite another text than that one"),
+             (4, other), (None, ""), (None, ""), (5, None), (6, "a b c"), (6, "a b c")]
+    names = ["doc_id", "text", "_hit", "_row", "_bits", "row", "one", "two", "part", "bits", "at", "byte", "hit", "node", "a.b"]
+    made = [(i, t, *[100 * k + n for n in range(len(names) - 2)]) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, " + ", ".join(f"`{n}` long" for n in names[2:])).repartition(3)
+    kept = ngram_join.keep_one(docs)
+    assert kept.columns == names
+    rows = [tuple(r) for r in kept.collect()]
+    assert set(rows) <= set(made)
+    assert Counter(r[:2] for r in rows if r[0] is not None or not r[1]) == Counter({
+        (3, other): 1, (3, "quite another text than that one"): 1, (None, ""): 2, (5, None): 1, (6, "a b c"): 1,
+    })
+    assert sum(r[0] is None and bool(r[1]) for r in rows) == 1
+    assert ngram_join.keep_one(docs.limit(0)).count() == 0
+
+
 def test_prefixes_of_linked_sets_share_what_is_asked():
     rng = np.random.default_rng(1)
     sketch = rng.integers(0, 50, ngram_join.CELLS)
