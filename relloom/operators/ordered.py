@@ -94,24 +94,78 @@ def add_decile(df: DataFrame, column: str, key: str, n: int = 10) -> DataFrame:
     return ranked.select(key, column, bucket.alias(f"[{column}]_decile"))
 
 
-def group_median(df: DataFrame, group: str, value: str, name: str = "median") -> DataFrame:
+# Quantiles a hot group is cut at in each round of a selection, and their precision.
+CUTS, PRECISION = [n / 16 for n in range(1, 16)], 1000
+# Distinct values of a group that one task may order.
+MOST_RUNS = 200_000
+# A round leaves about an eighth of a group; more rounds than this mean values that no cut tells apart.
+MOST_ROUNDS = 16
+
+
+def group_median(df: DataFrame, group: str, value: str, name: str = "median", most: int = MOST_RUNS) -> DataFrame:
     """Exact median per group, NULLs ignored, without gathering a group in one task.
 
-    Equal values of a group are first added up. In the order of group and value each
-    remaining row stands for a run of positions, and the one or two rows whose runs
-    hold the middle of their group give the median.
+    Equal values of a group are first added up to runs. Groups of at most ``most`` runs are
+    ordered as they are. A larger one is narrowed: approximate quantiles cut its values into
+    ranges, the runs are counted by range, and only the one or two ranges that hold the middle
+    stay, until few runs are left. Cuts decide how fast that is, never the result. NaN is the
+    largest value.
     """
-    known = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
-    runs = known.groupBy(group, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = with_running(runs, [F.col(group), F.col(value)], sums={"_before": "_n"})
-    whole = placed.groupBy(F.col(group).alias("_group")).agg(
-        F.min("_before").alias("_first"), F.sum("_n").alias("_total")
-    )
-    # hot groups are looked for in the table itself, which is cheaper than the sorted runs
-    joined = lookup_join(placed, group, whole, "_group", keys_from=df)
-    start = F.col("_before") - F.col("_first")
+    known = df.select(F.col(f"`{group}`").alias("_g"), F.col(f"`{value}`").alias("_v")).dropna(subset=["_g"])
+    known = known.where(F.col("_v").isNotNull())
+    runs = materialize(known.groupBy("_g", "_v").agg(F.count(F.lit(1)).alias("_n")), "runs")
+    sizes = runs.groupBy("_g").agg(F.count(F.lit(1)).alias("_runs"), F.sum("_n").alias("_total"))
+    large = materialize(sizes.where(F.col("_runs") > most), "large")
+    if large.isEmpty():
+        small, middles = runs, []
+    else:
+        small = runs.join(large, "_g", "left_anti")
+        middles = _narrowed(runs, large, most)
+    total = F.sum("_n").over(Window.partitionBy("_g"))
+    middles.append(small.select("_g", "_v", "_n", F.lit(0).cast("long").alias("_skip"), total.alias("_total")))
+    held = [_holding_middle(part, "_v", "_n") for part in middles]
+    whole = held[0]
+    for part in held[1:]:
+        whole = whole.unionByName(part)
+    return whole.groupBy(F.col("_g").alias(group)).agg(F.avg("_v").alias(name))
+
+
+def _holding_middle(parts: DataFrame, order: str, count: str) -> DataFrame:
+    """The rows of each group whose ``count`` positions, after ``_skip`` others, hold a middle of ``_total``."""
+    before = Window.partitionBy("_g").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("_skip") + F.coalesce(F.sum(count).over(before), F.lit(0))
     holds = [
-        (start <= middle) & (middle < start + F.col("_n"))
+        (F.col("_first") <= middle) & (middle < F.col("_first") + F.col(count))
         for middle in (F.floor((F.col("_total") - 1) / 2), F.floor(F.col("_total") / 2))
     ]
-    return joined.where(holds[0] | holds[1]).groupBy(group).agg(F.avg(value).alias(name))
+    return parts.withColumn("_first", first).where(holds[0] | holds[1])
+
+
+def _narrowed(runs: DataFrame, large: DataFrame, most: int) -> list[DataFrame]:
+    """What is left of the large groups: ``_g, _v, _n, _skip, _total``, each group in one of the frames."""
+    known = large.select(F.col("_g").alias("_k"), "_total", F.lit(0).cast("long").alias("_skip"))
+    rest = lookup_join(runs, "_g", known, "_k").where(F.col("_total").isNotNull())
+    rest, done = materialize(rest, "rest"), []
+    for _ in range(MOST_ROUNDS):
+        quantiles = F.percentile_approx("_v", CUTS, PRECISION).alias("_cuts")
+        cuts = materialize(rest.groupBy(F.col("_g").alias("_k")).agg(quantiles), "cuts")
+        below = F.size(F.filter("_cuts", lambda cut: cut < F.col("_v")))
+        placed = lookup_join(rest, "_g", cuts, "_k").withColumn("_cell", below).drop("_cuts")
+        cells = placed.groupBy("_g", "_cell").agg(
+            F.sum("_n").alias("_m"), F.count(F.lit(1)).alias("_runs"),
+            F.first("_skip").alias("_skip"), F.first("_total").alias("_total"),
+        )
+        # at most two ranges of a group hold its middle, and no run lies between them
+        chosen = _holding_middle(cells, "_cell", "_m").groupBy(F.col("_g").alias("_k")).agg(
+            F.min("_cell").alias("_low"), F.max("_cell").alias("_high"),
+            F.min("_first").alias("_skip"), F.sum("_runs").alias("_runs"),
+        )
+        chosen = materialize(chosen, "chosen")
+        kept = lookup_join(placed.drop("_skip"), "_g", chosen, "_k", keys_from=rest)
+        kept = materialize(kept.where(F.col("_cell").between(F.col("_low"), F.col("_high"))), "kept")
+        fields = ["_g", "_v", "_n", "_skip", "_total"]
+        done.append(kept.where(F.col("_runs") <= most).select(*fields))
+        rest = kept.where(F.col("_runs") > most).select(*fields)
+        if rest.isEmpty():
+            return done
+    return [*done, rest]
