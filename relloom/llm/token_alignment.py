@@ -1,6 +1,6 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Texts are tokenised whole by both. Where both have a token that begins with a space at the
+Whole texts are tokenised by both. Where both have a token that begins with a space at the
 same byte, the tokens before it end together: such anchors cut a document into windows, a
 word or a few, that align by themselves. A window is known by its ids on both sides, so it
 is aligned once and remembered. Its groups are the least runs of tokens that end together,
@@ -14,6 +14,7 @@ pair occurs; documents carry numbers and are valued chunk by chunk in a sorted s
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 from collections.abc import Sequence
 from functools import cache
@@ -32,6 +33,10 @@ from relloom.llm.common import Batches, map_batches, settle, steps, taken, text_
 TOKEN_STEP = 1 << 20
 #: Windows a task remembers before it starts anew.
 REMEMBERED = 300_000
+#: Distinct stretches of text whose ids a task remembers before it starts anew.
+REMEMBERED_STRETCHES = 200_000
+#: Stretches that are encoded in one row.
+JOINED = 1000
 #: Distinct pairs after which a task begins a new chunk.
 CHUNK_PAIRS = 1 << 18
 SPACE = "▁"
@@ -79,6 +84,82 @@ def byte_tokenizer(path: str):
     return made, vocabulary([bytes(letters.get(c, 63) for c in name) for name in names])
 
 
+@cache
+def parts_before_words(path: str) -> bool:
+    """Whether the tokenizer cuts every text before a space and a letter, whatever is around them."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    rule = made.get("pre_tokenizer") or {}
+    plain = rule.get("type") == "ByteLevel" and rule.get("use_regex") and not rule.get("add_prefix_space")
+    special = all(t["special"] for t in made.get("added_tokens") or [])
+    return bool(plain and special and not made.get("normalizer") and not made["model"].get("dropout"))
+
+
+class ByteIds:
+    """Ids of texts by a byte-level tokenizer, of which distinct stretches are encoded once.
+
+    A stretch runs from a space that a letter follows to the next one; the tokenizer's rule
+    ends a word before each, so no token or merge crosses it. Stretches that begin with a
+    letter are encoded many at a time; sums of sizes say whose ids are whose.
+    """
+
+    def __init__(self, path: str):
+        self.tokenizer, self.vocabulary = byte_tokenizer(path)
+        self.parted = parts_before_words(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.ids, self.starts, self.sizes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _encoded(self, rows: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        texts = [r.decode("utf-8", "surrogatepass") for r in rows]
+        return _flat([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _learn(self, stretches: list[bytes]) -> None:
+        plain = [x for x in stretches if x[1:2].isalpha()]
+        other = [x for x in stretches if not x[1:2].isalpha()]
+        ids, _ = self._encoded([b"".join(plain[k : k + JOINED]) for k in range(0, len(plain), JOINED)])
+        ends = np.cumsum(np.fromiter(map(len, plain), np.int64, len(plain)))
+        done = np.cumsum(self.vocabulary.sizes[ids])
+        last = np.searchsorted(done, ends)
+        if len(plain) and (done[-1] != ends[-1] or not np.array_equal(done[last], ends)):
+            ids, sizes = self._encoded(plain)  # tokens do not restore the bytes
+        else:
+            sizes = np.diff(last + 1, prepend=0)
+        for words, made, n in ((plain, ids, sizes), (other, *self._encoded(other))):
+            self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words)), strict=True))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(n) - n])
+            self.ids, self.sizes = np.concatenate([self.ids, made]), np.concatenate([self.sizes, n])
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of texts that each begin with a space, and how many each has."""
+        if not self.parted or not texts:
+            return self._encoded(texts)
+        if len(self.known) > REMEMBERED_STRETCHES:
+            self.clear()
+        joined = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begins = np.cumsum(sizes) - sizes
+        small = joined | 32
+        starts = np.zeros(len(joined), bool)
+        starts[:-1] = (joined[:-1] == 32) & (small[1:] >= 97) & (small[1:] <= 122)
+        starts[begins] = True
+        at = np.flatnonzero(starts)
+        ends = np.append(at, len(joined)).astype(np.int64)
+        made = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(joined)]
+        ).dictionary_encode()
+        distinct = made.dictionary.to_pylist()
+        if unknown := [x for x in distinct if x not in self.known]:
+            self._learn(unknown)
+        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        index = index[made.indices.to_numpy(zero_copy_only=False)]
+        n = self.sizes[index]
+        total = np.concatenate([[0], np.cumsum(n)])[np.append(np.searchsorted(at, begins), len(at))]
+        return self.ids[taken(self.starts[index], n)], np.diff(total)
+
+
 @cache
 def piece_tokenizer(path: str):
     """A SentencePiece model with byte fallback, and its vocabulary."""
@@ -116,12 +197,14 @@ def _restored(ids: np.ndarray, counts: np.ndarray, known: Vocabulary, want: list
     return same
 
 
-def encode_both(texts: Sequence[str], path_a: str, path_b: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def encode_both(
+    texts: Sequence[str], path_a: str, path_b: str, ids_a: ByteIds | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All ids and how many each text has, by both; none if a side's bytes are not space + text."""
-    (tok_a, known_a), (tok_b, known_b) = byte_tokenizer(path_a), piece_tokenizer(path_b)
-    a, n_a = _flat([e.ids for e in tok_a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)])
-    b, n_b = _flat(tok_b.encode(list(texts), num_threads=1) if texts else [])
+    known_a, (tok_b, known_b) = byte_tokenizer(path_a)[1], piece_tokenizer(path_b)
     want = [b" " + t.encode("utf-8", "surrogatepass") for t in texts]
+    a, n_a = (ids_a or ByteIds(path_a))(want)
+    b, n_b = _flat(tok_b.encode(list(texts), num_threads=1) if texts else [])
     good = _restored(a, n_a, known_a, want) & _restored(b, n_b, known_b, want) & np.array([bool(t) for t in texts], bool)
     if not good.all():
         a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
@@ -257,10 +340,11 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
 
 
-def _aligned_step(part: pa.RecordBatch, path_a: str, path_b: str, windows: Windows, chunk: Chunk, whole: bool) -> pa.RecordBatch:
+def _aligned_step(part: pa.RecordBatch, path_a: str, path_b: str, windows: Windows, chunk: Chunk, whole: bool,
+                  ids_a: ByteIds | None = None) -> pa.RecordBatch:
     texts = [t or "" for t in part["text"].to_pylist()]
     rows = len(texts)
-    a, n_a, b, n_b = encode_both(texts, path_a, path_b)
+    a, n_a, b, n_b = encode_both(texts, path_a, path_b, ids_a)
     known_a, known_b = byte_tokenizer(path_a)[1], piece_tokenizer(path_b)[1]
     n_groups, groups = np.zeros(rows, np.int64), [""] * rows
     links, times, linked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(rows, np.int64)
@@ -300,10 +384,10 @@ def _aligned(batches: Batches, path_a: str, path_b: str, whole: bool) -> Batches
     context = TaskContext.get()
     task = context.partitionId() if context else 0
     windows = Windows(byte_tokenizer(path_a)[1].sizes, piece_tokenizer(path_b)[1].sizes)
-    chunk = Chunk(task << 20)
+    chunk, ids_a = Chunk(task << 20), ByteIds(path_a)
     for batch in batches:
         for part in steps(batch, most=TOKEN_STEP):
-            yield _aligned_step(part, path_a, path_b, windows, chunk, whole)
+            yield _aligned_step(part, path_a, path_b, windows, chunk, whole, ids_a)
             if len(chunk.places) > CHUNK_PAIRS:
                 yield chunk.batch()
                 chunk = Chunk(chunk.number + 1)
