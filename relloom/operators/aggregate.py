@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 from relloom.functions.aggregates import AGGREGATES
 from relloom.functions.predicates import Predicate
-from relloom.operators.lookup import attach
+from relloom.operators.lookup import attach, hot_keys
 
 # From this many equality counts on one column, a pivot beats conditional counts.
 PIVOT_FROM = 32
+# Values that a function's state holds; from this many functions on, rows may be sent instead.
+STATE_VALUES = {"avg": 2, "std": 3}
+WIDE_FROM = 16
+# How many times the bytes of one merged state a key's rows may be: rows that do not lie by
+# their key make a state in nearly every task.
+ROWS_FOR_STATE = 2
 
 
 @dataclass(frozen=True)
@@ -42,13 +48,30 @@ def _expression(spec: AggSpec, fk: str, already: frozenset) -> Column:
     return value.alias(spec.name)
 
 
-def aggregate(child: DataFrame, fk: str, specs: Sequence[AggSpec]) -> DataFrame:
+def _rows_are_smaller(keys: DataFrame, fk: str, specs: Sequence[AggSpec]) -> bool:
+    """Whether the rows of a key are few enough to be sent instead of the states of tasks.
+
+    Then summing up before the shuffle saves little and may cost much. Hot keys keep their states.
+    """
+    if len(specs) < WIDE_FROM:
+        return False
+    columns = {s.column for s in specs if s.column} | {c for s in specs if s.predicate for c in s.predicate.columns} | {fk}
+    wide = sum(STATE_VALUES.get(s.function, 1) for s in specs)
+    found = keys.agg(F.count(f"`{fk}`").alias("n"), F.approx_count_distinct(f"`{fk}`").alias("keys")).first()
+    few = found["n"] * len(columns) <= ROWS_FOR_STATE * wide * found["keys"]
+    return few and not any(key is not None for key in hot_keys(keys, fk))
+
+
+def aggregate(
+    child: DataFrame, fk: str, specs: Sequence[AggSpec], keys_from: DataFrame | None = None
+) -> DataFrame:
     """One row per foreign key value, one column per spec; NULL where no row counts.
 
     Comparisons shared by all specs become one filter that reaches the scan. Counts
     of many values of a column, and functions repeated over many time windows, are
     pivots: a row is added to the one group it belongs to instead of being tested
-    against every condition; the results are the same.
+    against every condition; the results are the same. ``keys_from``, the table that the
+    foreign keys come from, tells whether rows are sent to their key before they are summed up.
     """
     rows = child.where(F.col(f"`{fk}`").isNotNull())
     shared = _shared_comparisons(specs)
@@ -71,6 +94,8 @@ def aggregate(child: DataFrame, fk: str, specs: Sequence[AggSpec]) -> DataFrame:
     pivoted = {s.name for found, _ in pivots for s in found}
     # Without plain specs a count of rows keeps every key of the pivots in one frame.
     plain = [_expression(s, fk, shared) for s in specs if s.name not in pivoted]
+    if keys_from is not None and not pivots and _rows_are_smaller(keys_from, fk, specs):
+        rows = rows.repartition(F.col(f"`{fk}`"))
     out = rows.groupBy(fk).agg(*(plain or [F.count(F.lit(1)).alias("_rows")]))
     for _, pivot in pivots:
         out = attach(out, fk, pivot, fk)

@@ -36,6 +36,7 @@ class _Build:
         self._rank = {id(f): n for e in synthesis.features.values() for n, f in enumerate(e.values())}
         self._levels: dict[int, int] = {}
         self._needed: dict[str, dict[str, Feature]] = defaultdict(dict)
+        self._read: dict[str, set[str]] = defaultdict(set)
         self._uses: Counter = Counter()
         self._asked: set[tuple[str, int]] = set()
         self._frames: dict[tuple[str, int], DataFrame] = {}
@@ -54,14 +55,24 @@ class _Build:
             return
         self._needed[feature.entity][feature.column] = feature
         for source in self._inputs(feature):
+            self._read[source.entity].add(source.column)
             self._need(source)
 
     def level(self, feature: Feature) -> int:
         if id(feature) not in self._levels:
-            below = max((self.level(f) for f in self._inputs(feature)), default=0)
-            self._levels[id(feature)] = below + (feature.kind in ("agg", "flat"))
+            level = self._least_level(feature)
+            if feature.kind == "flat" and feature.column not in self._read[feature.entity]:
+                # what nothing else reads waits for the last lookup along its edge
+                along = (feature.edge, feature.inverse)
+                level = max(self._least_level(f) for f in self._needed[feature.entity].values()
+                            if f.kind == "flat" and (f.edge, f.inverse) == along)
+            self._levels[id(feature)] = level
         return self._levels[id(feature)]
 
+    def _least_level(self, feature: Feature) -> int:
+        below = max((self.level(f) for f in self._inputs(feature)), default=0)
+        return below + (feature.kind in ("agg", "flat"))
+
     def _held(self, entity: str, level: int, above: int = -1) -> list[Feature]:
         """Needed features of an entity with ``above < level of feature <= level``."""
         held = [f for f in self._needed[entity].values() if above < self.level(f) <= level]
@@ -149,7 +160,7 @@ class _Build:
             source = self._source(group, features)
             if kind == "agg":
                 specs = [AggSpec(f.column, f.function, f.source.column, f.predicate) for f in features]
-                per_key = aggregate(self.frame(*source), edge.child_column, specs)
+                per_key = aggregate(self.frame(*source), edge.child_column, specs, self.es[edge.child].df)
                 df = attach(df, edge.parent_column, per_key, edge.child_column)
                 continue
             key = edge.child_column if inverse else edge.parent_column
