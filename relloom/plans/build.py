@@ -37,6 +37,7 @@ class _Build:
         self._levels: dict[int, int] = {}
         self._needed: dict[str, dict[str, Feature]] = defaultdict(dict)
         self._read: dict[str, set[str]] = defaultdict(set)
+        self._unique: dict[tuple[str, str], bool] = {}
         self._uses: Counter = Counter()
         self._asked: set[tuple[str, int]] = set()
         self._frames: dict[tuple[str, int], DataFrame] = {}
@@ -61,11 +62,13 @@ class _Build:
     def level(self, feature: Feature) -> int:
         if id(feature) not in self._levels:
             level = self._least_level(feature)
-            if feature.kind == "flat" and feature.column not in self._read[feature.entity]:
+            if feature.kind == "flat" and not feature.inverse and feature.column not in self._read[feature.entity]:
                 # what nothing else reads waits for the last lookup along its edge
-                along = (feature.edge, feature.inverse)
-                level = max(self._least_level(f) for f in self._needed[feature.entity].values()
-                            if f.kind == "flat" and (f.edge, f.inverse) == along)
+                last = max(self._least_level(f) for f in self._needed[feature.entity].values()
+                           if f.kind == "flat" and not f.inverse and f.edge == feature.edge)
+                # a repeated parent repeats rows, which those who read the frame must see
+                if last > level and self._is_unique(feature.edge.parent, feature.edge.parent_column):
+                    level = last
             self._levels[id(feature)] = level
         return self._levels[id(feature)]
 
@@ -73,6 +76,13 @@ class _Build:
         below = max((self.level(f) for f in self._inputs(feature)), default=0)
         return below + (feature.kind in ("agg", "flat"))
 
+    def _is_unique(self, entity: str, column: str) -> bool:
+        """Whether no value of a parent's key repeats; looked up once."""
+        if (entity, column) not in self._unique:
+            keys = self.es[entity].df.where(F.col(f"`{column}`").isNotNull()).groupBy(f"`{column}`")
+            self._unique[(entity, column)] = keys.count().where("count > 1").isEmpty()
+        return self._unique[(entity, column)]
+
     def _held(self, entity: str, level: int, above: int = -1) -> list[Feature]:
         """Needed features of an entity with ``above < level of feature <= level``."""
         held = [f for f in self._needed[entity].values() if above < self.level(f) <= level]

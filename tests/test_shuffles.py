@@ -40,3 +40,13 @@ def test_orders_are_looked_up_once_along_an_edge(spark, monkeypatch):
     monkeypatch.setattr(build, "lookup_join", lambda *a, **k: (calls.append(a[1]), join(*a, **k))[1])
     made = QUERIES["order_feature_matrix"](spark, SF_DIR)
     assert calls == ["o_custkey"] and "c_custkey_c_name" in made.columns
+
+
+def test_repeated_customers_are_looked_up_before_they_are_counted(spark, tmp_path, monkeypatch):
+    for name in ("customer", "orders", "lineitem"):
+        df = spark.read.parquet(f"{SF_DIR}/{name}.parquet")
+        (df.union(df.limit(1)) if name == "customer" else df).write.parquet(f"{tmp_path}/{name}.parquet")
+    calls, join = [], build.lookup_join
+    monkeypatch.setattr(build, "lookup_join", lambda *a, **k: (calls.append(a[1]), join(*a, **k))[1])
+    QUERIES["order_feature_matrix"](spark, str(tmp_path))
+    assert calls == ["o_custkey"] * 2
