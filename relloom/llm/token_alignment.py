@@ -1,10 +1,11 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
-Whole texts are tokenised by both. Where both have a token that begins with a space at the
-same byte, the tokens before it end together: such anchors cut a document into windows, a
-word or a few, that align by themselves. A window is known by its ids on both sides, so it
-is aligned once and remembered. Its groups are the least runs of tokens that end together,
-and a link is the pair of tokens that ends a group.
+Both tokenizers cut every text before a space between another character and a letter, so
+such a stretch of text, a word or a few, has the same tokens wherever it stands: a task
+tokenises, verifies and aligns distinct ones and remembers them. Within a stretch, where both
+have a token that begins with a space at the same byte, the tokens before it end together:
+such anchors cut it into windows, known by their ids on both sides. Groups are the least runs
+of tokens that end together, and a link is the pair of tokens that ends a group.
 
 How often a pair is linked in the corpus needs all documents. Tasks number the pairs of a
 chunk of documents, so one row per chunk and pair is counted and joined, however often the
@@ -31,12 +32,14 @@ from relloom.llm.common import Batches, map_batches, settle, steps, taken, text_
 
 #: Text that a step tokenizes at a time.
 TOKEN_STEP = 1 << 20
-#: Windows a task remembers before it starts anew.
+#: Windows or stretches of text, aligned, that a task remembers before it starts anew.
 REMEMBERED = 300_000
 #: Distinct stretches of text whose ids a task remembers before it starts anew.
 REMEMBERED_STRETCHES = 200_000
 #: Stretches that are encoded in one row.
 JOINED = 1000
+#: The same for pieces, whose merges wait in one queue for a row.
+JOINED_PIECES = 100
 #: Distinct pairs after which a task begins a new chunk.
 CHUNK_PAIRS = 1 << 18
 SPACE = "▁"
@@ -197,15 +200,71 @@ def _restored(ids: np.ndarray, counts: np.ndarray, known: Vocabulary, want: list
     return same
 
 
+@cache
+def pieces_part(path: str) -> bool:
+    """Whether the model cuts every text before a space that follows another character, whatever is around."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    made = sentencepiece_model_pb2.ModelProto()
+    with open(path, "rb") as file:
+        made.ParseFromString(file.read())
+    rule, trainer = made.normalizer_spec, made.trainer_spec
+    plain = rule.add_dummy_prefix and rule.escape_whitespaces and not (
+        rule.precompiled_charsmap or rule.normalization_rule_tsv or rule.remove_extra_whitespaces
+    )
+    bpe = trainer.model_type == trainer.BPE and not trainer.treat_whitespace_as_suffix
+    defined = any(p.type == p.USER_DEFINED or SPACE in p.piece.lstrip(SPACE) for p in made.pieces)
+    return bool(plain and bpe and not defined)
+
+
+def piece_ids(stretches: Sequence[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of stretches that each begin with a space, and how many each has, as if alone.
+
+    Many are encoded in a row: those that begin with a letter and follow no space, before
+    which the model cuts. Sums of sizes say whose ids are whose; a row whose tokens do not
+    end where its stretches do is encoded one by one.
+    """
+    made, known = piece_tokenizer(path)
+    n = len(stretches)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def encoded(rows: Sequence[bytes]) -> list[list[int]]:
+        # the model adds the first space
+        return made.encode([r[1:].decode("utf-8", "surrogatepass") for r in rows], num_threads=1)
+
+    first = np.arange(n)
+    if pieces_part(path):
+        begun = np.fromiter((x[1:2].isalpha() for x in stretches), bool, n)
+        spaced = np.fromiter((x.endswith(b" ") for x in stretches), bool, n)
+        begun[0], begun[1:] = False, begun[1:] & ~spaced[:-1]
+        first = np.flatnonzero(~begun | (np.arange(n) % JOINED_PIECES == 0))
+    bounds = [*first.tolist(), n]
+    rows = encoded([b"".join(stretches[x:y]) for x, y in zip(bounds, bounds[1:], strict=False)])
+    sizes = np.fromiter(map(len, stretches), np.int64, n)
+    ids, counts = [], np.empty(n, np.int64)
+    for x, y, row in zip(bounds, bounds[1:], rows, strict=False):
+        found = np.array(row, np.int64)
+        if y - x > 1:
+            done, wanted = np.cumsum(known.sizes[found]), np.cumsum(sizes[x:y])
+            last = np.searchsorted(done, wanted)
+            if done[-1] == wanted[-1] and np.array_equal(done[last], wanted):
+                counts[x:y] = np.diff(last + 1, prepend=0)
+            else:
+                found, counts[x:y] = _flat(encoded(stretches[x:y]))
+        else:
+            counts[x] = len(found)
+        ids.append(found)
+    return np.concatenate(ids), counts
+
+
 def encode_both(
-    texts: Sequence[str], path_a: str, path_b: str, ids_a: ByteIds | None = None
+    want: Sequence[bytes], path_a: str, path_b: str, ids_a: ByteIds
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All ids and how many each text has, by both; none if a side's bytes are not space + text."""
-    known_a, (tok_b, known_b) = byte_tokenizer(path_a)[1], piece_tokenizer(path_b)
-    want = [b" " + t.encode("utf-8", "surrogatepass") for t in texts]
-    a, n_a = (ids_a or ByteIds(path_a))(want)
-    b, n_b = _flat(tok_b.encode(list(texts), num_threads=1) if texts else [])
-    good = _restored(a, n_a, known_a, want) & _restored(b, n_b, known_b, want) & np.array([bool(t) for t in texts], bool)
+    """All ids and how many each stretch has, by both; none if a side's bytes are not the stretch."""
+    a, n_a = ids_a(list(want))
+    b, n_b = piece_ids(want, path_b)
+    good = _restored(a, n_a, byte_tokenizer(path_a)[1], want) & _restored(b, n_b, piece_tokenizer(path_b)[1], want)
     if not good.all():
         a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
         n_a, n_b = n_a * good, n_b * good
@@ -293,6 +352,75 @@ def window_keys(a: np.ndarray, b: np.ndarray, from_a: np.ndarray, from_b: np.nda
     return packed.indices.to_numpy(zero_copy_only=False), packed.dictionary.to_pylist()
 
 
+class Stretches:
+    """Aligned stretches of text by their bytes: numbers of tokens, groups as text, pairs that end them.
+
+    A stretch runs from a space between another character and a letter to the next one.
+    Both tokenizers cut there, so its tokens and groups do not depend on the text around it.
+    A text whose tokenizers do not part words is one stretch and is not remembered.
+    """
+
+    def __init__(self, path_a: str, path_b: str):
+        self.paths, self.ids_a = (path_a, path_b), ByteIds(path_a)
+        self.known_a, self.known_b = byte_tokenizer(path_a)[1], piece_tokenizer(path_b)[1]
+        self.windows = Windows(self.known_a.sizes, self.known_b.sizes)
+        self.parted = parts_before_words(path_a) and pieces_part(path_b)
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.texts: list[str] = []
+        none = np.zeros(0, np.int64)
+        #: of each stretch: tokens of both sides, and where its pairs are
+        self.n_a, self.n_b, self.starts, self.counts, self.pairs = none, none, none, none, none
+
+    def _learn(self, stretches: list[bytes]) -> None:
+        a, n_a, b, n_b = encode_both(stretches, *self.paths, self.ids_a)
+        # what was met once is remembered here
+        self.ids_a.clear()
+        self.windows.clear()
+        texts, counts, pairs = [""] * len(stretches), np.zeros(len(stretches), np.int64), np.zeros(0, np.int64)
+        if len(a):
+            _, from_a, from_b = cut(a, b, self.known_a, self.known_b)
+            which, keys = window_keys(a, b, from_a, from_b)
+            index = self.windows(keys)[which]
+            made = self.windows.counts[index]
+            pairs = self.windows.pairs[taken(self.windows.starts[index], made)]
+            # the stretch of a window is that of its first token
+            of = np.repeat(np.arange(len(stretches)), n_a)[from_a]
+            counts = np.bincount(of, made, len(stretches)).astype(np.int64)
+            for k, window in zip(of.tolist(), index.tolist(), strict=True):
+                texts[k] += self.windows.texts[window]
+        self.known.update(zip(stretches, range(len(self.texts), len(self.texts) + len(stretches)), strict=True))
+        self.texts += texts
+        self.starts = np.concatenate([self.starts, len(self.pairs) + np.cumsum(counts) - counts])
+        self.pairs, self.counts = np.concatenate([self.pairs, pairs]), np.concatenate([self.counts, counts])
+        self.n_a, self.n_b = np.concatenate([self.n_a, n_a]), np.concatenate([self.n_b, n_b])
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of every stretch of texts that each begin with a space, and where each text's begin."""
+        if not self.parted or len(self.known) > REMEMBERED:
+            self.clear()
+        joined = np.frombuffer(b"".join(texts), np.uint8)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        begins = np.cumsum(sizes) - sizes
+        starts = np.zeros(len(joined), bool)
+        if self.parted:
+            small = joined[2:] | 32
+            starts[1:-1] = (joined[1:-1] == 32) & (joined[:-2] != 32) & (small >= 97) & (small <= 122)
+        starts[begins] = True
+        at = np.flatnonzero(starts)
+        ends = np.append(at, len(joined)).astype(np.int64)
+        made = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(at), [None, pa.py_buffer(ends), pa.py_buffer(joined)]
+        ).dictionary_encode()
+        distinct = made.dictionary.to_pylist()
+        if unknown := [x for x in distinct if x not in self.known]:
+            self._learn(unknown)
+        index = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        return index[made.indices.to_numpy(zero_copy_only=False)], np.append(np.searchsorted(at, begins), len(at))
+
+
 NAMES = ["chunk", "place", "a_id", "b_id", "n", "doc_id", "n_a", "n_b", "n_groups", "groups", "links", "times"]
 TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(),
          pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32())]
@@ -340,36 +468,33 @@ def _lists(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.astype(np.int32)))
 
 
-def _aligned_step(part: pa.RecordBatch, path_a: str, path_b: str, windows: Windows, chunk: Chunk, whole: bool,
-                  ids_a: ByteIds | None = None) -> pa.RecordBatch:
-    texts = [t or "" for t in part["text"].to_pylist()]
+def _aligned_step(part: pa.RecordBatch, stretches: Stretches, chunk: Chunk, whole: bool) -> pa.RecordBatch:
+    texts = [b" " + (t or "").encode("utf-8", "surrogatepass") for t in part["text"].to_pylist()]
     rows = len(texts)
-    a, n_a, b, n_b = encode_both(texts, path_a, path_b, ids_a)
-    known_a, known_b = byte_tokenizer(path_a)[1], piece_tokenizer(path_b)[1]
-    n_groups, groups = np.zeros(rows, np.int64), [""] * rows
-    links, times, linked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(rows, np.int64)
-    if len(a):
-        _, from_a, from_b = cut(a, b, known_a, known_b)
-        which, keys = window_keys(a, b, from_a, from_b)
-        index = windows(keys)
-        # the document of a window is that of its first token
-        doc = np.repeat(np.arange(rows), n_a)[from_a]
-        counts = windows.counts[index]
-        numbers = chunk.numbers(windows.pairs[taken(windows.starts[index], counts)])
-        start = np.cumsum(counts) - counts
-        n_groups = np.bincount(doc, counts[which], rows).astype(np.int64)
-        # links of all windows, then the distinct ones of every document
-        each = numbers[taken(start[which], counts[which])]
+    index, begins = stretches(texts)
+    # a text has tokens if both sides restore all of its stretches
+    good = np.logical_and.reduceat(stretches.n_a[index] > 0, begins[:-1])
+    doc = np.repeat(np.arange(rows), np.diff(begins))
+    kept = good[doc]
+    index, doc = index[kept], doc[kept]
+    n_a, n_b, n_groups = (
+        np.bincount(doc, x[index], rows).astype(np.int64) for x in (stretches.n_a, stretches.n_b, stretches.counts)
+    )
+    groups, links, times, linked = [""] * rows, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(rows, np.int64)
+    if len(index):
+        distinct, which = np.unique(index, return_inverse=True)
+        counts = stretches.counts[distinct]
+        numbers = chunk.numbers(stretches.pairs[taken(stretches.starts[distinct], counts)])
+        # links of all stretches, then the distinct ones of every document
+        each = numbers[taken((np.cumsum(counts) - counts)[which], counts[which])]
         of_doc = np.repeat(doc, counts[which])
-        distinct, often = np.unique(of_doc * (len(chunk.places) + 1) + each, return_counts=True)
-        of, links, times = *np.divmod(distinct, len(chunk.places) + 1), often
+        met, often = np.unique(of_doc * (len(chunk.places) + 1) + each, return_counts=True)
+        of, links, times = *np.divmod(met, len(chunk.places) + 1), often
         linked = np.bincount(of, minlength=rows)
         chunk.count(links, times)
-        text = [windows.texts[k] for k in index]
-        ends = np.searchsorted(doc, np.arange(rows + 1)).tolist()
-        of_windows = which.tolist()
-        for k in np.flatnonzero(n_a).tolist():
-            joined = "".join([text[w] for w in of_windows[ends[k] : ends[k + 1]]])[:-1]
+        ends, known, numbered = np.searchsorted(doc, np.arange(rows + 1)).tolist(), stretches.texts, index.tolist()
+        for k in np.flatnonzero(good).tolist():
+            joined = "".join([known[x] for x in numbered[ends[k] : ends[k + 1]]])[:-1]
             groups[k] = joined if whole else hashlib.sha256(joined.encode("ascii")).hexdigest()
     return pa.RecordBatch.from_arrays(
         [
@@ -383,11 +508,10 @@ def _aligned_step(part: pa.RecordBatch, path_a: str, path_b: str, windows: Windo
 def _aligned(batches: Batches, path_a: str, path_b: str, whole: bool) -> Batches:
     context = TaskContext.get()
     task = context.partitionId() if context else 0
-    windows = Windows(byte_tokenizer(path_a)[1].sizes, piece_tokenizer(path_b)[1].sizes)
-    chunk, ids_a = Chunk(task << 20), ByteIds(path_a)
+    chunk, stretches = Chunk(task << 20), Stretches(path_a, path_b)
     for batch in batches:
         for part in steps(batch, most=TOKEN_STEP):
-            yield _aligned_step(part, path_a, path_b, windows, chunk, whole, ids_a)
+            yield _aligned_step(part, stretches, chunk, whole)
             if len(chunk.places) > CHUNK_PAIRS:
                 yield chunk.batch()
                 chunk = Chunk(chunk.number + 1)
