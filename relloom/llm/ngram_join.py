@@ -5,7 +5,8 @@ similarity reaches the threshold share at least ``k`` of the first ``n - need +
 shingles of each, for every ``k``; ``need`` is the overlap that a set of ``n`` asks of any
 partner. A document picks the ``k`` at which reading the postings of its prefix and
 verifying what they yield is estimated to cost least, and a pair is verified only if it
-shares the smaller of its two ``k`` in both prefixes.
+shares the smaller of its two ``k`` in both prefixes and, in groups of few, if signatures of
+fixed size do not show that too much differs.
 
 Steps: (1) hash the sets, give equal sets one class, count shingles in a sketch of fixed
 size; (2) post each class under the shingles of its prefix and keep postings that meet;
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
@@ -42,8 +43,10 @@ VERIFY_COST = 0.4
 FEW = 8
 #: The bits of a posting's size that hold the matches asked.
 ASKED = (1 << 30) - 1
-#: Bits of the filter of sets that verification needs; wrong hits are dropped by a join.
+#: Bits of the filter of texts whose sets are needed; wrong hits are dropped by a join.
 FILTER_BITS = 1 << 25
+#: Bits of a set's signature, and how many sets are signed at a time.
+SIGN_BITS, SIGNED = 1 << 10, 512
 
 #: What a text with at least one word matches.
 A_WORD = r"[^\x20\x09-\x0D]"
@@ -83,6 +86,22 @@ def class_of(tokens: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(tokens.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def signatures(sets: list[np.ndarray]) -> pa.Array:
+    """Whether an odd number of a set's shingles falls on each of ``SIGN_BITS`` bits.
+
+    A shingle that only one of two sets has changes one bit, so two signatures differ in at
+    most as many bits as there are such shingles.
+    """
+    rows = []
+    for k in range(0, len(sets), SIGNED):
+        part = sets[k : k + SIGNED]
+        at = np.repeat(np.arange(len(part)) * SIGN_BITS, [len(s) for s in part])
+        at += (np.concatenate(part) >> np.uint64(64 - SIGN_BITS.bit_length() + 1)).astype(np.int64)
+        rows.append(np.packbits(np.bincount(at, minlength=len(part) * SIGN_BITS) & 1))
+    words = np.concatenate(rows).view(np.int64) if rows else np.zeros(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (SIGN_BITS // 64)), pa.array(words))
+
+
 def _sets(batches: Batches, width: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     for batch in batches:
         for part in steps(batch):
@@ -92,9 +111,9 @@ def _sets(batches: Batches, width: int) -> Iterator[tuple[pa.RecordBatch, list[n
 def _classes(batches: Batches, width: int) -> Batches:
     """A row per document, and this task's sketch in rows of ``BLOCK`` counters.
 
-    ``one`` and ``two`` are digests of the text that the caller may have added.
+    ``one`` and ``two`` are digests of the text; the caller may leave out the second.
     """
-    names = ["doc_id", "one", "two", "n", "node", "block", "part", "counts"]
+    names = ["doc_id", "one", "two", "n", "node", "signature", "block", "part", "counts"]
     sketch = np.zeros(CELLS, np.int32)
     for part, sets in _sets(batches, width):
         if any(len(s) for s in sets):
@@ -103,14 +122,14 @@ def _classes(batches: Batches, width: int) -> Batches:
         k = len(sets)
         yield pa.RecordBatch.from_arrays([
             part["doc_id"], part["one"], part["two"], pa.array([len(s) for s in sets], pa.int64()),
-            pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+            pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()), signatures(sets),
             pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()),
         ], names=names)
     if sketch.any():
         rows = sketch.reshape(-1, BLOCK)
         k, task = len(rows), TaskContext.get().partitionId()
         yield pa.RecordBatch.from_arrays([
-            *[pa.nulls(k, pa.int64()) for _ in names[:5]],
+            *[pa.nulls(k, pa.int64()) for _ in names[:5]], pa.nulls(k, pa.list_(pa.int64())),
             pa.array(np.arange(k, dtype=np.int32)), pa.array(np.full(k, task, np.int32)),
             pa.array([_packed(r) for r in rows], pa.binary()),
         ], names=names)
@@ -238,18 +257,23 @@ def _long(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _wanted(batches: Batches, wanted: np.ndarray) -> Batches:
+    """Texts whose digest ``one`` is (or may be) among the wanted ones."""
+    for batch in batches:
+        place = batch["one"].to_numpy() & (FILTER_BITS - 1)
+        yield batch.filter(pa.array(wanted[place >> 3] >> (place & 7) & 1 == 1))
+
+
 def _needed(batches: Batches, width: int, threshold: Fraction, shared, noise: float, wanted, whole: bool) -> Batches:
-    """Sets, in global order, whose class is (or may be) among the wanted ones: prefixes, or ``whole``."""
-    sketch, bits, seen = shared.value, np.frombuffer(wanted.value, np.uint8), set()
-    for _, sets in _sets(batches, width):
+    """Sets, in global order, of classes with a wanted text (and maybe others): prefixes, or ``whole``."""
+    sketch, seen = shared.value, set()
+    for _, sets in _sets(_wanted(batches, np.frombuffer(wanted.value, np.uint8)), width):
         rows = []
         for s in sets:
             if len(s) and (node := class_of(s)) not in seen:
-                place = node & (FILTER_BITS - 1)
-                if bits[place >> 3] >> (place & 7) & 1:
-                    seen.add(node)
-                    inside, asked, length = _prefix(s, sketch, noise, threshold)
-                    rows.append((node, len(s), asked, length, _short(inside if whole else inside[:length])))
+                seen.add(node)
+                inside, asked, length = _prefix(s, sketch, noise, threshold)
+                rows.append((node, len(s), asked, length, _short(inside if whole else inside[:length])))
         if rows:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -469,11 +493,28 @@ def components(links: DataFrame) -> DataFrame:
     return settle(out, "roots") if len(hooks) > 1 else out
 
 
-def _few_matching(entries: DataFrame, threshold: Fraction) -> DataFrame:
+def _near(pairs: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
+    """Of pairs (a, b, size: shingles of both) those whose signatures let them be linked.
+
+    Linked sets share at least ``t / (1 + t)`` of both sizes, so at most the rest of it
+    differs, and signatures differ in no more bits. No pair that is linked goes.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    signed = settle(classes.where("node is not null").select("node", "signature").join(nodes, "node", "left_semi").dropDuplicates(["node"]), "signed")
+    both = pairs.join(signed.select(F.col("node").alias("a"), F.col("signature").alias("one")), "a").join(
+        signed.select(F.col("node").alias("b"), F.col("signature").alias("two")), "b"
+    )
+    apart = F.aggregate(F.zip_with("one", "two", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    num, den = threshold.numerator, threshold.denominator
+    return both.where(apart * (den + num) <= F.col("size") * (den - num)).select("a", "b")
+
+
+def _few_matching(entries: DataFrame, classes: DataFrame, threshold: Fraction) -> DataFrame:
     """Members of groups of at most ``FEW`` classes that may share what one of a pair asks.
 
     Pairs of such a group are counted over all groups; what larger groups may add is at
-    most the weight of those that both are in.
+    most the weight of those that both are in. Of what is left, signatures drop the pairs
+    that differ too much, before any whole set is brought.
     """
     few = entries.where(F.col("m") <= FEW)
     more = entries.where(F.col("m") > FEW).groupBy("node").agg(F.sum("w").alias("more"))
@@ -482,14 +523,17 @@ def _few_matching(entries: DataFrame, threshold: Fraction) -> DataFrame:
     pairs = settle(one.join(two, "token").where(
         (F.col("a") < F.col("b"))
         & (F.least("na", "nb") * threshold.denominator >= F.greatest("na", "nb") * threshold.numerator)
-    ).select("token", "a", "b", "w", F.least("ka", "kb").alias("asked")), "pairs")
-    counted = pairs.groupBy("a", "b").agg(F.sum("w").alias("shared"), F.min("asked").alias("asked"))
+    ).select("token", "a", "b", "w", F.least("ka", "kb").alias("asked"), (F.col("na") + F.col("nb")).alias("size")), "pairs")
+    counted = pairs.groupBy("a", "b").agg(
+        F.sum("w").alias("shared"), F.min("asked").alias("asked"), F.min("size").alias("size")
+    )
     passing = counted.join(more.select(F.col("node").alias("a"), F.col("more").alias("more_a")), "a", "left").join(
         more.select(F.col("node").alias("b"), F.col("more").alias("more_b")), "b", "left"
     ).where(
         F.col("shared") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0))) >= F.col("asked")
-    ).select("a", "b")
-    met = pairs.join(passing, ["a", "b"]).select("token", F.explode(F.array("a", "b")).alias("node")).distinct()
+    ).select("a", "b", "size")
+    near = _near(settle(passing, "passing"), classes, threshold)
+    met = pairs.join(near, ["a", "b"]).select("token", F.explode(F.array("a", "b")).alias("node")).distinct()
     zero = F.lit(0)
     return met.select("token", zero.alias("low"), zero.alias("high"), zero.alias("block"), "node")
 
@@ -522,13 +566,15 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, threshold: Frac
         "token", "node", F.shiftright("size", 30).alias("n"), F.col("size").bitwiseAND(F.lit(ASKED)).alias("asked"),
         "m", "w", "least",
     ), "entries")
-    small, large = _few_matching(entries, threshold), _many_matching(entries)
+    small, large = _few_matching(entries, classes, threshold), _many_matching(entries)
     visits = settle(_covering(large, ["token"]), "visits")
 
     def needed(nodes: DataFrame, whole: bool) -> tuple[DataFrame, Broadcast]:
-        wanted = spark.sparkContext.broadcast(_bits(nodes.select("node").distinct()))
+        # one text of each class is enough
+        texts = classes.select("node", "one").join(nodes.select("node").distinct(), "node").groupBy("node").agg(F.min("one").alias("one"))
+        wanted = spark.sparkContext.broadcast(_bits(texts.select(F.col("one").alias("node"))))
         return map_batches(
-            docs, lambda b: _needed(b, width, threshold, shared, noise, wanted, whole),
+            docs.withColumn("one", F.xxhash64("text")), lambda b: _needed(b, width, threshold, shared, noise, wanted, whole),
             "node long, n long, asked int, length int, tokens binary",
         ), wanted
 
@@ -566,13 +612,16 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, threshold: Frac
 
 
 def _rooted(
-    docs: DataFrame, width: int, threshold: Fraction, id_col: str, text_col: str, digests: Sequence[Column]
+    docs: DataFrame, width: int, threshold: Fraction, id_col: str, text_col: str, second: Column
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows (doc_id, one, two, n, node) of all documents, and the root (node, root) of linked classes."""
+    """Rows (doc_id, one, two, n, node) of all documents, and the root (node, root) of linked classes.
+
+    ``one`` is a digest of the text, ``two`` the second one that the caller asks for.
+    """
     read = text_columns(docs, id_col, text_col)
     classes = settle(map_batches(
-        read.select("*", *[d.alias(name) for d, name in zip(digests, ("one", "two"), strict=True)]),
-        lambda b: _classes(b, width), "doc_id long, one long, two long, n long, node long, block int, part int, counts binary",
+        read.select("*", F.xxhash64("text").alias("one"), second.alias("two")),
+        lambda b: _classes(b, width), "doc_id long, one long, two long, n long, node long, signature array<long>, block int, part int, counts binary",
     ), "classes")
     roots = components(class_links(read, classes, width, threshold))
     return classes.where("block is null").select("doc_id", "one", "two", "n", "node"), roots
@@ -589,8 +638,7 @@ def ngram_join(
     and each keeps its row; a null identifier counts for no component's least doc_id, so
     it is the component of a row only if no other identifier is reached.
     """
-    none = F.lit(None).cast("long")
-    rows, roots = _rooted(docs, width, threshold, id_col, text_col, (none, none))
+    rows, roots = _rooted(docs, width, threshold, id_col, text_col, F.lit(None).cast("long"))
     least = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -616,7 +664,7 @@ def keep_one(
     """
     text, identifier = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
     digests = F.xxhash64(text), F.xxhash64(F.lit(1), text)
-    rows, roots = _rooted(docs, width, threshold, id_col, text_col, (F.xxhash64("text"), F.xxhash64(F.lit(1), "text")))
+    rows, roots = _rooted(docs, width, threshold, id_col, text_col, F.xxhash64(F.lit(1), "text"))
     key = ["doc_id", "one", "two"]
     texts = rows.where("node is not null").groupBy(*key, "node").agg(F.count("*").alias("copies"))
     texts = settle(texts, "texts")
