@@ -257,15 +257,46 @@ def _long(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def _dense(tokens: np.ndarray) -> bytes:
+    """The 48 bits of each hash, in ascending order: the high ones in unary, the low ones as they are."""
+    values = np.sort(tokens & np.uint64((1 << 48) - 1))
+    count, high = len(values), len(values).bit_length() - 1
+    bits = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 2:], axis=1)[:, high:]
+    unary = np.zeros(count + (1 << high), np.uint8)
+    unary[(values >> np.uint64(48 - high)).astype(np.int64) + np.arange(count)] = 1
+    return np.packbits(bits).tobytes() + np.packbits(unary).tobytes()
+
+
+def _undense(data: bytes, count: int) -> np.ndarray:
+    high = count.bit_length() - 1
+    low, size = 48 - high, (count * (48 - high) + 7) // 8
+    bits = np.zeros((count, 64), np.uint8)
+    bits[:, 16 + high :] = np.unpackbits(np.frombuffer(data, np.uint8, size), count=count * low).reshape(count, low)
+    ones = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, offset=size)))
+    above = (ones - np.arange(count)).astype(np.uint64) << np.uint64(low)
+    return np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64) | above
+
+
+def _sent(tokens: np.ndarray, length: int) -> bytes:
+    """A whole set: its prefix in global order, the rest in as few bits as its ascending order needs."""
+    return _short(tokens[:length]) + (_dense(tokens[length:]) if length < len(tokens) else b"")
+
+
+def _received(data: bytes, n: int, length: int) -> np.ndarray:
+    """The prefix, and the rest if it was sent."""
+    prefix = _long(data[: 6 * length])
+    return np.concatenate([prefix, _undense(data[6 * length :], n - length)]) if len(data) > 6 * length else prefix
+
+
 def _wanted(batches: Batches, wanted: np.ndarray) -> Batches:
-    """Texts whose digest ``one`` is (or may be) among the wanted ones."""
+    """Rows whose digest ``one`` is (or may be) among the wanted ones."""
     for batch in batches:
         place = batch["one"].to_numpy() & (FILTER_BITS - 1)
         yield batch.filter(pa.array(wanted[place >> 3] >> (place & 7) & 1 == 1))
 
 
 def _needed(batches: Batches, width: int, threshold: Fraction, shared, noise: float, wanted, whole: bool) -> Batches:
-    """Sets, in global order, of classes with a wanted text (and maybe others): prefixes, or ``whole``."""
+    """Sets of classes with a wanted row (and maybe others): prefixes in global order, or ``whole``."""
     sketch, seen = shared.value, set()
     for _, sets in _sets(_wanted(batches, np.frombuffer(wanted.value, np.uint8)), width):
         rows = []
@@ -273,7 +304,7 @@ def _needed(batches: Batches, width: int, threshold: Fraction, shared, noise: fl
             if len(s) and (node := class_of(s)) not in seen:
                 seen.add(node)
                 inside, asked, length = _prefix(s, sketch, noise, threshold)
-                rows.append((node, len(s), asked, length, _short(inside if whole else inside[:length])))
+                rows.append((node, len(s), asked, length, _sent(inside, length) if whole else _short(inside[:length])))
         if rows:
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays(
@@ -313,7 +344,7 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-#: class, n, matches asked, prefix length, set (or its prefix) in global order, groups it is in
+#: class, n, matches asked, prefix length, prefix in global order (and the rest of the set), groups it is in
 Member = tuple[int, int, int, int, np.ndarray, np.ndarray]
 
 
@@ -369,7 +400,7 @@ def _groups(batches: Batches) -> Iterator[tuple[tuple[int, int, int], list[Membe
                 if group:
                     yield group, *members
                 group, members = (token, low, high), ([], [])
-            members[block != low].append((*member, _long(tokens), np.array(lists or [], np.int64)))
+            members[block != low].append((*member, _received(tokens, member[1], member[3]), np.array(lists or [], np.int64)))
     if group:
         yield group, *members
 
@@ -570,11 +601,12 @@ def class_links(docs: DataFrame, classes: DataFrame, width: int, threshold: Frac
     visits = settle(_covering(large, ["token"]), "visits")
 
     def needed(nodes: DataFrame, whole: bool) -> tuple[DataFrame, Broadcast]:
-        # one text of each class is enough
-        texts = classes.select("node", "one").join(nodes.select("node").distinct(), "node").groupBy("node").agg(F.min("one").alias("one"))
+        # one document of each class is enough; its copies would bring the set again from every task
+        named = classes.select("node", F.xxhash64("doc_id", "one").alias("one"))
+        texts = named.join(nodes.select("node").distinct(), "node").groupBy("node").agg(F.min("one").alias("one"))
         wanted = spark.sparkContext.broadcast(_bits(texts.select(F.col("one").alias("node"))))
         return map_batches(
-            docs.withColumn("one", F.xxhash64("text")), lambda b: _needed(b, width, threshold, shared, noise, wanted, whole),
+            docs.withColumn("one", F.xxhash64("doc_id", F.xxhash64("text"))), lambda b: _needed(b, width, threshold, shared, noise, wanted, whole),
             "node long, n long, asked int, length int, tokens binary",
         ), wanted
 
