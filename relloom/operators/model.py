@@ -8,7 +8,7 @@ folds and parameter points.
 from __future__ import annotations
 
 import random
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -27,13 +27,13 @@ from pyspark.ml.feature import (
     UnivariateFeatureSelector,
     VarianceThresholdSelector,
     VectorAssembler,
+    VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relloom.operators.matrix import zero_filled
-from relloom.operators.statistics import class_weights
 from relloom.operators.svd import truncated_svd
 from relloom.runtime import materialize, plan_bytes
 
@@ -186,48 +186,95 @@ def fit_forests(
     return model
 
 
-def _reduced(rows: DataFrame, names: Sequence[str], params: ForestParams, svd: Any = None) -> Any:
+def _reduced(rows: DataFrame, names: Sequence[str], params: ForestParams) -> Any:
     """The reduction of encoded rows, if there are fewer components than columns."""
     if params.n_components >= len(names):
         return None
-    return svd or truncated_svd(rows, "_kept", "_features", params.n_components)
+    return truncated_svd(rows, "_kept", "_features", params.n_components)
 
 
-def _fit_encoded(model: ForestModel, encoded: DataFrame, names: Sequence[str], svd: Any = None) -> None:
+def _fit_encoded(model: ForestModel, encoded: DataFrame, names: Sequence[str]) -> None:
     """Reduce, cluster and fit on rows of ``_label`` and the encoded vector ``_kept``."""
     params = model.params
-    model.svd = _reduced(encoded, names, params, svd)
-    model.names = [f"component_{i}" for i in range(params.n_components)] if model.svd else list(names)
-    ready = model.svd.transform(encoded) if model.svd else encoded.withColumn("_features", F.col("_kept"))
-    ready = ready.select("_label", "_features").persist()
+    model.svd = _reduced(encoded, names, params)
+    ready = _ready(encoded, model.svd).persist()
     try:
-        if params.k > 1:
-            means = KMeans(k=params.k, seed=params.seed, featuresCol="_features", predictionCol="cluster")
-            model.clusters = means.fit(ready)
-            clustered = model.clusters.transform(ready)
-        else:
-            clustered = ready.withColumn("cluster", F.lit(0))
-        classes = clustered.groupBy("cluster").agg(F.count_distinct("_label").alias("n")).collect()
-        for row in sorted(classes, key=lambda r: r.cluster):
-            members = clustered.where(F.col("cluster") == row.cluster)
-            model.forests[row.cluster] = _fit_cluster(members, len(model.names), params) if row.n > 1 else None
-        if params.k > 1:
-            for number in range(params.k):
-                model.forests.setdefault(number, None)
+        _fit_clusters(model, _Clusters(ready, params.k, params.seed), names)
     finally:
         ready.unpersist()
 
 
-def _fit_cluster(members: DataFrame, width: int, params: ForestParams) -> PipelineModel:
-    weighted = class_weights(members, "_label", params.reweight_ratio, "_weight")
+def _ready(encoded: DataFrame, svd: Any) -> DataFrame:
+    """Rows of ``_label`` and ``_features``, reduced if there is a reduction."""
+    rows = svd.transform(encoded) if svd else encoded.withColumn("_features", F.col("_kept"))
+    return rows.select("_label", "_features")
+
+
+class _Clusters:
+    """Clusters of rows, with what forests of any other parameters need to know of them."""
+
+    def __init__(self, ready: DataFrame, k: int, seed: int) -> None:
+        self.means = None
+        self.rows = ready.withColumn("cluster", F.lit(0))
+        if k > 1:
+            means = KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="cluster")
+            self.means = means.fit(ready)
+            self.rows = self.means.transform(ready)
+        self.counts: dict[int, dict[float, int]] = {n: {} for n in range(k)} if k > 1 else {}
+        for row in self.rows.groupBy("cluster", "_label").count().collect():
+            counts = self.counts.setdefault(row["cluster"], {})
+            if row["_label"] is not None:
+                counts[row["_label"]] = row["count"]
+        self._ranked: dict[int, list[int]] = {}
+        self._lock = Lock()
+
+    def members(self, number: int, ratio: float) -> DataFrame:
+        """A cluster's rows with their ``_weight``, the label marked with the number of its classes.
+
+        Spark counts the classes of an unmarked label by a job of its own.
+        """
+        counts = self.counts[number]
+        classes = {"ml_attr": {"type": "nominal", "num_vals": int(max(counts)) + 1}}
+        weight = F.lit(1.0)
+        if len(counts) <= 2:
+            rarer = min(counts, key=lambda label: (counts[label], label))
+            weight = F.when(F.col("_label") == F.lit(rarer), F.lit(float(ratio))).otherwise(1.0)
+        rows = self.rows.where(F.col("cluster") == number)
+        return rows.select(F.col("_label").alias("_label", metadata=classes), "_features", weight.alias("_weight"))
+
+    def ranked(self, number: int, members: DataFrame, width: int) -> list[int]:
+        """The places of a cluster's features, those with the least p-value first."""
+        with self._lock:
+            if number not in self._ranked:
+                self._ranked[number] = list(_selector(width).fit(members).selectedFeatures)
+        return self._ranked[number]
+
+
+def _selector(features: int) -> UnivariateFeatureSelector:
+    selector = UnivariateFeatureSelector(
+        featuresCol="_features", labelCol="_label", outputCol="_chosen", selectionMode="numTopFeatures"
+    )
+    return selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(features)
+
+
+def _fit_clusters(model: ForestModel, clusters: _Clusters, names: Sequence[str], shared: bool = False) -> None:
+    """A forest per cluster; ``shared`` clusters keep the order of their features for further models."""
+    params = model.params
+    model.names = [f"component_{i}" for i in range(params.n_components)] if model.svd else list(names)
+    model.clusters = clusters.means
+    for number, counts in sorted(clusters.counts.items()):
+        model.forests[number] = _fit_cluster(clusters, number, len(model.names), params, shared) if len(counts) > 1 else None
+
+
+def _fit_cluster(clusters: _Clusters, number: int, width: int, params: ForestParams, shared: bool) -> PipelineModel:
+    members = clusters.members(number, params.reweight_ratio)
     k_best = max(1, int(0.01 * params.k_best_percent * width))
     stages: list[Any] = []
-    if k_best < width:
-        selector = UnivariateFeatureSelector(
-            featuresCol="_features", labelCol="_label", outputCol="_chosen", selectionMode="numTopFeatures"
-        )
-        selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(k_best)
-        stages.append(selector)
+    if k_best < width and shared:
+        best = sorted(clusters.ranked(number, members, width)[:k_best])
+        stages.append(VectorSlicer(inputCol="_features", outputCol="_chosen", indices=best))
+    elif k_best < width:
+        stages.append(_selector(k_best))
     stages.append(
         RandomForestClassifier(
             featuresCol="_chosen" if stages else "_features",
@@ -242,7 +289,7 @@ def _fit_cluster(members: DataFrame, width: int, params: ForestParams) -> Pipeli
             seed=params.seed,
         )
     )
-    return Pipeline(stages=stages).fit(weighted)
+    return Pipeline(stages=stages).fit(members)
 
 
 def roc_auc(scored: DataFrame, label: str, probability: str = "probability") -> float:
@@ -322,7 +369,8 @@ class _Fold:
         self.encoder = _encoder(numeric, categorical).fit(rows)
         self.names = _names(self.encoder, numeric, categorical)
         self.train, self.test = (self._encoded(part, label) for part in (train, test))
-        self._whole: Any = None
+        self._made: dict[Any, Any] = {}
+        self._locks: dict[Any, Lock] = {}
         self._lock = Lock()
 
     def _encoded(self, part: DataFrame, label: str) -> DataFrame:
@@ -331,23 +379,47 @@ class _Fold:
         written = materialize(rows.select(F.col(label).cast("double").alias("_label"), "_kept"), "fold")
         return written.coalesce(int(plan_bytes(written) // FOLD_BYTES) + 1)
 
-    def svd(self, components: int) -> Any:
+    def _once(self, key: Any, make: Callable[[], Any]) -> Any:
+        """What ``make`` gives, computed once for all points that ask for ``key``."""
+        with self._lock:
+            lock = self._locks.setdefault(key, Lock())
+        with lock:
+            if key not in self._made:
+                self._made[key] = make()
+            return self._made[key]
+
+    def svd(self, components: int | None) -> Any:
         """Leading directions nest: those of the widest reduction serve all others."""
-        if components >= len(self.names):
+        if components is None:
             return None
-        with self._lock:
-            if self._whole is None:
-                self._whole = truncated_svd(self.train, "_kept", "_features", len(self.names) - 1)
-        whole = self._whole
+        whole = self._once("svd", lambda: truncated_svd(self.train, "_kept", "_features", len(self.names) - 1))
         return replace(whole, singular_values=whole.singular_values[:components], components=whole.components[:, :components])
 
+    def reduced(self, components: int | None) -> tuple[Any, DataFrame, DataFrame]:
+        """The reduction, and the rows to learn from and to score in it."""
+
+        def make() -> tuple[Any, DataFrame, DataFrame]:
+            svd = self.svd(components)
+            return svd, _ready(self.train, svd).persist(), _ready(self.test, svd).persist()
+
+        return self._once(("reduced", components), make)
+
     def score(self, params: ForestParams) -> float:
-        model = ForestModel(self.numeric, self.categorical, self.encoder, None, None, {}, params, self.names)
-        _fit_encoded(model, self.train, self.names, self.svd(params.n_components))
-        rows = model.svd.transform(self.test) if model.svd else self.test.withColumn("_features", F.col("_kept"))
-        rows = model.clusters.transform(rows) if model.clusters else rows.withColumn("cluster", F.lit(0))
+        components = params.n_components if params.n_components < len(self.names) else None
+        svd, ready, test = self.reduced(components)
+        key = "clusters", components, params.k, params.seed
+        clusters = self._once(key, lambda: _Clusters(ready, params.k, params.seed))
+        model = ForestModel(self.numeric, self.categorical, self.encoder, svd, None, {}, params, self.names)
+        _fit_clusters(model, clusters, self.names, shared=True)
+        rows = model.clusters.transform(test) if model.clusters else test.withColumn("cluster", F.lit(0))
         return roc_auc(model.score(rows, ["_label"]), "_label")
 
+    def close(self) -> None:
+        for key, made in self._made.items():
+            if key[0] == "reduced":
+                made[1].unpersist()
+                made[2].unpersist()
+
 
 #: A round of a search keeps one in so many points, and gives each so many times the trees.
 HALVING = 3
@@ -385,16 +457,20 @@ def param_search(
     finally:
         labeled.unpersist()
     left, done = list(enumerate(points)), {}
-    with ThreadPoolExecutor(max_workers=CONCURRENT) as pool:
-        for turn in range(rounds):
-            share = HALVING ** (rounds - 1 - turn)
-            tries = [(n, replace(p, n_estimators=-(-p.n_estimators // share))) for n, p in left]
-            scores = list(pool.map(lambda job: job[1].score(job[0]), [(p, fold) for _, p in tries for fold in made]))
-            for k, (n, p) in enumerate(tries):
-                mean = sum(scores[k * folds : (k + 1) * folds]) / folds
-                done[n] = (turn, mean, p.n_estimators)
-            kept = sorted(left, key=lambda pair: (-done[pair[0]][1], pair[0]))
-            left = kept[: max(1, -(-len(left) // HALVING))]
+    try:
+        with ThreadPoolExecutor(max_workers=CONCURRENT) as pool:
+            for turn in range(rounds):
+                share = HALVING ** (rounds - 1 - turn)
+                tries = [(n, replace(p, n_estimators=-(-p.n_estimators // share))) for n, p in left]
+                scores = list(pool.map(lambda job: job[1].score(job[0]), [(p, fold) for _, p in tries for fold in made]))
+                for k, (n, p) in enumerate(tries):
+                    mean = sum(scores[k * folds : (k + 1) * folds]) / folds
+                    done[n] = (turn, mean, p.n_estimators)
+                kept = sorted(left, key=lambda pair: (-done[pair[0]][1], pair[0]))
+                left = kept[: max(1, -(-len(left) // HALVING))]
+    finally:
+        for fold in made:
+            fold.close()
     order = sorted(range(len(points)), key=lambda n: (-done[n][0], -done[n][1], n))
     return [(points[n], done[n][1], done[n][2]) for n in order]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 
 from relloom.operators import explore, model
 from relloom.operators.model import ForestParams
@@ -71,6 +71,29 @@ def test_cross_validation_and_search(separable):
     assert all(model.PARAM_RANGES["max_depth"][0] <= p.max_depth <= model.PARAM_RANGES["max_depth"][1] for p in points)
 
 
+def test_search_clusters_rows_once_for_points_that_share_them(separable, monkeypatch):
+    asked = []
+
+    class Counted(model.KMeans):
+        def fit(self, rows):
+            asked.append(self.getK())
+            return super().fit(rows)
+
+    monkeypatch.setattr(model, "KMeans", Counted)
+    points = [ForestParams(k=2, k_best_percent=p, n_estimators=3, max_depth=2, max_features=100) for p in (40, 100)]
+    found = model.param_search(separable, "id", "y", ["a", "b"], ["c"], points, folds=2, rounds=2)
+    assert len(found) == 2 and asked == [2, 2]
+
+
+def test_shared_order_of_features_chooses_as_the_selector(separable):
+    rows = separable.selectExpr("double(y) as _label", "array(a, double(id % 5), double(id % 3), a * (id % 4)) as v")
+    ready = rows.select("_label", array_to_vector("v").alias("_features"))
+    shared = model._Clusters(ready, 1, 0)
+    members = shared.members(0, 1)
+    for n in range(1, 5):
+        assert sorted(shared.ranked(0, members, 4)[:n]) == sorted(model._selector(n).fit(members).selectedFeatures)
+
+
 def test_quality_by_model(separable):
     quality = model.feature_quality_by_model(separable, "id", "y", ["a", "constant"], ["c"], SMALL)
     assert quality["a"] == 1.0 and quality["c"] == 1.0 and quality["constant"] == 0.0
