@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
+from math import ceil
 from threading import Lock
 from typing import Any
 
@@ -27,13 +28,14 @@ from pyspark.ml.feature import (
     UnivariateFeatureSelector,
     VarianceThresholdSelector,
     VectorAssembler,
-    VectorSlicer,
 )
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relloom.operators import forest
 from relloom.operators.matrix import zero_filled
+from relloom.operators.statistics import ranked_areas
 from relloom.operators.svd import truncated_svd
 from relloom.runtime import materialize, plan_bytes
 
@@ -204,10 +206,10 @@ def _fit_encoded(model: ForestModel, encoded: DataFrame, names: Sequence[str]) -
         ready.unpersist()
 
 
-def _ready(encoded: DataFrame, svd: Any) -> DataFrame:
+def _ready(encoded: DataFrame, svd: Any, *carry: str) -> DataFrame:
     """Rows of ``_label`` and ``_features``, reduced if there is a reduction."""
     rows = svd.transform(encoded) if svd else encoded.withColumn("_features", F.col("_kept"))
-    return rows.select("_label", "_features")
+    return rows.select(*carry, "_label", "_features")
 
 
 class _Clusters:
@@ -235,13 +237,17 @@ class _Clusters:
         """
         counts = self.counts[number]
         classes = {"ml_attr": {"type": "nominal", "num_vals": int(max(counts)) + 1}}
-        weight = F.lit(1.0)
-        if len(counts) <= 2:
-            rarer = min(counts, key=lambda label: (counts[label], label))
+        weight, rarer = F.lit(1.0), self.rarer(number)
+        if rarer is not None:
             weight = F.when(F.col("_label") == F.lit(rarer), F.lit(float(ratio))).otherwise(1.0)
         rows = self.rows.where(F.col("cluster") == number)
         return rows.select(F.col("_label").alias("_label", metadata=classes), "_features", weight.alias("_weight"))
 
+    def rarer(self, number: int) -> float | None:
+        """The rarer label of a cluster; none if there are more than two."""
+        counts = self.counts[number]
+        return min(counts, key=lambda label: (counts[label], label)) if len(counts) <= 2 else None
+
     def ranked(self, number: int, members: DataFrame, width: int) -> list[int]:
         """The places of a cluster's features, those with the least p-value first."""
         with self._lock:
@@ -257,23 +263,29 @@ def _selector(features: int) -> UnivariateFeatureSelector:
     return selector.setFeatureType("continuous").setLabelType("categorical").setSelectionThreshold(features)
 
 
-def _fit_clusters(model: ForestModel, clusters: _Clusters, names: Sequence[str], shared: bool = False) -> None:
-    """A forest per cluster; ``shared`` clusters keep the order of their features for further models."""
+def _fit_clusters(model: ForestModel, clusters: _Clusters, names: Sequence[str]) -> None:
+    """A forest per cluster."""
     params = model.params
     model.names = [f"component_{i}" for i in range(params.n_components)] if model.svd else list(names)
     model.clusters = clusters.means
     for number, counts in sorted(clusters.counts.items()):
-        model.forests[number] = _fit_cluster(clusters, number, len(model.names), params, shared) if len(counts) > 1 else None
+        model.forests[number] = _fit_cluster(clusters, number, len(model.names), params) if len(counts) > 1 else None
+
+
+def _k_best(width: int, params: ForestParams) -> int:
+    return max(1, int(0.01 * params.k_best_percent * width))
 
 
-def _fit_cluster(clusters: _Clusters, number: int, width: int, params: ForestParams, shared: bool) -> PipelineModel:
+def _feature_share(params: ForestParams) -> float:
+    """The share of the features that each node may be split by."""
+    return max(params.max_features, 1) * 0.01
+
+
+def _fit_cluster(clusters: _Clusters, number: int, width: int, params: ForestParams) -> PipelineModel:
     members = clusters.members(number, params.reweight_ratio)
-    k_best = max(1, int(0.01 * params.k_best_percent * width))
+    k_best = _k_best(width, params)
     stages: list[Any] = []
-    if k_best < width and shared:
-        best = sorted(clusters.ranked(number, members, width)[:k_best])
-        stages.append(VectorSlicer(inputCol="_features", outputCol="_chosen", indices=best))
-    elif k_best < width:
+    if k_best < width:
         stages.append(_selector(k_best))
     stages.append(
         RandomForestClassifier(
@@ -285,7 +297,7 @@ def _fit_cluster(clusters: _Clusters, number: int, width: int, params: ForestPar
             predictionCol="_prediction",
             numTrees=params.n_estimators,
             maxDepth=params.max_depth or MAX_DEPTH,
-            featureSubsetStrategy=str(max(params.max_features, 1) * 0.01),
+            featureSubsetStrategy=str(_feature_share(params)),
             seed=params.seed,
         )
     )
@@ -376,7 +388,8 @@ class _Fold:
     def _encoded(self, part: DataFrame, label: str) -> DataFrame:
         """Written rows in as few partitions as their size asks for: a tree level is a job."""
         rows = self.encoder.transform(_plain_inputs(part, self.numeric, self.categorical))
-        written = materialize(rows.select(F.col(label).cast("double").alias("_label"), "_kept"), "fold")
+        rows = rows.select(F.monotonically_increasing_id().alias("_row"), F.col(label).cast("double").alias("_label"), "_kept")
+        written = materialize(rows, "fold")
         return written.coalesce(int(plan_bytes(written) // FOLD_BYTES) + 1)
 
     def _once(self, key: Any, make: Callable[[], Any]) -> Any:
@@ -400,19 +413,46 @@ class _Fold:
 
         def make() -> tuple[Any, DataFrame, DataFrame]:
             svd = self.svd(components)
-            return svd, _ready(self.train, svd).persist(), _ready(self.test, svd).persist()
+            return svd, _ready(self.train, svd, "_row").persist(), _ready(self.test, svd, "_row").persist()
 
         return self._once(("reduced", components), make)
 
-    def score(self, params: ForestParams) -> float:
+    def key(self, params: ForestParams) -> tuple[int | None, int, int]:
+        """What points must agree in to learn from the same clusters."""
         components = params.n_components if params.n_components < len(self.names) else None
-        svd, ready, test = self.reduced(components)
-        key = "clusters", components, params.k, params.seed
-        clusters = self._once(key, lambda: _Clusters(ready, params.k, params.seed))
-        model = ForestModel(self.numeric, self.categorical, self.encoder, svd, None, {}, params, self.names)
-        _fit_clusters(model, clusters, self.names, shared=True)
-        rows = model.clusters.transform(test) if model.clusters else test.withColumn("cluster", F.lit(0))
-        return roc_auc(model.score(rows, ["_label"]), "_label")
+        return components, params.k, params.seed
+
+    def clusters(self, key: tuple[int | None, int, int]) -> tuple[_Clusters, DataFrame]:
+        """Clusters of the rows to learn from, and the rows to score with their ``cluster``."""
+
+        def make() -> tuple[_Clusters, DataFrame]:
+            components, k, seed = key
+            _, ready, test = self.reduced(components)
+            found = _Clusters(ready, k, seed)
+            return found, found.means.transform(test) if found.means else test.withColumn("cluster", F.lit(0))
+
+        return self._once(("clusters", key), make)
+
+    def forest(self, params: ForestParams, number: int) -> dict[str, Any]:
+        """What :class:`forest.Forest` needs to know of a point's forest of a cluster."""
+        components, _, _ = key = self.key(params)
+        clusters, _ = self.clusters(key)
+        counts = clusters.counts[number]
+        width = components or len(self.names)
+        k_best, places, weights = _k_best(width, params), range(width), [1.0]
+        if len(counts) > 1:
+            if any(label < 0 or label != int(label) for label in counts):
+                raise ValueError(f"labels must be 0, 1, 2, ...: {sorted(counts)}")
+            if k_best < width:
+                members = clusters.members(number, params.reweight_ratio)
+                places = sorted(clusters.ranked(number, members, width)[:k_best])
+            weights = [1.0] * (int(max(counts)) + 1)
+            if (rarer := clusters.rarer(number)) is not None:
+                weights[int(rarer)] = float(params.reweight_ratio)
+        return {
+            "depth": params.max_depth or MAX_DEPTH, "per_node": ceil(_feature_share(params) * len(places)),
+            "places": [int(p) for p in places], "weights": weights, "seed": params.seed,
+        }
 
     def close(self) -> None:
         for key, made in self._made.items():
@@ -423,7 +463,7 @@ class _Fold:
 
 #: A round of a search keeps one in so many points, and gives each so many times the trees.
 HALVING = 3
-#: Points fitted at the same time; each is a row of small jobs that leave cores idle.
+#: Folds and clusters prepared at the same time; each is a row of small jobs that leave cores idle.
 CONCURRENT = 8
 #: Written bytes of a fold in one partition.
 FOLD_BYTES = 16 << 20
@@ -445,36 +485,80 @@ def param_search(
     with three times as many; the last fits whole forests. Every fit uses all labeled rows of
     its fold. Points that went further come first; within a round the AUC decides. The
     reduction to fewer components is computed once for each fold; folds are those of
-    :func:`cv_scores`.
+    :func:`cv_scores`. Forests of a round grow together (:mod:`relloom.operators.forest`); a later
+    round adds trees to those of the rounds before.
     """
     numeric, categorical = list(numeric), list(categorical)
     labeled = with_fold(df.where(F.col(label).isNotNull()), id_column, folds).persist()
-    try:
-        made = [
-            _Fold(labeled.where(F.col("_fold") != n), labeled.where(F.col("_fold") == n), label, numeric, categorical)
-            for n in range(folds)
-        ]
-    finally:
-        labeled.unpersist()
-    left, done = list(enumerate(points)), {}
+
+    def fold(n: int) -> _Fold:
+        return _Fold(labeled.where(F.col("_fold") != n), labeled.where(F.col("_fold") == n), label, numeric, categorical)
+
+    left, done, grown, votes = list(enumerate(points)), {}, {}, []
+    made: list[_Fold] = []
     try:
         with ThreadPoolExecutor(max_workers=CONCURRENT) as pool:
+            made += pool.map(fold, range(folds))
+            first = _first_data([sorted({f.key(p) for p in points}, key=str) for f in made])
+            sets = _sets(made, first, pool)
             for turn in range(rounds):
                 share = HALVING ** (rounds - 1 - turn)
-                tries = [(n, replace(p, n_estimators=-(-p.n_estimators // share))) for n, p in left]
-                scores = list(pool.map(lambda job: job[1].score(job[0]), [(p, fold) for _, p in tries for fold in made]))
-                for k, (n, p) in enumerate(tries):
-                    mean = sum(scores[k * folds : (k + 1) * folds]) / folds
-                    done[n] = (turn, mean, p.n_estimators)
+                tries = {n: -(-p.n_estimators // share) for n, p in left}
+                asked = [(n * folds + k, f, first[k, f.key(p)], p, c) for n, p in left for k, f in enumerate(made)
+                         for c in f.clusters(f.key(p))[0].counts]
+                facts = pool.map(lambda job: job[1].forest(job[3], job[4]), asked)
+                votes.append(sets.votes([
+                    forest.Forest(number=number, data=base + c, first=grown.get(number // folds, 0), last=tries[number // folds], **fact)
+                    for (number, _, base, _, c), fact in zip(asked, facts, strict=True)
+                ]))
+                grown |= tries
+                scores = _aucs(votes, [n * folds + k for n in tries for k in range(folds)])
+                for n, trees in tries.items():
+                    mean = sum(scores[n * folds + k] for k in range(folds)) / folds
+                    done[n] = (turn, mean, trees)
                 kept = sorted(left, key=lambda pair: (-done[pair[0]][1], pair[0]))
                 left = kept[: max(1, -(-len(left) // HALVING))]
     finally:
-        for fold in made:
-            fold.close()
+        labeled.unpersist()
+        for f in made:
+            f.close()
     order = sorted(range(len(points)), key=lambda n: (-done[n][0], -done[n][1], n))
     return [(points[n], done[n][1], done[n][2]) for n in order]
 
 
+def _first_data(keys: Sequence[Sequence[tuple[int | None, int, int]]]) -> dict[tuple[int, Any], int]:
+    """The number of the first cluster of each key of each fold."""
+    out, number = {}, 0
+    for n, found in enumerate(keys):
+        for key in found:
+            out[n, key] = number
+            number += key[1]
+    return out
+
+
+def _sets(made: Sequence[_Fold], first: Mapping[tuple[int, Any], int], pool: ThreadPoolExecutor) -> forest.Sets:
+    """The clusters of all folds as numbered data sets."""
+    found = list(pool.map(lambda job: made[job[0]].clusters(job[1]), first))
+    columns = ["_row", "_label", "_features"]
+    parts = []
+    for number, (clusters, test) in zip(first.values(), found, strict=True):
+        for rows, held_out in ((clusters.rows, False), (test, True)):
+            parts.append(rows.select((F.lit(number) + F.col("cluster")).alias("data"), F.lit(held_out).alias("test"), *columns))
+    return forest.Sets(reduce(DataFrame.unionByName, parts))
+
+
+def _aucs(votes: Sequence[DataFrame], tries: Sequence[int]) -> dict[int, float]:
+    """The AUC of each try, by the votes of all rounds; as :func:`roc_auc` where rows are of one class or none."""
+    rows = reduce(DataFrame.unionByName, votes).where(F.col("try").isin(list(tries)))
+    total = rows.groupBy("try", "row").agg(
+        F.first("label").alias("label"), (F.sum("votes") / F.nullif(F.sum("trees"), F.lit(0))).alias("share")
+    ).withColumn("share", F.coalesce("share", F.lit(0.0)))
+    out = dict.fromkeys(tries, 0.5)
+    for r in ranked_areas(total, "try", F.col("label") > 0.5, "share").collect():
+        out[r["try"]] = r.area / (r.p * r.n) if r.p and r.n else float(r.n == 0)
+    return out
+
+
 def train_and_predict(
     train: DataFrame,
     test: DataFrame,

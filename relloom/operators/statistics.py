@@ -117,20 +117,24 @@ def feature_auc(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame
     subtracting what the feature's first value has before it.
     """
     rows = melt(df.where(F.col(label).isNotNull()), [label], features)
-    groups = rows.groupBy("feature", "value").agg(
-        F.sum((F.col(label) == 1).cast("long")).alias("pos"),
-        F.sum((F.col(label) != 1).cast("long")).alias("neg"),
+    found = ranked_areas(rows, "feature", F.col(label) == 1, "value")
+    return found.select("feature", (F.col("area") / F.nullif(F.col("p").cast("double") * F.col("n"), F.lit(0.0))).alias("auc"))
+
+
+def ranked_areas(rows: DataFrame, by: str, positive: Column, value: str) -> DataFrame:
+    """``by``, ``area``, ``p`` and ``n``: the pairs in which the positive has the larger value, and the rows of both kinds."""
+    groups = rows.groupBy(by, value).agg(
+        F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg")
     )
-    ordered = with_running(groups, [F.col("feature"), F.col("value")], sums={"before": "neg"})
+    ordered = with_running(groups, [F.col(by), F.col(value)], sums={"before": "neg"})
     half_above = F.col("pos") * (F.col("before").cast("double") + F.col("neg") / 2)
-    sums = ordered.groupBy("feature").agg(
+    sums = ordered.groupBy(by).agg(
         F.sum(half_above).alias("area"),
         F.min("before").alias("start"),
         F.sum("pos").alias("p"),
         F.sum("neg").alias("n"),
     )
-    area = F.col("area") - F.col("start").cast("double") * F.col("p")
-    return sums.select("feature", (area / F.nullif(F.col("p").cast("double") * F.col("n"), F.lit(0.0))).alias("auc"))
+    return sums.select(by, (F.col("area") - F.col("start").cast("double") * F.col("p")).alias("area"), "p", "n")
 
 
 def auc_by_rank(df: DataFrame, label: str, score: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from functools import cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 @cache
 def _local_folder() -> str:
@@ -39,6 +44,15 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_in_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers find this library where the driver found it."""
+    places = df.sparkSession.sparkContext.environment
+    known = [p for p in places.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if ROOT not in known:
+        places["PYTHONPATH"] = os.pathsep.join([ROOT, *known])
+    return df.mapInArrow(function, schema)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a frame (file sizes, never below for filters)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
